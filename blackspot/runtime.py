@@ -27,9 +27,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` on shared storage so that later steps start from there."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise ``df`` as a table on shared storage and go on from there.
+
+    A written table survives lost executors like a checkpoint does, is read back
+    by column, and carries no constraints of its old plan into the next round of
+    a loop.
+    """
+    path = scratch_path(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
