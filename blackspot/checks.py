@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from blackspot.clustering.dbscan import dbscan, dbscan_summary, neighbor_counts
+from blackspot.clustering.gmm import gmm_ml
+from blackspot.clustering.hierarchical import hierarchical
 from blackspot.clustering.kmeans import kmeans, kmeans_ml, lloyd
 from blackspot.clustering.points import X_SHIFT, Y_SHIFT, label_rows, place, positions
-from blackspot.functions.columns import to_degrees
 from blackspot.operators import clean, layers, neighborhood, ranking, rates, regions
 from blackspot.plans.hotspots import CLUSTER, ranked_hotspots
 from blackspot.runtime import scratch_path
@@ -23,6 +24,7 @@ BOXES = [regions.Region("r0", 25.89, 25.91, -106.51, -106.49),
 YEAR = 1997
 PER_CLUSTER = 250
 LLOYD_ROUNDS = 6
+GMM_ROUNDS = 10
 CELL_E6 = 250_000
 RANK, MILES = 3, 50
 MIN_CRASHES = 40
@@ -61,16 +63,8 @@ def hex_sql(value: str) -> str:
             f"CAST(round(128.0::DOUBLE * (1.0::DOUBLE - {step} / 255.0::DOUBLE)) AS BIGINT)) END")
 
 
-def spread_sql(c: str) -> str:
-    for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F),
-                        (2, 0x3333333333333333), (1, 0x5555555555555555)):
-        c = f"((({c}) | (({c}) << {shift})) & {mask})"
-    return c
-
-
 def lloyd_sql(rounds: int) -> str:
     """K-means as plain SQL: every point against every centre, the rounds written out."""
-    spread = lambda c, into: ", ".join([]) or spread_sql(c) + f" AS {into}"
     ctes = [f"{BASE}, p0 AS (SELECT pts.*, lon_e6 + {X_SHIFT} AS x, lat_e6 + {Y_SHIFT} AS y FROM pts)"]
     for i, shift, mask in ((1, 16, 0x0000FFFF0000FFFF), (2, 8, 0x00FF00FF00FF00FF), (3, 4, 0x0F0F0F0F0F0F0F0F),
                            (4, 2, 0x3333333333333333), (5, 1, 0x5555555555555555)):
@@ -94,10 +88,6 @@ LLOYD = lloyd_sql(LLOYD_ROUNDS)
 CLUSTERED = f"""{LLOYD}, kc AS (SELECT p0.*, cid AS {CLUSTER} FROM p0 JOIN a{LLOYD_ROUNDS} USING (x, y))"""
 
 
-def spots_of(spark, sf_dir):
-    return positions(place(crash_view(spark, sf_dir)))
-
-
 def nearest_centroid(spark, sf_dir):
     """Crashes with the nearest seed: the first assignment step of k-means."""
     placed = place(crash_view(spark, sf_dir))
@@ -202,7 +192,8 @@ def multi_file_union(spark, sf_dir):
 def region_export(spark, sf_dir):
     path = scratch_path(spark, "regions")
     writers.write_partitioned(regions.tag_regions(clean.project_crashes(crash_view(spark, sf_dir)), BOXES), path, "region", "csv")
-    return spark.read.schema(CRASH_SCHEMA.add("region", "string") if "region" not in CRASH_SCHEMA.names else CRASH_SCHEMA).option("header", True).csv(path)
+    schema = T.StructType([*CRASH_SCHEMA.fields, T.StructField("region", T.StringType())])
+    return spark.read.schema(schema).option("header", True).csv(path)
 
 
 def year_export(spark, sf_dir):
@@ -252,6 +243,9 @@ QUERIES = {
     "multi_file_union": multi_file_union,
     "region_export": region_export,
     "year_export": year_export,
+    **{f"hier_{linkage}": lambda s, d, linkage=linkage: hierarchical(crash_view(s, d), linkage).select("Crash_ID", "hier_cluster")
+       for linkage in ("ward", "complete", "average", "single")},
+    "gmm_ml": lambda s, d: gmm_ml(crash_view(s, d), max_iter=GMM_ROUNDS).select("Crash_ID", "gmm_cluster"),
     "kmeans_ml": lambda s, d: kmeans_ml(crash_view(s, d)).select("Crash_ID", CLUSTER),
 }
 

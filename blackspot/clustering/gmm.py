@@ -1,0 +1,26 @@
+"""Gaussian mixture on crash coordinates."""
+
+from __future__ import annotations
+
+from pyspark.ml.clustering import GaussianMixture
+from pyspark.sql import DataFrame
+
+from blackspot.clustering.kmeans import assemble_features, checked_k
+from blackspot.operators.rates import CRASHES_PER_CLUSTER
+
+# Defaults of the estimator.
+GMM_SEED = 1
+GMM_MAX_ITER = 100
+GMM_TOLERANCE = 0.01
+# Most components the estimator may be asked for; it holds them, and one
+# probability per component and row, in memory.
+GMM_MAX_COMPONENTS = 2_000
+
+
+def gmm_ml(df: DataFrame, seed: int = GMM_SEED, per_cluster: int = CRASHES_PER_CLUSTER,
+           label: str = "gmm_cluster", feature_col: str = "features", max_iter: int = GMM_MAX_ITER) -> DataFrame:
+    """Spark ML mixture with one component per ``per_cluster`` crashes; the label is the likeliest one."""
+    features = assemble_features(df, feature_col)
+    k = checked_k(features, per_cluster, GMM_MAX_COMPONENTS)
+    model = GaussianMixture(k=k, seed=seed, maxIter=max_iter, tol=GMM_TOLERANCE, featuresCol=feature_col, predictionCol=label).fit(features)
+    return model.transform(features)

@@ -49,8 +49,8 @@ def cells_around(queries: DataFrame) -> DataFrame:
             .withColumn("gy", cells("y0 - reach", "y1 + reach")))
 
 
-def cells_of(targets: DataFrame, x: str, y: str, levels: list[int] | None = None) -> DataFrame:
-    """One row per level with the cell that holds the point."""
-    wanted = range(LEVELS) if levels is None else levels
-    return (targets.withColumn("level", F.explode(F.array(*[F.lit(i) for i in wanted])))
+def cells_of(targets: DataFrame, x: str, y: str, around: DataFrame) -> DataFrame:
+    """One row per level asked for in ``around``, with the cell that holds the point."""
+    asked = around.agg(F.collect_set("level").alias("levels")).scalar()
+    return (targets.withColumn("level", F.explode(asked))
             .withColumns({"gx": F.expr(f"shiftright({x}, level)"), "gy": F.expr(f"shiftright({y}, level)")}))

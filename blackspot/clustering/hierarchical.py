@@ -19,7 +19,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from blackspot.clustering.components import components
 from blackspot.clustering.dbscan import linked_cells
@@ -40,7 +40,7 @@ WIDEN = 4
 SLACK = 2
 
 
-@F.pandas_udf("array<struct<x:bigint,y:bigint>>")
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("x", T.LongType()), T.StructField("y", T.LongType())])))
 def hull(points: pd.Series) -> pd.Series:
     """Corners of the convex hull; the farthest pair of two sets is always made of corners."""
 
@@ -122,10 +122,9 @@ def nearest_clusters(clusters: DataFrame, members: DataFrame | None, linkage: st
     spot = lambda c: F.floor(F.col(c)).cast("bigint")
     looking = clusters.select("id", spot("cx").alias("x0"), spot("cx").alias("x1"), spot("cy").alias("y0"), spot("cy").alias("y1"), "reach")
     around = cells_around(looking.withColumn("reach", F.least("reach", F.lit(1 << (LEVELS - 1)).cast("bigint"))))
-    levels = [r[0] for r in around.select("level").distinct().collect()]
     facts = ["id", "n", "cx", "cy", "ss"] + (["x0", "x1", "y0", "y1"] if linkage == "complete" else [])
     side = lambda p: [F.col(c).alias(f"{p}{c}") for c in facts]
-    cells = cells_of(clusters.withColumns({"gx0": spot("cx"), "gy0": spot("cy")}), "gx0", "gy0", levels)
+    cells = cells_of(clusters.withColumns({"gx0": spot("cx"), "gy0": spot("cy")}), "gx0", "gy0", around)
     asked = around.select("id", "level", "gx", "gy").join(clusters.select(*facts), "id").select("level", "gx", "gy", *side("a_"))
     low, high = low_and_high(linkage)
     found = (asked.join(cells.select("level", "gx", "gy", *side("b_")), ["level", "gx", "gy"])
@@ -180,23 +179,22 @@ def agglomerate(spots: DataFrame, wanted: int, linkage: str) -> DataFrame:
                  .withColumn("corners", F.array(F.struct(F.col("x0").alias("x"), F.col("y0").alias("y")))))
     clusters = cut(start)
     members = spots.select("id", "x", "y", "w") if linkage == "average" else None
-    left = spots.count()
-    needed = left - wanted
-    made = 0
+    places = left = clusters.count()
+    needed = places - wanted
     done: list[DataFrame] = []
-    while left - made > 1:
+    while left > 1:
         nearest = cut(nearest_clusters(clusters, members, linkage))
-        if made >= needed:
+        if places - left >= needed:
             # Whatever an unsure cluster has not seen is linked at no less than its reach.
             unseen = F.least(F.coalesce("height", F.lit(float("inf"))), (F.col("reach") - 3).cast("double"))
             floor = nearest.agg(F.min(F.when(F.col("sure"), F.col("height")).otherwise(unseen))).first()[0]
             if all_merges(done).filter(F.col("height") <= floor).count() >= needed:
                 break
-        merges = cut(nearest.filter("sure").groupBy("lo", "hi")
-                     .agg(F.count(F.lit(1)).alias("both"), F.min("height").alias("height")).filter("both = 2").drop("both"))
-        made += merges.count()
+        merges = (nearest.filter("sure").groupBy("lo", "hi")
+                  .agg(F.count(F.lit(1)).alias("both"), F.min("height").alias("height")).filter("both = 2").drop("both"))
         done.append(merges)
         clusters = cut(merge_round(clusters, nearest, merges, linkage))
+        left = clusters.count()
         if members is not None:
             renamed = merges.select(F.col("hi").alias("id"), F.col("lo").alias("into"))
             members = cut(members.join(renamed, "id", "left").select(F.coalesce("into", "id").alias("id"), "x", "y", "w"))
