@@ -113,12 +113,15 @@ def link(contenders: DataFrame, clusters: DataFrame, members: DataFrame | None,
     return contenders.join(measured, ["lo", "hi"])
 
 
-def nearest_clusters(clusters: DataFrame, members: DataFrame | None, linkage: str) -> DataFrame:
+def nearest_clusters(clusters: DataFrame, members: DataFrame | None, linkage: str, limit: float | None = None) -> DataFrame:
     """Per cluster: nearest cluster found as ``(height, lo, hi)``, or NULL, and whether it is ``sure``.
 
     All clusters whose centroid lies within ``reach`` are looked at; the find is
-    sure when nothing beyond the reach can be closer.
+    sure when nothing beyond the reach can be closer. Once the height of the cut
+    is known to be at most ``limit``, nothing above it is measured.
     """
+    if limit is not None:
+        clusters = clusters.withColumn("reach", F.greatest("reach", search_reach(linkage, F.lit(limit), F.col("n"))))
     spot = lambda c: F.floor(F.col(c)).cast("bigint")
     looking = clusters.select("id", spot("cx").alias("x0"), spot("cx").alias("x1"), spot("cy").alias("y0"), spot("cy").alias("y1"), "reach")
     around = cells_around(looking.withColumn("reach", F.least("reach", F.lit(1 << (LEVELS - 1)).cast("bigint"))))
@@ -131,6 +134,8 @@ def nearest_clusters(clusters: DataFrame, members: DataFrame | None, linkage: st
              .filter("a_id <> b_id")
              .select(F.col("a_id").alias("id"), F.least("a_id", "b_id").alias("lo"), F.greatest("a_id", "b_id").alias("hi"),
                      low.alias("low"), high.alias("high")))
+    if limit is not None:
+        found = found.filter(F.col("low") <= limit)
     if linkage == "ward":
         nearest = found.groupBy("id").agg(F.min(F.struct(F.col("low").alias("height"), "lo", "hi")).alias("best"))
     else:
@@ -183,14 +188,15 @@ def agglomerate(spots: DataFrame, wanted: int, linkage: str) -> DataFrame:
     needed = places - wanted
     done: list[DataFrame] = []
     while left > 1:
-        nearest = cut(nearest_clusters(clusters, members, linkage))
-        if places - left >= needed:
+        limit = height_limit(all_merges(done), needed) if done and places - left >= needed else None
+        nearest = cut(nearest_clusters(clusters, members, linkage, limit))
+        if limit is not None:
             # Whatever an unsure cluster has not seen is linked at no less than its reach.
             unseen = F.least(F.coalesce("height", F.lit(float("inf"))), (F.col("reach") - 3).cast("double"))
             floor = nearest.agg(F.min(F.when(F.col("sure"), F.col("height")).otherwise(unseen))).first()[0]
             if all_merges(done).filter(F.col("height") <= floor).count() >= needed:
                 break
-        merges = (nearest.filter("sure").groupBy("lo", "hi")
+        merges = (nearest.filter("sure and lo is not null").groupBy("lo", "hi")
                   .agg(F.count(F.lit(1)).alias("both"), F.min("height").alias("height")).filter("both = 2").drop("both"))
         done.append(merges)
         clusters = cut(merge_round(clusters, nearest, merges, linkage))
@@ -201,6 +207,13 @@ def agglomerate(spots: DataFrame, wanted: int, linkage: str) -> DataFrame:
     return all_merges(done)
 
 
+def height_limit(merges: DataFrame, needed: int) -> float:
+    """A height with at least ``needed`` merges at or below it, close to the lowest one."""
+    total, top = merges.agg(F.count(F.lit(1)), F.max("height")).first()
+    guess = merges.agg(F.percentile_approx("height", min(needed / total + 1e-3, 1.0), 10000)).first()[0]
+    return guess if merges.filter(F.col("height") <= guess).count() >= needed else top
+
+
 def all_merges(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionAll, parts)
 

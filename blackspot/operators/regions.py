@@ -60,7 +60,7 @@ def tag_regions(df: DataFrame, regions: list[Region], lat: str = "Latitude", lon
     # The box list comes from the driver, so its size is known; the boxes are cut
     # into cells to turn the range test into an equality join.
     cell = lambda c: F.floor(c / F.lit(CELL_DEGREES))
-    boxes = (df.sparkSession.createDataFrame(regions, "region string, _a double, _b double, _c double, _d double")
+    boxes = (df.sparkSession.createDataFrame([(r.name, *map(float, r[1:])) for r in regions], "region string, _a double, _b double, _c double, _d double")
              .withColumn("_cy", F.explode(F.sequence(cell(F.col("_a")), cell(F.col("_b")))))
              .withColumn("_cx", F.explode(F.sequence(cell(F.col("_c")), cell(F.col("_d"))))))
     return (df.withColumns({"_cy": cell(F.col(lat)), "_cx": cell(F.col(lon))})
