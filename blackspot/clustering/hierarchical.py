@@ -318,7 +318,7 @@ def hierarchical_positions(spots: DataFrame, linkage: str, per_cluster: int) ->
 def with_reach(named: DataFrame) -> DataFrame:
     """First search width of every position: the distance to its neighbours along the curve."""
     curve = Window.partitionBy("run").orderBy("z")
-    laid = lay_out(named, CRASHES_PER_CLUSTER).withColumnRenamed("leaf", "run")
+    laid = lay_out(named).withColumnRenamed("leaf", "run")
     step = lambda f: square(F.col("x") - f("x").over(curve)) + square(F.col("y") - f("y").over(curve))
     nearest = F.coalesce(F.least(step(F.lag), step(F.lead)), F.lit(1 << 20).cast("bigint"))
     return cut(laid.withColumn("reach", F.ceil(F.sqrt(nearest.cast("double"))).cast("bigint") + 3)
