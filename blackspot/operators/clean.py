@@ -17,10 +17,15 @@ def project_crashes(df: DataFrame) -> DataFrame:
 
 
 def clean_coordinates(df: DataFrame, lat: str = "Latitude", lon: str = "Longitude") -> DataFrame:
-    """Coordinates as doubles, without the rows that lack one of them."""
+    """Coordinates as doubles, without the rows that lack one of them (NULL or NaN).
+
+    A column that already is a double stays a plain column, so that filters on it
+    reach the file scan.
+    """
     require_columns(df, lat, lon)
-    return (df.withColumns({lat: to_degrees(F.col(lat)), lon: to_degrees(F.col(lon))})
-            .dropna(subset=[lat, lon]))
+    types = dict(df.dtypes)
+    parsed = {c: to_degrees(F.col(c)) for c in (lat, lon) if types[c] != "double"}
+    return (df.withColumns(parsed) if parsed else df).dropna(subset=[lat, lon])
 
 
 def parse_dates(df: DataFrame, column: str = "Crash_Date") -> DataFrame:

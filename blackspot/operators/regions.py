@@ -53,10 +53,11 @@ def tag_regions(df: DataFrame, regions: list[Region], lat: str = "Latitude", lon
         hits = F.array_compact(F.array(*[
             F.when(F.col(lat).between(r.lat_min, r.lat_max) & F.col(lon).between(r.lon_min, r.lon_max), F.lit(r.name))
             for r in regions]))
-        any_box = F.lit(False)
-        for r in regions:
-            any_box = any_box | (F.col(lat).between(r.lat_min, r.lat_max) & F.col(lon).between(r.lon_min, r.lon_max))
-        return df.filter(any_box).withColumn("region", F.explode(hits))
+        # The box around all boxes is short enough for the scan to use.
+        lats, lons = zip(*[(r.lat_min, r.lat_max) for r in regions]), zip(*[(r.lon_min, r.lon_max) for r in regions])
+        (lat_min, lat_max), (lon_min, lon_max) = [(min(lo), max(hi)) for lo, hi in (lats, lons)]
+        df = df.filter(F.col(lat).between(lat_min, lat_max) & F.col(lon).between(lon_min, lon_max))
+        return df.withColumn("region", F.explode(hits))
     # The box list comes from the driver, so its size is known; the boxes are cut
     # into cells to turn the range test into an equality join.
     cell = lambda c: F.floor(c / F.lit(CELL_DEGREES))
