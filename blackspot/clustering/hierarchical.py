@@ -121,7 +121,7 @@ def nearest_clusters(clusters: DataFrame, members: DataFrame | None, linkage: st
     is known to be at most ``limit``, nothing above it is measured.
     """
     if limit is not None:
-        clusters = clusters.withColumn("reach", F.greatest("reach", search_reach(linkage, F.lit(limit), F.col("n"))))
+        clusters = clusters.withColumn("reach", search_reach(linkage, F.lit(limit), F.col("n")).cast("bigint"))
     spot = lambda c: F.floor(F.col(c)).cast("bigint")
     looking = clusters.select("id", spot("cx").alias("x0"), spot("cx").alias("x1"), spot("cy").alias("y0"), spot("cy").alias("y1"), "reach")
     around = cells_around(looking.withColumn("reach", F.least("reach", F.lit(1 << (LEVELS - 1)).cast("bigint"))))
@@ -144,10 +144,11 @@ def nearest_clusters(clusters: DataFrame, members: DataFrame | None, linkage: st
         nearest = (link(contenders, clusters, members, linkage)
                    .groupBy("id").agg(F.min(F.struct("height", "lo", "hi")).alias("best")))
     needed = search_reach(linkage, F.col("best.height"), F.col("n"))
+    wider = F.col("reach") * (WIDEN if limit is None else 1)
     return (clusters.select("id", "n", "reach").join(nearest, "id", "left")
             .withColumn("sure", F.coalesce(needed <= F.col("reach"), F.lit(False)))
             .select("id", "best.height", "best.lo", "best.hi", "sure",
-                    F.coalesce(needed, F.col("reach") * WIDEN).cast("bigint").alias("needed"), "reach"))
+                    F.coalesce(needed, wider).cast("bigint").alias("needed"), "reach"))
 
 
 def merge_round(clusters: DataFrame, nearest: DataFrame, merges: DataFrame, linkage: str) -> DataFrame:
@@ -191,10 +192,9 @@ def agglomerate(spots: DataFrame, wanted: int, linkage: str) -> DataFrame:
         limit = height_limit(all_merges(done), needed) if done and places - left >= needed else None
         nearest = cut(nearest_clusters(clusters, members, linkage, limit))
         if limit is not None:
-            # Whatever an unsure cluster has not seen is linked at no less than its reach.
-            unseen = F.least(F.coalesce("height", F.lit(float("inf"))), (F.col("reach") - 3).cast("double"))
-            floor = nearest.agg(F.min(F.when(F.col("sure"), F.col("height")).otherwise(unseen))).first()[0]
-            if all_merges(done).filter(F.col("height") <= floor).count() >= needed:
+            # All pairs up to the limit were looked at, so nothing is left below the lowest one.
+            floor = nearest.agg(F.min("height")).first()[0]
+            if floor is None or all_merges(done).filter(F.col("height") <= floor).count() >= needed:
                 break
         merges = (nearest.filter("sure and lo is not null").groupBy("lo", "hi")
                   .agg(F.count(F.lit(1)).alias("both"), F.min("height").alias("height")).filter("both = 2").drop("both"))
