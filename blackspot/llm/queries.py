@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from blackspot.llm.exact_dedup import OP9_SQL, op9_exact_dedup
+from blackspot.llm.pieces import op4_sentencepiece
 from blackspot.llm.simhash import op7_simhash_dedup
 
-QUERIES = {f.__name__: f for f in (op7_simhash_dedup, op9_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op4_sentencepiece, op7_simhash_dedup, op9_exact_dedup)}
 ORACLES = {"op9_exact_dedup": OP9_SQL}
