@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from blackspot.runtime import cut
+
 #: Stands for a missing doc_id inside the operators: it sorts before all others.
 MISSING = -(1 << 63)
 #: A key with more than one in HEAVY of all rows is split, so at most HEAVY keys are.
 HEAVY = 1000
 #: Parts of a split key.
 PARTS = 64
+#: Rows with text in an Arrow batch.
+ROWS = 1000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,6 +47,16 @@ def join_classes(rows: DataFrame, classes: DataFrame, keys: list[str], size: str
     return rows.join(marked, [*keys, "_part"], how).drop("_part")
 
 
-def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t.type)
-                                       for c, t in zip(columns, schema)], schema=schema)
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a table on shared files, written with Arrow batches of ``ROWS`` rows.
+
+    Rows hold whole texts here; the usual 10,000 of them at once would decide the
+    memory of a task.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(name)
+    conf.set(name, str(ROWS))
+    try:
+        return cut(df)
+    finally:
+        conf.set(name, before)

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from blackspot.llm.common import documents, id_back, id_key, join_classes
+from blackspot.llm.common import documents, id_back, id_key, join_classes, stored
 from blackspot.runtime import cut
 
 CAPACITY = 4096
@@ -128,7 +128,7 @@ def build_index(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         gather, "slot long, key long, text binary, keep long, n long")
     owned = (entries.join(slots.select("slot", "bucket"), "slot").repartition("bucket")
              .sortWithinPartitions("key").select("bucket", "key", "text", "keep", "n"))
-    return cut(owned.mapInArrow(own, INDEX))
+    return stored(owned.mapInArrow(own, INDEX))
 
 
 def exact_duplicates(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:

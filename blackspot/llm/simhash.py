@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from blackspot.clustering.components import components
 from blackspot.llm.arrays import slabs, spread, words
-from blackspot.llm.common import documents, id_back, id_key, join_classes
+from blackspot.llm.common import documents, id_back, id_key, join_classes, stored
 from blackspot.runtime import cut
 
 SHINGLE_WORDS = 3
@@ -130,7 +130,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, max_distance: i
     A null doc_id is smaller than all others. Repeated rows come out as often as
     they come in; an empty table gives no rows; other columns are not read.
     """
-    prints = cut(fingerprints(docs, width))
+    prints = stored(fingerprints(docs, width))
     classes = prints.groupBy("fp").agg(F.min("doc").alias("least"), F.count(F.lit(1)).alias("n"))
     classes = cut(classes)
     roots = components(near_links(classes.select("fp"), max_distance))
