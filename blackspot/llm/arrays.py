@@ -136,14 +136,14 @@ def anchors(hashes: np.ndarray, first: np.ndarray, window: int, gram: int, power
     A window is ``window`` consecutive symbols of one sequence, its anchor the
     gram of least mixed hash in it (the leftmost of equals). Equal windows have
     equal anchors at equal places. Returns for each run: its sequence, the place
-    of its first window, the number of windows, and the anchor's hash. Places
-    count from the start of the slab.
+    of its first window, the number of windows, the anchor's hash and place.
+    Places count from the start of the slab.
     """
     n, per = len(hashes), window - gram + 1
     total = sums(hashes, powers)
     empty = np.zeros(0, np.int64)
     if n < window:
-        return empty, empty, empty, np.zeros(0, np.uint64)
+        return empty, empty, empty, np.zeros(0, np.uint64), empty
     at = np.arange(n - gram + 1)
     key = mix(range_hash(total, at, at + gram, powers))
     # The leftmost least gram: high bits of the hash, then the place.
@@ -158,11 +158,28 @@ def anchors(hashes: np.ndarray, first: np.ndarray, window: int, gram: int, power
     np.add.at(valid, np.minimum(first[:-1] + count, len(least)), np.where(count > 0, -1, 0))
     place = place[np.cumsum(valid[:-1]) > 0]
     if not len(place):
-        return empty, empty, empty, np.zeros(0, np.uint64)
+        return empty, empty, empty, np.zeros(0, np.uint64), empty
     own = least[place]
     new = np.ones(len(place), bool)
     new[1:] = (own[1:] != own[:-1]) | (place[1:] != place[:-1] + 1)
     head = np.flatnonzero(new)
     run = np.diff(np.append(head, len(place)))
     start = place[head]
-    return np.searchsorted(first, start, "right") - 1, start, run, key[own[head]]
+    return np.searchsorted(first, start, "right") - 1, start, run, key[own[head]], own[head]
+
+
+def space_joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words, each followed by a space, and where each starts (one more at the end)."""
+    size = ends - starts
+    at = np.append(0, np.cumsum(size + 1))
+    out = np.full(int(at[-1]), 0x20, np.uint8)
+    owner, rank = spread(size)
+    out[at[owner] + rank] = data[starts[owner] + rank]
+    return out, at
+
+
+def join_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> list[bytes]:
+    """One text of space-joined words for each of the sequences that start at ``first``."""
+    out, at = space_joined(data, starts, ends)
+    text, cut = out.tobytes(), at[first].tolist()
+    return [text[a:max(a, b - 1)] for a, b in zip(cut, cut[1:])]

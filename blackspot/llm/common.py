@@ -37,8 +37,8 @@ def join_classes(rows: DataFrame, classes: DataFrame, keys: list[str], size: str
     rows, which are fewer than ``HEAVY`` by arithmetic and so can be broadcast,
     are dealt to ``PARTS`` parts each.
     """
-    total = F.broadcast(classes.agg(F.sum(size).alias("_total")))
-    marked = classes.join(total).withColumn("_heavy", F.col(size) * HEAVY > F.col("_total")).drop("_total")
+    total = classes.agg(F.sum(size)).first()[0] or 0
+    marked = classes.withColumn("_heavy", F.col(size) * HEAVY > total)
     heavy = marked.filter("_heavy").select(*keys, F.lit(True).alias("_hot"))
     part = F.when(F.col("_hot"), F.pmod(F.xxhash64(spread_by), F.lit(PARTS))).otherwise(F.lit(0)).cast("int")
     rows = rows.join(F.broadcast(heavy), keys, "left").withColumn("_part", part).drop("_hot")

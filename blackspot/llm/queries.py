@@ -1,10 +1,23 @@
-"""The queries of the text operators and the SQL that must give the same rows."""
+"""The queries of the text operators and the SQL that must give the same rows.
+
+Language labels, token ids, hashes of XXH64 and boosted trees have no SQL form;
+the tests hold those queries against brute force or the original library.
+"""
 
 from __future__ import annotations
 
+from blackspot.llm.decontaminate import OP2_SQL, op2_decontaminate
 from blackspot.llm.exact_dedup import OP9_SQL, op9_exact_dedup
+from blackspot.llm.language import op3_language
+from blackspot.llm.licenses import OP5_SQL, op5_license_scan
 from blackspot.llm.pieces import op4_sentencepiece
+from blackspot.llm.pii import op8_pii
+from blackspot.llm.rlz_dedup import OP1_SQL, op1_substring_dedup
 from blackspot.llm.simhash import op7_simhash_dedup
+from blackspot.llm.suffix_dedup import op10_suffix_dedup
+from blackspot.llm.url_filter import OP6_SQL, op6_url_filter
 
-QUERIES = {f.__name__: f for f in (op4_sentencepiece, op7_simhash_dedup, op9_exact_dedup)}
-ORACLES = {"op9_exact_dedup": OP9_SQL}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_decontaminate, op3_language, op4_sentencepiece, op5_license_scan,
+                                   op6_url_filter, op7_simhash_dedup, op8_pii, op9_exact_dedup, op10_suffix_dedup)}
+ORACLES = {"op1_substring_dedup": OP1_SQL, "op2_decontaminate": OP2_SQL, "op5_license_scan": OP5_SQL,
+           "op6_url_filter": OP6_SQL, "op9_exact_dedup": OP9_SQL}

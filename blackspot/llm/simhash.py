@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from blackspot.clustering.components import components
-from blackspot.llm.arrays import slabs, spread, words
+from blackspot.llm.arrays import slabs, space_joined, spread, words
 from blackspot.llm.common import documents, id_back, id_key, join_classes, stored
 from blackspot.runtime import cut
 
@@ -58,19 +58,14 @@ def _fingerprints(data: np.ndarray, offsets: np.ndarray, width: int) -> np.ndarr
     if not len(starts):
         return out
     # Words joined by one space each, so that a shingle is a range of bytes.
-    size = ends - starts
-    at = np.cumsum(size + 1) - size - 1
-    buffer = np.full(int(at[-1] + size[-1]), 0x20, np.uint8)
-    owner = np.repeat(at - starts, size)
-    inside = np.repeat(starts, size) + (np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size))
-    buffer[inside + owner] = data[inside]
+    buffer, at = space_joined(data, starts, ends)
     counts = np.diff(first)
     shingles = np.where(counts >= width, counts - width + 1, np.minimum(counts, 1))
     doc, rank = spread(shingles)
     begin = first[doc] + rank
     stop = np.minimum(begin + width, first[doc + 1]) - 1
     text, digest = buffer.tobytes(), xxhash.xxh64_intdigest
-    h = np.fromiter((digest(text[a:b], SEED) for a, b in zip(at[begin].tolist(), (at[stop] + size[stop]).tolist())),
+    h = np.fromiter((digest(text[a:b], SEED) for a, b in zip(at[begin].tolist(), (at[stop + 1] - 1).tolist())),
                     np.uint64, len(begin))
     some = np.flatnonzero(shingles)
     heads = (np.cumsum(shingles) - shingles)[some]
