@@ -8,10 +8,6 @@ from blackspot.runtime import cut
 
 #: Stands for a missing doc_id inside the operators: it sorts before all others.
 MISSING = -(1 << 63)
-#: A key with more than one in HEAVY of all rows is split, so at most HEAVY keys are.
-HEAVY = 1000
-#: Parts of a split key.
-PARTS = 64
 #: Rows with text in an Arrow batch.
 ROWS = 1000
 
@@ -28,25 +24,6 @@ def id_back(column: Column) -> Column:
     return F.when(column != MISSING, column)
 
 
-def join_classes(rows: DataFrame, classes: DataFrame, keys: list[str], size: str, spread_by: str,
-                 how: str = "inner") -> DataFrame:
-    """``rows`` with the columns of their class; no task gets all rows of a large class.
-
-    ``classes`` has one row per key and the number of its rows in ``size``, and
-    should be a materialised table. Keys with more than one in ``HEAVY`` of all
-    rows, which are fewer than ``HEAVY`` by arithmetic and so can be broadcast,
-    are dealt to ``PARTS`` parts each.
-    """
-    total = classes.agg(F.sum(size)).first()[0] or 0
-    marked = classes.withColumn("_heavy", F.col(size) * HEAVY > total)
-    heavy = marked.filter("_heavy").select(*keys, F.lit(True).alias("_hot"))
-    part = F.when(F.col("_hot"), F.pmod(F.xxhash64(spread_by), F.lit(PARTS))).otherwise(F.lit(0)).cast("int")
-    rows = rows.join(F.broadcast(heavy), keys, "left").withColumn("_part", part).drop("_hot")
-    parts = F.when(F.col("_heavy"), F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0)))
-    marked = marked.withColumn("_part", F.explode(parts)).drop("_heavy")
-    return rows.join(marked, [*keys, "_part"], how).drop("_part")
-
-
 def stored(df: DataFrame) -> DataFrame:
     """``df`` as a table on shared files, written with Arrow batches of ``ROWS`` rows.
 

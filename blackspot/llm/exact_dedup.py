@@ -17,7 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from blackspot.llm.common import documents, id_back, id_key, join_classes, stored
+from blackspot.joins import split_join
+from blackspot.llm.common import documents, id_back, id_key, stored
 from blackspot.runtime import cut
 
 CAPACITY = 4096
@@ -141,7 +142,7 @@ def exact_duplicates(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """
     index = build_index(docs, capacity)
     rows = text_keys(docs).select("doc", "key", F.sha2("text", 256).alias("sha"))
-    out = join_classes(rows, index.select("key", "sha", "keep", "n"), ["key", "sha"], "n", "doc")
+    out = split_join(rows, index.select("key", "sha", "keep", "n"), ["key", "sha"], "n", "doc")
     return out.select(id_back(F.col("doc")).alias("doc_id"), id_back(F.col("keep")).alias("keep_id"),
                       F.col("n").alias("group_size"), (F.col("doc") == F.col("keep")).alias("kept"),
                       F.col("sha").alias("text_sha256"))

@@ -14,11 +14,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from blackspot.llm.arrays import covered, slabs
-from blackspot.llm.common import id_key, join_classes
+from blackspot.joins import split_join
+from blackspot.llm.arrays import covered, mix, slabs
+from blackspot.llm.common import id_key
 from blackspot.runtime import cut
 
 PLACE_BITS = 10  # of a run's number of windows, and of its anchor's place
+#: An anchor with more places than this is taken window by window instead of run by run.
+CROWD = 1000
+#: Kinds of rows: a span that is settled, one window of a crowded anchor, a run of windows, and such a run seen twice.
+SPAN, STRING, TEXT, TWICE = range(4)
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -42,7 +47,42 @@ def copies(rows: DataFrame) -> DataFrame:
     """``(doc, head, n)`` for every document whose whole text occurs in ``n > 1`` rows; ``head`` is the first of them."""
     texts = rows.select("doc", F.sha2("text", 256).alias("sha"))
     groups = cut(texts.groupBy("sha").agg(F.min("doc").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    return cut(join_classes(texts, groups, ["sha"], "n", "doc").select("doc", "head", "n").distinct())
+    return cut(split_join(texts, groups, ["sha"], "n", "doc").select("doc", "head", "n").distinct())
+
+
+def repeated_runs(rows: DataFrame, twins: DataFrame, claim) -> DataFrame:
+    """``(doc, runs)``: the runs of windows of each document whose anchor occurs twice, as ``(key, run, crowd)``.
+
+    ``claim`` finds ``(key, doc, run)``: anchors and their runs. Anchors are counted
+    over the whole corpus. Copies of whole texts but the first are left out.
+    """
+    found = rows.select("doc", "text").mapInArrow(claim, "key long, doc long, run long")
+    many = cut(found.groupBy("key").agg(F.count(F.lit(1)).alias("places")).filter("places > 1"))
+    near = split_join(found, many, ["key"], "places", "doc")
+    later = twins.filter("doc <> head").select("doc")
+    return near.join(later, "doc", "left_anti").groupBy("doc").agg(
+        F.collect_list(F.struct("key", "run", (F.col("places") > CROWD).alias("crowd"))).alias("runs"))
+
+
+def flat_runs(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, runs and crowd flags of a column of ``repeated_runs``, and the row of each."""
+    listed, row = list_rows(column)
+    key, run, crowd = (listed.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+    return key.astype(np.int64), run.astype(np.int64), crowd.astype(bool), row
+
+
+def elsewhere(doc: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Keys that spread rows which only pass through a shuffle."""
+    return mix(doc.astype(np.int64).view(np.uint64) * np.uint64(31) + place.astype(np.int64).view(np.uint64)).view(np.int64)
+
+
+def grouped(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order that puts equal pairs together, the first of each group and the size of each group."""
+    order = np.lexsort((two, one))
+    if not len(order):
+        return order, order, order
+    head = np.flatnonzero(np.append(True, (one[order[1:]] != one[order[:-1]]) | (two[order[1:]] != two[order[:-1]])))
+    return order, order[head], np.diff(np.append(head, len(order)))
 
 
 def pack(start: np.ndarray, count: np.ndarray, place: np.ndarray | int = 0) -> np.ndarray:
@@ -58,12 +98,6 @@ def record(names: str, *columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=names.split())
 
 
-def whole_partition(batches: Iterator[pa.RecordBatch], names: str) -> list[np.ndarray]:
-    """Columns of all rows of a task; shuffle partitions bound their number."""
-    found = [[b[n].to_numpy(zero_copy_only=False) for n in names.split()] for b in batches]
-    return [np.concatenate([np.zeros(0, np.int64), *[x[i] for x in found]]) for i in range(len(names.split()))]
-
-
 def list_rows(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """The flat values of a list column and the row of each."""
     sizes = np.diff(column.offsets.to_numpy())

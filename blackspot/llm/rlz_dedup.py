@@ -2,17 +2,18 @@
 
 The corpus is its own reference. It is cut into blocks: maximal runs of word
 windows that share a content-chosen anchor, so that a repeated passage is cut in
-the same way wherever it stands. The index holds every block that can repeat and
-the earliest place of it. Each document is parsed greedily, block after block:
-as long as blocks are found earlier in the corpus they extend a factor, which is
-at least a window long and so becomes a duplicate span. At the boundaries of
-factors a passage covers blocks only in part; there the windows themselves are
-looked up one by one. Together every window is judged, wherever it lies.
-
-Blocks and windows are compared by 96 to 128 bits of hash. What is equal within
-an Arrow batch is sent on once, so a passage that a third of all documents share
-costs one row for each batch. Texts are shuffled once: both joins by document
-use the same exchange.
+much the same way wherever it stands. Blocks are indexed by their anchor, each
+with the place it was found at, and every document is parsed greedily against
+all earlier blocks of the corpus: within a block, windows that stand earlier
+extend a factor as far as it goes, and factors of neighbouring blocks join. A
+passage covers the blocks at its ends only in part, so the blocks at the
+boundaries of factors are checked window by window like all others. A factor is at
+least a window long and becomes a duplicate span.
+
+Windows are compared by 96 bits of hash. Equal blocks of an Arrow batch are sent
+on once. A block whose anchor is very common would meet too many others in one
+task; its windows are sent one by one, which spreads them over all tasks. Texts
+are shuffled once: both joins by document use the same exchange.
 """
 
 from __future__ import annotations
@@ -25,51 +26,38 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from blackspot.llm.arrays import SECOND, WORDS, anchors, join_words, mix, range_hash, spread, sums, word_hashes, words
 from blackspot.llm.common import documents, id_back, stored
-from blackspot.llm.repeats import (copies, each_slab, list_rows, numbered, pack, record, span_cover, unpack, whole_partition,
-                                   with_spans)
+from blackspot.llm.repeats import (SPAN, STRING, TEXT, copies, each_slab, elsewhere, flat_runs, grouped, numbered, pack, record,
+                                   repeated_runs, runs, span_cover, unpack, with_spans)
 
 WINDOW = 20
 GRAM = 6
 
-RUN = "key long, doc long, run long, times long"
-BLOCK = "key long, check long, doc long, run long, w array<long>, v array<int>"
-PLACE = "w long, v int, doc long, s long, e long"
-
-
-def elsewhere(doc: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Keys that spread rows which only pass through a shuffle."""
-    return mix(doc.view(np.uint64) * np.uint64(31) + place.astype(np.int64).view(np.uint64)).view(np.int64)
+BLOCK = "key long, check int, doc long, run long, kind int, w array<long>, v array<int>"
 
 
 def claim(window: int, gram: int):
-    """Runs of windows and their anchors; all but the first of an anchor in a batch are known to repeat."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, docs, packed = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for part, data, offsets in each_slab(b):
                 starts, ends, first = words(data, offsets)
-                seq, start, count, key, _ = anchors(word_hashes(data, starts, ends), first, window, gram, WORDS)
-                keys.append(key), docs.append(part["doc"].to_numpy()[seq]), packed.append(pack(start - first[seq], count))
-            key, doc, runs = (np.concatenate(x) for x in (keys, docs, packed))
-            _, index, n = np.unique(key, return_index=True, return_counts=True)
-            times = np.zeros(len(key), np.int64)
-            times[index] = n
-            yield record("key doc run times", np.where(times > 0, key.view(np.int64), elsewhere(doc, runs)), doc, runs, times)
+                seq, start, count, key, place = anchors(word_hashes(data, starts, ends), first, window, gram, WORDS)
+                yield record("key doc run", key.view(np.int64), part["doc"].to_numpy()[seq], pack(start - first[seq], count, place - start))
     return run
 
 
-def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs whose anchor occurs twice in the corpus."""
-    key, doc, runs, times = whole_partition(batches, "key doc run times")
-    live = np.flatnonzero(times > 0)
-    _, member = np.unique(key[live], return_inverse=True)
-    again = times == 0
-    again[live] = np.bincount(member, weights=times[live])[member] > 1 if len(live) else False
-    yield record("doc run", doc[again], runs[again])
+def earlier(one: np.ndarray, two: np.ndarray, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Which items equal one with a smaller (document, place)."""
+    order = np.lexsort((place, doc, two, one))
+    out = np.zeros(len(order), bool)
+    if len(order):
+        head = np.append(True, (one[order[1:]] != one[order[:-1]]) | (two[order[1:]] != two[order[:-1]]))
+        first = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
+        out[order] = (doc[order] != doc[first]) | (place[order] != place[first])
+    return out
 
 
 def blocks(window: int):
-    """Blocks of the runs listed for each document, with the hashes of their windows."""
+    """Blocks of the runs listed for each document, with the hashes of their windows; windows of common anchors one by one."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
@@ -77,72 +65,66 @@ def blocks(window: int):
                 starts, ends, first = words(data, offsets)
                 h = word_hashes(data, starts, ends)
                 one, two = sums(h, WORDS), sums(h, SECOND)
-                packed, row = list_rows(part["runs"])
-                packed = packed.to_numpy(zero_copy_only=False).astype(np.int64)
+                key, packed, crowd, row = flat_runs(part["runs"])
                 place, count, _ = unpack(packed)
                 start = first[row] + place
                 stop = start + count + window - 1
                 owner, rank = spread(count)
                 at = start[owner] + rank
-                rows.append((mix(range_hash(one, start, stop, WORDS)).view(np.int64), range_hash(two, start, stop, SECOND).view(np.int64),
-                             part["doc"].to_numpy()[row], packed, mix(range_hash(one, at, at + window, WORDS)).view(np.int64),
+                rows.append((key, packed, crowd, part["doc"].to_numpy()[row], range_hash(one, start, stop, WORDS), range_hash(two, start, stop, SECOND),
+                             mix(range_hash(one, at, at + window, WORDS)).view(np.int64),
                              mix(range_hash(two, at, at + window, SECOND)).astype(np.uint32).view(np.int32)))
             if not rows:
                 continue
-            key, check, doc, packed, w, v = (np.concatenate(x) for x in zip(*rows))
-            count = unpack(packed)[1]
-            # Of equal blocks in a batch only the earliest is looked up.
-            order = np.lexsort((packed, doc, check, key))
-            later = np.zeros(len(key), bool)
-            later[order[1:]] = ((key[order[1:]] == key[order[:-1]]) & (check[order[1:]] == check[order[:-1]])
-                                & ((doc[order[1:]] != doc[order[:-1]]) | (packed[order[1:]] != packed[order[:-1]])))
-            sizes = np.where(later, 0, count)
-            keep = ~np.repeat(later, count)
-            cut = pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32))
-            yield record("key check doc run w v", np.where(later, elsewhere(doc, packed), key), check, doc, packed,
-                         pa.ListArray.from_arrays(cut, pa.array(w[keep])), pa.ListArray.from_arrays(cut, pa.array(v[keep])))
+            key, packed, crowd, doc, k1, k2, w, v = (np.concatenate(x) for x in zip(*rows))
+            place, count, _ = unpack(packed)
+            owner, rank = spread(count)
+            few = np.flatnonzero(~crowd)
+            # Of equal blocks in a batch only the earliest is looked up; so it is with single windows.
+            seen = np.zeros(len(key), bool)
+            seen[few] = earlier(k1[few], k2[few], doc[few], place[few])
+            yield blocks_of(key, doc, packed, np.where(seen, SPAN, TEXT), w, v, count, few)
+            many = np.flatnonzero(crowd[owner])
+            at = pack(place[owner[many]] + rank[many], np.ones(len(many), np.int64))
+            again = earlier(w[many], v[many], doc[owner[many]], at)
+            kind = np.where(again, SPAN, STRING).astype(np.int32)
+            none = pa.ListArray.from_arrays(pa.array(np.zeros(len(many) + 1, np.int32)), pa.array(w[:0]))
+            yield record("key check doc run kind w v", np.where(again, elsewhere(doc[owner[many]], at), w[many]), v[many], doc[owner[many]], at, kind,
+                         none, none.cast(pa.list_(pa.int32())))
     return run
 
 
+def blocks_of(key, doc, packed, kind, w, v, count, own) -> pa.RecordBatch:
+    """Rows of the blocks ``own``; one that is settled carries no windows."""
+    carry = np.zeros(len(key), bool)
+    carry[own] = kind[own] == TEXT
+    cut = pa.array(np.append(0, np.cumsum(np.where(carry, count, 0)[own])).astype(np.int32))
+    take = np.repeat(carry, count)
+    return record("key check doc run kind w v", np.where(kind == SPAN, elsewhere(doc, packed), key)[own], np.zeros(len(own), np.int32), doc[own],
+                  packed[own], kind[own].astype(np.int32), pa.ListArray.from_arrays(cut, pa.array(w[take])),
+                  pa.ListArray.from_arrays(cut, pa.array(v[take])))
+
+
 def parse(window: int):
-    """Blocks found earlier become spans ``(doc, s, e)``; the windows of the others go on as ``(w, v, doc, s, e)``."""
+    """Factors ``(doc, s, e)``: longest runs of windows that stand earlier, for all blocks of a task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(list(batches), schema=pa.schema(
-            [("key", pa.int64()), ("check", pa.int64()), ("doc", pa.int64()), ("run", pa.int64()),
-             ("w", pa.list_(pa.int64())), ("v", pa.list_(pa.int32()))])).combine_chunks()
-        if not len(t):
+        found = list(batches)
+        if not found:
             return
-        key, check, doc, packed = (t[c].to_numpy() for c in ("key", "check", "doc", "run"))
-        (w, row), (v, _) = (list_rows(t[c].combine_chunks()) for c in ("w", "v"))
+        t = pa.Table.from_batches(found).combine_chunks()
+        key, check, doc, packed, kind = (t[c].to_numpy() for c in ("key", "check", "doc", "run", "kind"))
         place, count, _ = unpack(packed)
-        found = np.bincount(row, minlength=len(key)) == 0  # settled before
-        live = np.flatnonzero(~found)
-        order = live[np.lexsort((packed[live], doc[live], check[live], key[live]))]
-        head = np.append(True, (key[order[1:]] != key[order[:-1]]) | (check[order[1:]] != check[order[:-1]]))
-        first = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))] if len(order) else order
-        found[order] = (doc[order] != doc[first]) | (packed[order] != packed[first])
-        spans = np.flatnonzero(found)
-        open_ = ~found[row]
-        rank = np.arange(len(row)) - np.searchsorted(row, row, "left")
-        s = place[row[open_]] + rank[open_]
-        yield record("w v doc s e", np.concatenate([elsewhere(doc[spans], packed[spans]), w.to_numpy()[open_]]),
-                     np.concatenate([np.zeros(len(spans), np.int32), v.to_numpy()[open_]]), np.concatenate([doc[spans], doc[row[open_]]]),
-                     np.concatenate([place[spans], s]), np.concatenate([place[spans] + count[spans] + window - 1, np.full(len(s), -1)]))
-    return run
-
-
-def check_boundaries(window: int):
-    """Windows that were seen earlier become spans; finished spans pass."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, v, doc, s, e = whole_partition(batches, "w v doc s e")
-        found = e >= 0
-        live = np.flatnonzero(~found)
-        order = live[np.lexsort((s[live], doc[live], v[live], w[live]))]
-        if len(order):
-            head = np.append(True, (w[order[1:]] != w[order[:-1]]) | (v[order[1:]] != v[order[:-1]]))
-            first = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
-            found[order] = (doc[order] != doc[first]) | (s[order] != s[first])
-        yield record("doc s e", doc[found], s[found], np.where(e < 0, s + window, e)[found])
+        w, v = (t[c].combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("w", "v"))
+        # Every window of the task: those of blocks, then single ones.
+        owner, rank = spread(np.where(kind == TEXT, count, 0))
+        string = np.flatnonzero(kind == STRING)
+        row = np.append(owner, string)
+        at = place[row] + np.append(rank, np.zeros(len(string), np.int64))
+        seen = earlier(np.append(w, key[string]), np.append(v, check[string]), doc[row], at)
+        a, z = runs(seen, row)
+        settled = np.flatnonzero(kind == SPAN)
+        yield record("doc s e", np.append(doc[settled], doc[row[a]]), np.append(place[settled], at[a]),
+                     np.append(place[settled] + count[settled], at[z] + 1) + window - 1)
     return run
 
 
@@ -151,14 +133,10 @@ def duplicate_spans(rows: DataFrame, twins: DataFrame, window: int = WINDOW, gra
 
     ``rows`` is the output of ``numbered``, ``twins`` that of ``copies``.
     """
-    repeated = (rows.select("doc", "text").mapInArrow(claim(window, gram), RUN).repartition("key")
-                .mapInArrow(settle, "doc long, run long"))
-    later = twins.filter("doc <> head").select("doc")
-    listed = repeated.join(later, "doc", "left_anti").groupBy("doc").agg(F.collect_list("run").alias("runs"))
+    listed = repeated_runs(rows, twins, claim(window, gram))
     # The inner join keeps documents with repeated anchors; the texts' exchange serves the last join too.
     near = rows.join(listed, "doc").select("doc", "doc_id", "text", "runs")
-    return (near.mapInArrow(blocks(window), BLOCK).repartition("key").mapInArrow(parse(window), PLACE).repartition("w")
-            .mapInArrow(check_boundaries(window), "doc long, s long, e long"))
+    return near.mapInArrow(blocks(window), BLOCK).repartition("key").mapInArrow(parse(window), "doc long, s long, e long")
 
 
 def remove(window: int):

@@ -25,8 +25,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from blackspot.clustering.components import components
+from blackspot.joins import split_join
 from blackspot.llm.arrays import slabs, space_joined, spread, words
-from blackspot.llm.common import documents, id_back, id_key, join_classes, stored
+from blackspot.llm.common import documents, id_back, id_key, stored
 from blackspot.runtime import cut
 
 SHINGLE_WORDS = 3
@@ -102,7 +103,7 @@ def near_links(fps: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
     tables = F.posexplode(F.array(*[F.lit(m).bitwiseAND(F.col("fp")) for m in keep])).alias("mask", "key")
     placed = fps.select("fp", tables)
     crowded = cut(placed.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"))
-    met = join_classes(placed, crowded, ["mask", "key"], "members", "fp")
+    met = split_join(placed, crowded, ["mask", "key"], "members", "fp")
     near, far = max_distance // 2, (max_distance + 1) // 2
     choice = F.lit(None)
     for i, bits in enumerate(families):
@@ -132,8 +133,8 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, max_distance: i
     rooted = cut(classes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left")
                  .select("fp", "least", "n", F.coalesce("root", "fp").alias("root")))
     groups = rooted.groupBy("root").agg(F.min("least").alias("component"), F.count(F.lit(1)).alias("members"))
-    named = cut(join_classes(rooted, cut(groups), ["root"], "members", "fp").select("fp", "n", "component"))
-    out = join_classes(prints, named, ["fp"], "n", "doc")
+    named = cut(split_join(rooted, cut(groups), ["root"], "members", "fp").select("fp", "n", "component"))
+    out = split_join(prints, named, ["fp"], "n", "doc")
     return out.select(id_back(F.col("doc")).alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
                       id_back(F.col("component")).alias("component_id"))
 

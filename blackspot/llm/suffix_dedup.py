@@ -28,22 +28,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from blackspot.llm.arrays import BYTES, SECOND, anchors, mix, range_hash, spread, sums
-from blackspot.llm.common import documents, id_back, join_classes, stored
-from blackspot.llm.repeats import (PLACE_BITS, copies, each_slab, list_rows, numbered, pack, record, runs, span_cover, unpack,
-                                   with_spans)
-from blackspot.llm.rlz_dedup import elsewhere
-from blackspot.runtime import cut
+from blackspot.llm.common import documents, id_back, stored
+from blackspot.llm.repeats import (PLACE_BITS, SPAN, STRING, TEXT, TWICE, copies, each_slab, elsewhere, flat_runs, grouped, numbered,
+                                   pack, record, repeated_runs, runs, span_cover, unpack, with_spans)
 
 LENGTH = 400
 GRAM = 64
-#: Bytes of a block, and the number of places from which an anchor is taken string by string.
-BLOCK, CROWD = 1 << 21, 1000
+#: Bytes of a block.
+BLOCK = 1 << 21
 #: A perfect difference set: every residue is a difference of two members.
 PERIOD, COVER = 31, (0, 1, 3, 8, 12, 18)
 
 PIECE = "key long, check long, doc long, run long, kind int, text binary"
-#: Kinds of rows: a span that is settled, one string of a crowded anchor, text of a bucket, and such text seen twice.
-SPAN, STRING, TEXT, TWICE = range(4)
 
 
 def shifts() -> np.ndarray:
@@ -170,8 +166,7 @@ def pieces(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part, data, offsets in each_slab(b):
-                listed, row = list_rows(part["runs"])
-                key, packed, crowd = (listed.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+                key, packed, crowd, row = flat_runs(part["runs"])
                 doc = part["doc"].to_numpy()[row]
                 place, count, anchor = unpack(packed)
                 start = offsets[row] + place
@@ -208,15 +203,6 @@ def once(one: np.ndarray, two: np.ndarray, doc: np.ndarray, packed: np.ndarray,
     return record("key check doc run kind text", keys, two.view(np.int64), doc, packed, kinds.astype(np.int32), text)
 
 
-def grouped(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """An order that puts equal pairs together, the first of each group and the size of each group."""
-    order = np.lexsort((two, one))
-    if not len(order):
-        return order, order, order
-    head = np.flatnonzero(np.append(True, (one[order[1:]] != one[order[:-1]]) | (two[order[1:]] != two[order[:-1]])))
-    return order, order[head], np.diff(np.append(head, len(order)))
-
-
 def sort_buckets(length: int):
     """Spans ``(doc, s, e)`` of repeated strings; the rows of a task come in the order of their keys."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,12 +266,7 @@ def sort_block(t: pa.RecordBatch, length: int) -> pa.RecordBatch:
 
 def repeated_spans(rows: DataFrame, twins: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """Byte spans ``(doc, s, e)`` of strings that start twice, but for copies of whole texts other than the first."""
-    found = rows.select("doc", "text").mapInArrow(claim(length, gram), "key long, doc long, run long")
-    many = cut(found.groupBy("key").agg(F.count(F.lit(1)).alias("places")).filter("places > 1"))
-    near = join_classes(found, many, ["key"], "places", "doc")
-    later = twins.filter("doc <> head").select("doc")
-    listed = near.join(later, "doc", "left_anti").groupBy("doc").agg(
-        F.collect_list(F.struct("key", "run", (F.col("places") > CROWD).alias("crowd"))).alias("runs"))
+    listed = repeated_runs(rows, twins, claim(length, gram))
     return (rows.join(listed, "doc").select("doc", "doc_id", "text", "runs").mapInArrow(pieces(length), PIECE)
             .repartition("key").sortWithinPartitions("key").mapInArrow(sort_buckets(length), "doc long, s long, e long"))
 

@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from blackspot.llm.common import join_classes
+from blackspot.joins import split_join
 from blackspot.runtime import cut
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -87,9 +87,9 @@ def reputation(labelled: DataFrame) -> DataFrame:
     everywhere = (bad + PRIOR_PAGES / 2) / (n + PRIOR_PAGES)
     domains = cut(up(hosts, "domain", "suffix"))
     suffixes = cut(shrunk(up(domains, "suffix").withColumn("p", F.lit(everywhere))).select("suffix", F.col("share").alias("p"), "_size"))
-    domains = shrunk(cut(join_classes(domains.withColumnRenamed("_size", "_hosts"), suffixes, ["suffix"], "_size", "domain").drop("_size")))
+    domains = shrunk(cut(split_join(domains.withColumnRenamed("_size", "_hosts"), suffixes, ["suffix"], "_size", "domain").drop("_size")))
     domains = cut(domains.select("domain", F.col("share").alias("p"), F.col("_hosts").alias("_size")))
-    return shrunk(cut(join_classes(hosts, domains, ["domain"], "_size", "host"))).select("host", "pages", "n", "bad", "a", "b", "share")
+    return shrunk(cut(split_join(hosts, domains, ["domain"], "_size", "host"))).select("host", "pages", "n", "bad", "a", "b", "share")
 
 
 def low_bound(deviations: float) -> Column:
@@ -112,7 +112,7 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, thre
     rows = pages.select("page_id", host.alias("host"), path.alias("path")).withColumns({"rule": rule, "ruled": verdict})
     known = cut(reputation(rows.select("host", F.when(F.col("ruled").isNotNull(), (F.col("ruled") == BLOCK).cast("int")).alias("outcome")))
                 .withColumn("risky", low_bound(deviations) > threshold).select("host", "pages", "share", "risky"))
-    judged = join_classes(rows, known, ["host"], "pages", "path")
+    judged = split_join(rows, known, ["host"], "pages", ["page_id", "path"])
     return judged.select("page_id", "host", "path", "rule",
                          F.coalesce("ruled", F.when(F.col("risky"), BLOCK).otherwise(ALLOW)).alias("verdict"), "share")
 
