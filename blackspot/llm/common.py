@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from blackspot.runtime import cut
@@ -37,3 +40,11 @@ def stored(df: DataFrame) -> DataFrame:
         return cut(df)
     finally:
         conf.set(name, before)
+
+
+def in_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches, at most ``ROWS`` at a time, for tasks whose batches the caller's session sizes."""
+    for b in batches:
+        for row in range(0, len(b), ROWS):
+            yield b.slice(row, ROWS)
+        pa.default_memory_pool().release_unused()

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from blackspot.llm.arrays import ALNUM, WORDS, mix, range_hash, spread, sums, word_hashes, words
-from blackspot.llm.common import documents, id_back, id_key, stored
+from blackspot.llm.common import documents, id_back, id_key, in_parts, stored
 from blackspot.llm.repeats import each_slab, record
 from blackspot.llm.simhash import LOWER
 
@@ -154,7 +154,7 @@ def contaminated(docs: DataFrame, items: DataFrame, item_id: str = "item_id", wi
         queries = Queries([r["item"] for r in block], [r["text"].encode() for r in block], width, threshold)
 
         def run(batches: Iterator[pa.RecordBatch], queries: Queries = queries) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in in_parts(batches):
                 for part, data, offsets in each_slab(b):
                     hits = queries.matches(data, offsets, width) if queries.ids else []
                     at, item, shared = (np.array(x, np.int64) for x in zip(*hits)) if hits else (np.zeros(0, np.int64),) * 3

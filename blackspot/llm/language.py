@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from blackspot.llm.arrays import BYTES, mix, range_hash, spread, sums, words
-from blackspot.llm.common import documents, id_back, id_key, stored
+from blackspot.llm.common import documents, id_back, id_key, in_parts, stored
 from blackspot.llm.repeats import each_slab, record
 from blackspot.llm.simhash import LOWER
 
@@ -221,7 +221,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         names = np.array([*model.labels, UNDEFINED], object)
-        for b in batches:
+        for b in in_parts(batches):
             for part, data, offsets in each_slab(b):
                 f = Features(data, offsets)
                 n = len(part)

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from blackspot.llm.arrays import BYTES, SECOND, mix, range_hash, slabs, spread, sums
-from blackspot.llm.common import documents, id_back, id_key, stored
+from blackspot.llm.common import documents, id_back, id_key, in_parts, stored
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
@@ -307,7 +307,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = load(path)
-        for b in batches:
+        for b in in_parts(batches):
             yield pa.RecordBatch.from_arrays([b["doc"], encode_array(b["text"], p)], names=["doc", "ids"])
     return docs.select(id_key().alias("doc"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc long, ids array<int>")
 
@@ -318,7 +318,7 @@ def decode(coded: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = load(path)
-        for b in batches:
+        for b in in_parts(batches):
             yield pa.RecordBatch.from_arrays([b["doc"], b["ids"], decode_array(b["ids"], p)], names=["doc", "ids", "text"])
     return coded.select("doc", "ids").mapInArrow(run, "doc long, ids array<int>, text string")
 
