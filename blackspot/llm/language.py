@@ -145,8 +145,6 @@ def train(texts: list[bytes], langs: list[str]) -> Model:
         for low in range(0, n, CHAIN * BATCH_CHAINS):
             order = flow[low:low + CHAIN * BATCH_CHAINS]
             lengths = np.minimum(len(order) - np.arange(0, len(order), CHAIN), CHAIN)
-            picked = np.zeros(n, bool)
-            picked[order] = True
             scores, position = subset(model, f, order)
             got, pairs = posteriors(scores, np.arange(len(order)), lengths, model.transition)
             y = label[order]
