@@ -3,12 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import DataType
 
 
 def to_degrees(c: Column) -> Column:
-    """Text or number to double; unreadable text and NaN become NULL."""
+    """Text or number to double; unreadable text, NaN and infinity become NULL."""
     d = c.try_cast("double")
-    return F.when(~F.isnan(d), d)
+    return F.when(F.abs(d) < float("inf"), d)
+
+
+def to_whole(c: Column, kind: str | DataType) -> Column:
+    """Text to a whole number, also one written as ``1.0``; unreadable and fractional text becomes NULL."""
+    d = c.try_cast("double")
+    return F.coalesce(c.try_cast(kind), F.when(d == F.floor(d), d.try_cast(kind)))
 
 
 def to_date(c: Column) -> Column:

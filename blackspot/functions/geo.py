@@ -43,7 +43,7 @@ def haversine_miles(lat: Column, lon: Column, lat0: Column, lon0: Column) -> Col
 
 def micro(degrees: Column) -> Column:
     """Degrees as whole micro-degrees (about 11 cm), so that sums and ties are exact."""
-    return F.round(degrees * F.lit(float(MICRO))).cast("bigint")
+    return F.round(degrees * F.lit(float(MICRO))).try_cast("bigint")
 
 
 def morton(x: Column, y: Column) -> Column:

@@ -17,7 +17,7 @@ def project_crashes(df: DataFrame) -> DataFrame:
 
 
 def clean_coordinates(df: DataFrame, lat: str = "Latitude", lon: str = "Longitude") -> DataFrame:
-    """Coordinates as doubles, without the rows that lack one of them (NULL or NaN).
+    """Coordinates as doubles, without the rows that lack one of them (NULL, NaN or infinite).
 
     A column that already is a double stays a plain column, so that filters on it
     reach the file scan.
@@ -25,7 +25,8 @@ def clean_coordinates(df: DataFrame, lat: str = "Latitude", lon: str = "Longitud
     require_columns(df, lat, lon)
     types = dict(df.dtypes)
     parsed = {c: to_degrees(F.col(c)) for c in (lat, lon) if types[c] != "double"}
-    return (df.withColumns(parsed) if parsed else df).dropna(subset=[lat, lon])
+    finite = (F.abs(F.col(lat)) < float("inf")) & (F.abs(F.col(lon)) < float("inf"))
+    return (df.withColumns(parsed) if parsed else df).dropna(subset=[lat, lon]).filter(finite)
 
 
 def parse_dates(df: DataFrame, column: str = "Crash_Date") -> DataFrame:

@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from blackspot.sources.schema import CRASH_COLUMNS
 
-# The same text runs in Spark and in the checking engine; integers only.
+# The same text runs in Spark and in the checking engine; integers only. The id
+# folds all keys of a line into 61 bits with a prime modulus, in wide integers,
+# so that it has room for tables of any scale.
 KEYS_SQL = """
-SELECT (((l_orderkey * 10 + l_linenumber) * 20000 + l_partkey) * 1000 + l_suppkey) * 3000
-    + (year(l_shipdate) - 1995) * 372 + month(l_shipdate) * 31 + day(l_shipdate) AS crash_id,
+SELECT CAST((((CAST(l_orderkey * 10 + l_linenumber AS {wide}) * 1000003 + l_partkey) * 1000003 + l_suppkey) * 4000
+    + (year(l_shipdate) - 1990) * 372 + month(l_shipdate) * 31 + day(l_shipdate)) % 2305843009213693951 AS BIGINT) AS crash_id,
   l_orderkey * 10 + l_linenumber AS n, l_orderkey AS o, l_linenumber AS ln,
   l_partkey AS p, l_suppkey AS s, l_shipdate
 FROM lineitem"""
@@ -43,7 +45,7 @@ FROM crash_values"""
 def crash_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     lineitem = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     values = VALUES_SQL.format(date_text="date_format(l_shipdate, 'MM/dd/yyyy')")
-    sql = f"WITH src AS ({KEYS_SQL.replace('lineitem', '{lineitem}')}), crash_values AS ({values}) {CRASHES_SQL.format(more='')}"
+    sql = f"WITH src AS ({KEYS_SQL.format(wide='DECIMAL(38,0)').replace('FROM lineitem', 'FROM {lineitem}')}), crash_values AS ({values}) {CRASHES_SQL.format(more='')}"
     return spark.sql(sql, lineitem=lineitem).select(*CRASH_COLUMNS)
 
 
@@ -51,5 +53,5 @@ def crash_cte() -> str:
     """The view as the opening CTEs of a query for the checking engine."""
     values = VALUES_SQL.format(date_text="strftime(l_shipdate, '%m/%d/%Y')")
     crashes = CRASHES_SQL.format(more=", lat_e6, lon_e6")
-    return (f"WITH src AS ({KEYS_SQL}), crash_values AS ({values}), crash AS ({crashes}), "
+    return (f"WITH src AS ({KEYS_SQL.format(wide='HUGEINT')}), crash_values AS ({values}), crash AS ({crashes}), "
             "pts AS (SELECT * FROM crash WHERE lat_e6 IS NOT NULL AND lon_e6 IS NOT NULL)")

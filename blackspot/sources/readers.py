@@ -6,32 +6,69 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from blackspot.functions.columns import to_degrees
+from blackspot.functions.columns import to_degrees, to_whole
 from blackspot.runtime import require_columns
 from blackspot.sources.schema import CRASH_COLUMNS, CRASH_SCHEMA
 
+TREE = {"pathGlobFilter": "*.csv", "recursiveFileLookup": True}
 
-def read_crashes(spark: SparkSession, path: str, all_columns: bool = False) -> DataFrame:
+
+def files_by_header(spark: SparkSession, path: str | list[str], **options) -> list[list[str]]:
+    """The files below ``path`` in groups with the same header line.
+
+    One file needs no look. Several are scanned once as text for their first
+    lines, each in the task that reads the file's beginning; what comes back is
+    one row per different header.
+    """
+    files = spark.read.options(**options).text(path).inputFiles()
+    if len(files) < 2:
+        return [files] if files else []
+    place = F.col("_metadata.file_path")
+    lines = (spark.read.options(**options).text(path).filter(F.col("_metadata.file_block_start") == 0)
+             .select(place.alias("file"), F.struct(F.monotonically_increasing_id().alias("at"), "value").alias("line")))
+    heads = lines.groupBy("file").agg(F.min("line").alias("line"))
+    rows = heads.groupBy(F.regexp_replace("line.value", "^\ufeff|\r$", "").alias("header")).agg(F.sort_array(F.collect_list("file")).alias("files"))
+    return [r["files"] for r in rows.orderBy("header").collect()]
+
+
+def read_group(spark: SparkSession, files: list[str], schema: T.StructType | None = None) -> DataFrame:
+    """Files with one header, by its names; those that are in ``schema`` get their types from it."""
+    names = spark.read.option("header", True).csv(files[:1]).schema
+    types = {f.name: f.dataType for f in schema} if schema else {}
+    typed = T.StructType([T.StructField(f.name, types.get(f.name, T.StringType())) for f in names])
+    return spark.read.schema(typed).option("header", True).option("enforceSchema", False).csv(files)
+
+
+def read_crashes(spark: SparkSession, path: str | list[str], all_columns: bool = False) -> DataFrame:
     """Crash CSV with a header row, cut to the twelve crash columns and typed.
 
-    Columns are matched by header name, so files may hold more columns in any
-    order. No inference pass is run: everything is read as text, and numbers are
-    cast where they are used; an unreadable number becomes NULL.
+    Columns are matched by header name, file by file, so files may hold more
+    columns in any order. No inference pass is run: everything is read as text,
+    and numbers are cast; a whole number may be written with a decimal point, and
+    an unreadable or fractional one becomes NULL.
     """
-    raw = spark.read.option("header", True).csv(path)
-    require_columns(raw, *CRASH_COLUMNS)
+    groups = [read_group(spark, files) for files in files_by_header(spark, path)]
+    if not groups:
+        raise ValueError(f"no files in {path}")
+    for group in groups:
+        require_columns(group, *CRASH_COLUMNS)
+    raw = union_by_name(groups)
     typed = {
-        f.name: (to_degrees(F.col(f.name)) if isinstance(f.dataType, T.DoubleType)
-                 else F.col(f.name).try_cast(f.dataType))
+        f.name: (to_degrees(F.col(f.name)) if isinstance(f.dataType, T.DoubleType) else to_whole(F.col(f.name), f.dataType))
         for f in CRASH_SCHEMA if not isinstance(f.dataType, T.StringType)
     }
     return raw.withColumns(typed) if all_columns else raw.withColumns(typed).select(*CRASH_COLUMNS)
 
 
-def read_csv_directory(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """All ``*.csv`` files below ``path`` that share ``schema``, as one table."""
-    return (spark.read.schema(schema).option("header", True)
-            .option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True).csv(path))
+def read_csv_directory(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
+    """The columns of ``schema`` from all ``*.csv`` files below ``path``, by name; one that a file lacks is NULL there."""
+    groups = files_by_header(spark, path, **TREE)
+    tables = []
+    for files in groups:
+        table = read_group(spark, files, schema)
+        tables.append(table.select(*[F.col(f"`{f.name}`") if f.name in table.columns else F.lit(None).cast(f.dataType).alias(f.name)
+                                     for f in schema]))
+    return union_by_name(tables) if tables else spark.createDataFrame([], schema)
 
 
 def union_by_name(frames: list[DataFrame]) -> DataFrame:

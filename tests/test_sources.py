@@ -13,6 +13,38 @@ def test_urls(spark):
     assert [tuple(r) for r in got] == [("data", "raw/a.csv", "s3a://data/raw/a.csv"), ("data", "x", "s3a://data//x"), ("h", "p", "https://h/p")]
 
 
+def test_urls_with_odd_characters(spark):
+    df = spark.createDataFrame([("s3://my_bucket/a b/x#1?y=2.csv",), ("S3A://b.c/k\nl",), ("http://h/p?q#f",), ("no address",), ("s3:/one",), (None,), ("",)], "u string")
+    got = df.select(urls.bucket(F.col("u")).alias("b"), urls.object_key(F.col("u")).alias("k")).collect()
+    assert [tuple(r) for r in got] == [("my_bucket", "a b/x#1?y=2.csv"), ("b.c", "k\nl"), ("h", "p")] + [(None, None)] * 4
+
+
+def test_files_with_different_headers(spark, tmp_path):
+    rows = {c: "0" for c in CRASH_COLUMNS} | {"Latitude": "29.5", "Longitude": "-98.5", "Crash_Date": "1/2/2022", "Crash_Fatal_Fl": "N"}
+    write = lambda name, head, **values: (tmp_path / name).write_text(",".join(head) + "\n" + ",".join((rows | {"X": "x"} | values)[c] for c in head) + "\n")
+    write("a.csv", CRASH_COLUMNS, Crash_ID="1", Death_Cnt="1.0")
+    write("b.csv", CRASH_COLUMNS[::-1], Crash_ID="2", Death_Cnt="0.5")
+    write("c.csv", ["X", *sorted(CRASH_COLUMNS)], Crash_ID="9007199254740993", Latitude="Infinity")
+    got = {r.Crash_ID: r for r in readers.read_crashes(spark, str(tmp_path)).collect()}
+    assert [(got[i].Death_Cnt, got[i].Latitude) for i in (1, 2, 9007199254740993)] == [(1, 29.5), (None, 29.5), (0, None)]
+    mixed = readers.read_csv_directory(spark, str(tmp_path), centroid_schema("Crash_ID"))
+    assert mixed.columns == centroid_schema("Crash_ID").names and mixed.filter("fatality_rate is null").count() == 3
+
+
+def test_scratch_tables_go_with_their_rounds(spark):
+    from pathlib import Path
+    from blackspot.clustering.components import components
+    from blackspot.runtime import cut, forget
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    before = set(folder.glob("*")) if folder.exists() else set()
+    path = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    assert components(path).count() == 301
+    assert len(set(folder.glob("*")) - before) == 1
+    table = cut(path)
+    forget(table)
+    assert len(set(folder.glob("*")) - before) == 1
+
+
 def test_shared_folder_is_the_configured_one(spark):
     assert spark.sparkContext.getConf().get("spark.checkpoint.dir") in shared_folder(spark)
 
@@ -55,5 +87,5 @@ def test_batch_then_evaluation(spark, tmp_path):
     run_evaluation(spark, str(tmp_path / "cents"), str(tmp_path / "maps"), range(1, 3), 50)
     cents = readers.read_csv_directory(spark, str(tmp_path / "cents"), centroid_schema("kmeans_cluster"))
     assert cents.count() == 2
-    near = spark.read.json(str(tmp_path / "maps" / "high_fatality_clusters_1"))
+    near = spark.read.json(str(tmp_path / "maps" / "rank=1"))
     assert near.count() == 2 and set(r.color_hex for r in near.collect()) == {"#ff0000", "#008000"}
