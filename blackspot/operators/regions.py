@@ -7,6 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, functions as F
 
 from blackspot.functions.columns import to_degrees
+from blackspot.joins import split_join
 from blackspot.operators.clean import clean_coordinates
 from blackspot.runtime import require_columns
 
@@ -27,8 +28,8 @@ STUDY_REGIONS = [
     Region("austin", 30.25, 30.35, -97.73, -97.63),
 ]
 
-# Up to this many boxes are tested by one expression per row; more go through a join.
-INLINE_REGIONS = 32
+# Up to this many boxes are sent to every task; more are joined by shuffles. The rows are the same.
+BROADCAST_REGIONS = 10_000
 # Side of the join cells in degrees.
 CELL_DEGREES = 0.5
 
@@ -47,23 +48,23 @@ def filter_region(df: DataFrame, lat_bounds: tuple[float, float], lon_bounds: tu
 
 
 def tag_regions(df: DataFrame, regions: list[Region], lat: str = "Latitude", lon: str = "Longitude") -> DataFrame:
-    """One output row per row and box that holds it, with the box name in ``region``."""
+    """One output row per row and box that holds it, with the box name in ``region``.
+
+    The box around all boxes is short enough for the scan to use. The boxes
+    themselves are cut into cells, which turns the range test into an equality
+    join; their list comes from the caller, so its size is known. No boxes give
+    no rows.
+    """
     df = clean_coordinates(df, lat, lon)
-    if len(regions) <= INLINE_REGIONS:
-        hits = F.array_compact(F.array(*[
-            F.when(F.col(lat).between(r.lat_min, r.lat_max) & F.col(lon).between(r.lon_min, r.lon_max), F.lit(r.name))
-            for r in regions]))
-        # The box around all boxes is short enough for the scan to use.
-        lats, lons = zip(*[(r.lat_min, r.lat_max) for r in regions]), zip(*[(r.lon_min, r.lon_max) for r in regions])
-        (lat_min, lat_max), (lon_min, lon_max) = [(min(lo), max(hi)) for lo, hi in (lats, lons)]
-        df = df.filter(F.col(lat).between(lat_min, lat_max) & F.col(lon).between(lon_min, lon_max))
-        return df.withColumn("region", F.explode(hits))
-    # The box list comes from the driver, so its size is known; the boxes are cut
-    # into cells to turn the range test into an equality join.
+    if not regions:
+        return df.withColumn("region", F.lit("")).limit(0)
+    df = df.filter(F.col(lat).between(min(r.lat_min for r in regions), max(r.lat_max for r in regions))
+                   & F.col(lon).between(min(r.lon_min for r in regions), max(r.lon_max for r in regions)))
     cell = lambda c: F.floor(c / F.lit(CELL_DEGREES))
     boxes = (df.sparkSession.createDataFrame([(r.name, *map(float, r[1:])) for r in regions], "region string, _a double, _b double, _c double, _d double")
              .withColumn("_cy", F.explode(F.sequence(cell(F.col("_a")), cell(F.col("_b")))))
              .withColumn("_cx", F.explode(F.sequence(cell(F.col("_c")), cell(F.col("_d"))))))
+    boxes = F.broadcast(boxes) if len(regions) <= BROADCAST_REGIONS else boxes
     return (df.withColumns({"_cy": cell(F.col(lat)), "_cx": cell(F.col(lon))})
             .join(boxes, ["_cy", "_cx"])
             .filter(F.col(lat).between(F.col("_a"), F.col("_b")) & F.col(lon).between(F.col("_c"), F.col("_d")))
@@ -78,15 +79,14 @@ def density_split(df: DataFrame, min_crashes: int, cell_degrees: float = 0.1,
                   lat: str = "Latitude", lon: str = "Longitude") -> DataFrame:
     """Mark each row ``urban`` or ``rural`` by the number of crashes in its grid cell.
 
-    Cells are counted before they are joined back. Only urban cells are kept on
-    that side; there are at most rows / ``min_crashes`` of them.
+    Cells are counted before they are joined back, and the rows of a crowded cell
+    are dealt to several tasks.
     """
     df = clean_coordinates(df, lat, lon)
     # Whole micro-degrees keep cell edges exact.
     side = round(cell_degrees * 1_000_000)
     cell = lambda c: F.floor(F.round(F.col(c) * 1e6) / F.lit(side))
     keyed = df.withColumns({"cell_lat": cell(lat), "cell_lon": cell(lon)})
-    dense = (keyed.groupBy("cell_lat", "cell_lon").agg(F.count(F.lit(1)).alias("_n"))
-             .filter(F.col("_n") >= min_crashes))
-    return (keyed.join(dense, ["cell_lat", "cell_lon"], "left")
-            .withColumn("area", F.when(F.col("_n").isNotNull(), "urban").otherwise("rural")).drop("_n"))
+    counted = keyed.groupBy("cell_lat", "cell_lon").agg(F.count(F.lit(1)).alias("_n"))
+    return (split_join(keyed, counted, ["cell_lat", "cell_lon"], "_n", [lat, lon])
+            .withColumn("area", F.when(F.col("_n") >= min_crashes, "urban").otherwise("rural")).drop("_n"))

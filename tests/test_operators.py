@@ -20,12 +20,45 @@ def test_box_edges_belong_to_the_region(spark):
     assert {r.id for r in regions.filter_region(text, (29.7, 29.8), (-98.8, -98.6)).collect()} == {1, 2}
 
 
-def test_many_boxes_give_the_same_tags_through_the_join(spark):
-    boxes = [regions.Region(f"b{i}", 29 + i * .1, 29.15 + i * .1, -99, -97) for i in range(regions.INLINE_REGIONS + 5)]
+def plan_of(frame):
+    """The physical plan with the whole lists of filters and columns."""
+    conf = frame.sparkSession.conf
+    conf.set("spark.sql.maxMetadataStringLength", "10000")
+    try:
+        return frame.select("*")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        conf.unset("spark.sql.maxMetadataStringLength")
+
+
+@pytest.mark.parametrize("sent", [regions.BROADCAST_REGIONS, 3])
+def test_many_boxes_prune_the_scan(spark, tmp_path, monkeypatch, sent):
+    monkeypatch.setattr(regions, "BROADCAST_REGIONS", sent)
+    boxes = [regions.Region(f"b{i}", 29 + i * .1, 29.15 + i * .1, -99, -97) for i in range(37)]
     df = spark.createDataFrame([(i, 29 + i * .07, -98.0) for i in range(60)], "id int, Latitude double, Longitude double")
-    got = {(r.id, r.region) for r in regions.tag_regions(df, boxes).collect()}
+    df.write.parquet(str(tmp_path / "t"))
+    tagged = regions.tag_regions(spark.read.parquet(str(tmp_path / "t")), boxes)
+    got = {(r.id, r.region) for r in tagged.collect()}
     want = {(i, b.name) for i in range(60) for b in boxes if b.lat_min <= 29 + i * .07 <= b.lat_max}
     assert got == want and len(got) > 60
+    plan = plan_of(tagged)
+    assert "GreaterThanOrEqual(Latitude,29.0)" in plan and "LessThanOrEqual(Longitude,-97.0)" in plan
+    assert regions.tag_regions(df, []).collect() == [] and "region" in regions.tag_regions(df, []).columns
+
+
+def test_region_filter_reaches_the_scan(spark, tmp_path):
+    df = spark.createDataFrame([(1, 29.5, -98.0), (2, 31.0, -98.0)], "id int, Latitude double, Longitude double")
+    df.write.parquet(str(tmp_path / "t"))
+    cut = regions.filter_region(spark.read.parquet(str(tmp_path / "t")), (29, 30), (-99, -97)).select("id")
+    assert [r.id for r in cut.collect()] == [1]
+    plan = plan_of(cut)
+    assert "GreaterThanOrEqual(Latitude,29.0)" in plan and "ReadSchema: struct<id:int,Latitude:double,Longitude:double>" in plan
+
+
+def test_infinite_coordinates_are_dropped(spark):
+    df = spark.createDataFrame([(1, "29.5", "-98"), (2, "Infinity", "-98"), (3, "29", "-inf"), (4, "1e300", "0")], "id int, Latitude string, Longitude string")
+    assert [r.id for r in clean.clean_coordinates(df).collect()] == [1, 4]
+    doubles = spark.createDataFrame([(1, 29.5, -98.0), (2, math.inf, -98.0), (3, math.nan, 0.0)], "id int, Latitude double, Longitude double")
+    assert [r.id for r in clean.clean_coordinates(doubles).collect()] == [1]
 
 
 def test_unreadable_coordinates_are_dropped(spark):
