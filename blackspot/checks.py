@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from blackspot.clustering.dbscan import dbscan, dbscan_summary, neighbor_counts
-from blackspot.clustering.gmm import gmm_ml
+from blackspot.clustering import mixture
 from blackspot.clustering.hierarchical import hierarchical
-from blackspot.clustering.kmeans import kmeans, kmeans_ml, lloyd
+from blackspot.clustering.kmeans import MAX_ITER, kmeans, lloyd
 from blackspot.clustering.points import X_SHIFT, Y_SHIFT, label_rows, place, positions
 from blackspot.operators import clean, layers, neighborhood, ranking, rates, regions
-from blackspot.plans.hotspots import CLUSTER, ranked_hotspots
+from blackspot.plans.hotspots import CLUSTER, ranked_hotspots, urban_rural_hotspots
 from blackspot.runtime import scratch_path
 from blackspot.sources import readers, urls, writers
 from blackspot.sources.crash_view import crash_cte, crash_view
@@ -23,13 +23,13 @@ BOXES = [regions.Region("r0", 25.89, 25.91, -106.51, -106.49),
          regions.Region("r3", 27.196361, 27.216361, -101.563239, -101.543239)]
 YEAR = 1997
 PER_CLUSTER = 250
-LLOYD_ROUNDS = 6
-GMM_ROUNDS = 10
 CELL_E6 = 250_000
 RANK, MILES = 3, 50
 MIN_CRASHES = 40
 URBAN_CRASHES = 50
 EPS_E6, MIN_SAMPLES = 3000, 100
+# Rounds written out in the SQL of the mixture, which settles earlier.
+MIXTURE_ROUNDS = 40
 
 COLUMNS = ", ".join(CRASH_COLUMNS)
 BASE = crash_cte()
@@ -63,9 +63,9 @@ def hex_sql(value: str) -> str:
             f"CAST(round(128.0::DOUBLE * (1.0::DOUBLE - {step} / 255.0::DOUBLE)) AS BIGINT)) END")
 
 
-def lloyd_sql(rounds: int) -> str:
-    """K-means as plain SQL: every point against every centre, the rounds written out."""
-    ctes = [f"{BASE}, p0 AS (SELECT pts.*, lon_e6 + {X_SHIFT} AS x, lat_e6 + {Y_SHIFT} AS y FROM pts)"]
+def lloyd_sql(rounds: int, src: str = "pts") -> str:
+    """K-means over the rows of ``src`` as plain SQL: every point against every centre, the rounds written out."""
+    ctes = [f"p0 AS (SELECT {src}.*, lon_e6 + {X_SHIFT} AS x, lat_e6 + {Y_SHIFT} AS y FROM {src})"]
     for i, shift, mask in ((1, 16, 0x0000FFFF0000FFFF), (2, 8, 0x00FF00FF00FF00FF), (3, 4, 0x0F0F0F0F0F0F0F0F),
                            (4, 2, 0x3333333333333333), (5, 1, 0x5555555555555555)):
         sx, sy = ("x", "y") if i == 1 else ("mx", "my")
@@ -84,24 +84,51 @@ def lloyd_sql(rounds: int) -> str:
     return ", ".join(ctes)
 
 
-LLOYD = lloyd_sql(LLOYD_ROUNDS)
-CLUSTERED = f"""{LLOYD}, kc AS (SELECT p0.*, cid AS {CLUSTER} FROM p0 JOIN a{LLOYD_ROUNDS} USING (x, y))"""
+def mixture_sql(rounds: int) -> str:
+    """The mixture over all points and components, the rounds written out; a round after the end changes nothing."""
+    comp = lambda src: f"""SELECT cid, ox + mx AS cx, oy + my AS cy, yy / det AS a, xy / det AS b, xx / det AS c,
+    ln(r / total) - {mixture.LOG_2PI!r}::DOUBLE - ln(det) / 2.0::DOUBLE AS norm FROM (
+  SELECT *, xx * yy - xy * xy AS det FROM (SELECT *, sxx / r - mx * mx + {mixture.FLOOR}::DOUBLE AS xx, syy / r - my * my + {mixture.FLOOR}::DOUBLE AS yy,
+    sxy / r - mx * my AS xy FROM (SELECT *, sx / r AS mx, sy / r AS my FROM {src}))), (SELECT CAST(sum(w) AS DOUBLE) AS total FROM spots)"""
+    sums = lambda r: (f"any_value(ox) AS ox, any_value(oy) AS oy, sum({r}) AS r, sum({r} * (x - ox)) AS sx, sum({r} * (y - oy)) AS sy, "
+                      f"sum({r} * (x - ox) * (x - ox)) AS sxx, sum({r} * (x - ox) * (y - oy)) AS sxy, sum({r} * (y - oy) * (y - oy)) AS syy")
+    density = ("norm - ((x - cx) * (x - cx) * a - 2.0::DOUBLE * ((x - cx) * (y - cy)) * b + (y - cy) * (y - cy) * c) / 2.0::DOUBLE")
+    ctes = [f"m0 AS (SELECT cid, {sums('q')} FROM (SELECT cid, x, y, CAST(w AS DOUBLE) AS q, CAST(cx AS DOUBLE) AS ox, CAST(cy AS DOUBLE) AS oy "
+            "FROM a0 JOIN c0 USING (cid)) GROUP BY cid)", f"g0 AS MATERIALIZED ({comp('m0')})", "e0 AS (SELECT CAST(NULL AS DOUBLE) AS gain, false AS done)"]
+    for i in range(1, rounds + 1):
+        ctes.append(f"d{i} AS MATERIALIZED (SELECT x, y, w, cid, cx, cy, {density} AS d FROM spots, g{i - 1} WHERE NOT (SELECT done FROM e{i - 1}))")
+        ctes.append(f"t{i} AS MATERIALIZED (SELECT x, y, any_value(w) AS w, top, sum(exp(d - top)) AS mass FROM d{i} JOIN (SELECT x, y, max(d) AS top FROM d{i} GROUP BY x, y) "
+                    "USING (x, y) GROUP BY x, y, top)")
+        ctes.append(f"l{i} AS MATERIALIZED (SELECT sum(w * (top + ln(mass))) / sum(w) AS mean FROM t{i})")
+        before = f"(SELECT mean FROM l{i - 1})" if i > 1 else "NULL"
+        ctes.append(f"e{i} AS MATERIALIZED (SELECT (SELECT done FROM e{i - 1}) OR coalesce(mean - {before} < {mixture.GAIN}::DOUBLE, false) AS done FROM l{i})")
+        ctes.append(f"m{i} AS MATERIALIZED (SELECT cid, {sums('q')} FROM (SELECT cid, x, y, cx AS ox, cy AS oy, d{i}.w * exp(d - top) / mass AS q FROM d{i} JOIN t{i} USING (x, y)) "
+                    f"WHERE NOT (SELECT done FROM e{i}) GROUP BY cid HAVING sum(q) > 0)")
+        ctes.append(f"g{i} AS MATERIALIZED (SELECT * FROM g{i - 1} WHERE (SELECT done FROM e{i}) UNION ALL {comp(f'm{i}')})")
+    ctes.append(f"gm AS (SELECT x, y, arg_max(cid, {density}) AS cid FROM spots, g{rounds} GROUP BY x, y)")
+    return ", ".join(ctes)
+
+
+RATES_SQL = """CAST(sum(CAST(Latitude AS DECIMAL(18,9))) AS DOUBLE) / count(*) AS centroid_latitude,
+  CAST(sum(CAST(Longitude AS DECIMAL(18,9))) AS DOUBLE) / count(*) AS centroid_longitude,
+  CAST(sum(Death_Cnt) AS DOUBLE) / count(Death_Cnt) AS fatality_rate, count(*) AS crashes"""
+CLUSTERED = f"{BASE}, {lloyd_sql(MAX_ITER)}, kc AS (SELECT p0.*, cid AS {CLUSTER} FROM p0 JOIN a{MAX_ITER} USING (x, y))"
 
 
 def nearest_centroid(spark, sf_dir):
     """Crashes with the nearest seed: the first assignment step of k-means."""
     placed = place(crash_view(spark, sf_dir))
-    labels, _ = lloyd(positions(placed), PER_CLUSTER, max_iter=0)
+    labels, _, _ = lloyd(positions(placed), PER_CLUSTER, max_iter=0)
     return label_rows(placed, labels, "cid").select("Crash_ID", "cid")
 
 
 def kmeans_lloyd(spark, sf_dir):
-    return (kmeans(crash_view(spark, sf_dir), PER_CLUSTER, LLOYD_ROUNDS, 0.0)
-            .select("Crash_ID", CLUSTER))
+    """Clusters of centres that rest, or of the last of ``MAX_ITER`` rounds."""
+    return kmeans(crash_view(spark, sf_dir), PER_CLUSTER, tolerance=0.0).select("Crash_ID", CLUSTER)
 
 
 def hotspot_pipeline(spark, sf_dir):
-    return ranked_hotspots(crash_view(spark, sf_dir), per_cluster=PER_CLUSTER, max_iter=LLOYD_ROUNDS, tolerance=0.0)
+    return ranked_hotspots(crash_view(spark, sf_dir), per_cluster=PER_CLUSTER, tolerance=0.0)
 
 
 def rated(spark, sf_dir):
@@ -154,8 +181,12 @@ def page_urls(spark, sf_dir):
 
 
 def uri_split(spark, sf_dir):
-    return page_urls(spark, sf_dir).select("page_id", urls.bucket(F.col("url")).alias("bucket"),
-                                           urls.object_key(F.col("url")).alias("object_key"))
+    """Addresses as they are, and as keys of a store with blanks, signs and underscores in them; some are none."""
+    page = page_urls(spark, sf_dir)
+    rest = F.regexp_replace("url", "^[a-z]+://", "")
+    made = page.select("page_id", F.explode(F.array(
+        F.col("url"), F.concat(F.lit("s3://my_bucket/a b/"), rest, F.lit("#1?v=2.csv")), F.concat(F.lit("S3A://b.c//"), rest), rest)).alias("url"))
+    return made.select("page_id", urls.bucket(F.col("url")).alias("bucket"), urls.object_key(F.col("url")).alias("object_key"))
 
 
 def uri_normalize(spark, sf_dir):
@@ -177,16 +208,26 @@ def crash_csv_roundtrip(spark, sf_dir):
     return readers.read_crashes(spark, path)
 
 
+def crash_csv_mixed(spark, sf_dir):
+    """Crash files with different orders of columns, with more columns, and with counts written as 1.0."""
+    root = scratch_path(spark, "mixed")
+    whole = crash_view(spark, sf_dir)
+    odd = F.pmod("Crash_ID", F.lit(3))
+    counts = [c for c in CRASH_COLUMNS if c.endswith("_Cnt")]
+    whole.filter(odd == 0).write.option("header", True).csv(f"{root}/a")
+    whole.filter(odd == 1).select(*CRASH_COLUMNS[::-1]).write.option("header", True).csv(f"{root}/b")
+    (whole.filter(odd == 2).withColumns({c: F.col(c).cast("double") for c in counts}).withColumn("Agency", F.lit("x, y"))
+     .select("Agency", *sorted(CRASH_COLUMNS)).write.option("header", True).csv(f"{root}/c"))
+    return readers.read_crashes(spark, [f"{root}/{x}" for x in "abc"])
+
+
 def multi_file_union(spark, sf_dir):
-    """Two CSV directories with different columns, one above many files, as one table."""
+    """CSV files with different columns in different orders below one directory, as one table."""
     root = scratch_path(spark, "parts")
-    whole = rated(spark, sf_dir)
-    writers.write_centroids(whole.filter("fatality_rate > 0").drop("crashes"), f"{root}/a/deep")
-    writers.write_centroids(whole.filter("fatality_rate = 0").drop("crashes", "fatality_rate"), f"{root}/b")
-    schema = centroid_schema("cluster")
-    left = readers.read_csv_directory(spark, f"{root}/a", schema)
-    right = readers.read_csv_directory(spark, f"{root}/b", type(schema)(schema.fields[:3]))
-    return readers.union_by_name([left, right])
+    whole = rated(spark, sf_dir).drop("crashes")
+    writers.write_centroids(whole.filter("fatality_rate > 0"), f"{root}/a/deep")
+    writers.write_centroids(whole.filter("fatality_rate = 0").select(*reversed(whole.drop("fatality_rate").columns)), f"{root}/b")
+    return readers.read_csv_directory(spark, root, centroid_schema("cluster"))
 
 
 def region_export(spark, sf_dir):
@@ -240,13 +281,15 @@ QUERIES = {
         "Crash_ID", "cell_lat", "cell_lon", "area"),
     "csv_roundtrip": csv_roundtrip,
     "crash_csv_roundtrip": crash_csv_roundtrip,
+    "crash_csv_mixed": crash_csv_mixed,
     "multi_file_union": multi_file_union,
     "region_export": region_export,
     "year_export": year_export,
     **{f"hier_{linkage}": lambda s, d, linkage=linkage: hierarchical(crash_view(s, d), linkage).select("Crash_ID", "hier_cluster")
        for linkage in ("ward", "complete", "average", "single")},
-    "gmm_ml": lambda s, d: gmm_ml(crash_view(s, d), max_iter=GMM_ROUNDS).select("Crash_ID", "gmm_cluster"),
-    "kmeans_ml": lambda s, d: kmeans_ml(crash_view(s, d)).select("Crash_ID", CLUSTER),
+    "gmm": lambda s, d: mixture.gmm(crash_view(s, d)).select("Crash_ID", "gmm_cluster"),
+    "urban_rural_hotspots": lambda s, d: urban_rural_hotspots(crash_view(s, d), URBAN_CRASHES, EPS_E6 / 1e6, MIN_SAMPLES, PER_CLUSTER,
+                                                              tolerance=0.0),
 }
 
 
@@ -270,7 +313,9 @@ def extent_sql(x: str, y: str) -> str:
     return ", ".join(sides)
 
 
-PAIRS = f"""{BASE}, cells AS (SELECT Crash_ID, lat_e6, lon_e6, lat_e6 // {EPS_E6} AS a, (lon_e6 + {X_SHIFT}) // {EPS_E6} AS b FROM pts),
+def pairs_sql(src: str = "pts") -> str:
+    """All pairs of neighbours among the rows of ``src``, and their number for each crash."""
+    return f"""cells AS (SELECT Crash_ID, lat_e6, lon_e6, lat_e6 // {EPS_E6} AS a, (lon_e6 + {X_SHIFT}) // {EPS_E6} AS b FROM {src}),
 wide AS MATERIALIZED (SELECT Crash_ID AS other, lat_e6 AS lat2, lon_e6 AS lon2, a + i AS a, b + j AS b
   FROM cells, (SELECT unnest([-1, 0, 1]) AS i), (SELECT unnest([-1, 0, 1]) AS j)),
 pairs AS MATERIALIZED (SELECT Crash_ID AS p, other AS q FROM cells JOIN wide USING (a, b)
@@ -278,22 +323,29 @@ pairs AS MATERIALIZED (SELECT Crash_ID AS p, other AS q FROM cells JOIN wide USI
 counts AS MATERIALIZED (SELECT p, count(*) AS neighbors FROM pairs GROUP BY p)"""
 
 
-def dbscan_sql(rounds: int = 10) -> str:
-    """Density clusters over all pairs of crashes: the lowest id spreads round by round."""
-    ctes = [PAIRS, f"core AS MATERIALIZED (SELECT p FROM counts WHERE neighbors >= {MIN_SAMPLES})",
-            "links AS MATERIALIZED (SELECT pairs.p, q FROM pairs JOIN core ON core.p = pairs.p WHERE q IN (SELECT p FROM core))",
-            "l0 AS (SELECT p, p AS r FROM core)"]
-    for i in range(rounds):
-        ctes.append(f"l{i + 1} AS MATERIALIZED (SELECT links.p, min(r) AS r FROM links JOIN l{i} ON l{i}.p = q GROUP BY links.p)")
-    ctes.append(f"numbered AS MATERIALIZED (SELECT p, dense_rank() OVER (ORDER BY r) - 1 AS c FROM l{rounds})")
-    ctes.append("edge AS (SELECT pairs.p, min(c) AS c FROM pairs JOIN numbered ON numbered.p = q "
-                "WHERE pairs.p NOT IN (SELECT p FROM core) GROUP BY pairs.p)")
-    ctes.append("dbs AS (SELECT pts.*, coalesce(numbered.c, edge.c, -1) AS DBSCAN_cluster FROM pts "
-                "LEFT JOIN numbered ON numbered.p = Crash_ID LEFT JOIN edge ON edge.p = Crash_ID)")
-    return ", ".join(ctes)
-
-
-DBSCAN = dbscan_sql()
+def dbscan_sql(src: str = "pts") -> str:
+    """Density clusters over all pairs of crashes: the lowest id spreads until nothing changes."""
+    return f"""{pairs_sql(src)}, core AS MATERIALIZED (SELECT p FROM counts WHERE neighbors >= {MIN_SAMPLES}),
+links AS MATERIALIZED (SELECT pairs.p, q FROM pairs JOIN core ON core.p = pairs.p WHERE q IN (SELECT p FROM core)),
+low(p, r) USING KEY (p) AS (SELECT p, p AS r FROM core UNION
+  SELECT links.p, min(low.r) AS r FROM links JOIN low ON low.p = q JOIN recurring.low AS now ON now.p = links.p
+  GROUP BY links.p, now.r HAVING min(low.r) < now.r),
+numbered AS MATERIALIZED (SELECT p, dense_rank() OVER (ORDER BY r) - 1 AS c FROM low),
+edge AS (SELECT pairs.p, min(c) AS c FROM pairs JOIN numbered ON numbered.p = q WHERE pairs.p NOT IN (SELECT p FROM core) GROUP BY pairs.p),
+dbs AS (SELECT {src}.*, coalesce(numbered.c, edge.c, -1) AS DBSCAN_cluster FROM {src}
+  LEFT JOIN numbered ON numbered.p = Crash_ID LEFT JOIN edge ON edge.p = Crash_ID)"""
+
+
+RECURSIVE = BASE.replace("WITH", "WITH RECURSIVE", 1)
+DBSCAN = f"{RECURSIVE}, {dbscan_sql()}"
+IN_CELL = "floor(lat_e6 / 1e5), floor(lon_e6 / 1e5)"
+URBAN_RURAL = f"""{RECURSIVE}, k AS (SELECT *, count(*) OVER (PARTITION BY {IN_CELL}) >= {URBAN_CRASHES} AS urban FROM pts),
+upts AS MATERIALIZED (SELECT * EXCLUDE (urban) FROM k WHERE urban), rpts AS MATERIALIZED (SELECT * EXCLUDE (urban) FROM k WHERE NOT urban),
+{dbscan_sql("upts")}, {lloyd_sql(MAX_ITER, "rpts")},
+both_ AS (SELECT 'urban' AS area, DBSCAN_cluster AS cluster, Latitude, Longitude, Death_Cnt FROM dbs WHERE DBSCAN_cluster >= 0
+  UNION ALL SELECT 'rural', cid, Latitude, Longitude, Death_Cnt FROM p0 JOIN a{MAX_ITER} USING (x, y)),
+r AS (SELECT area, cluster, {RATES_SQL} FROM both_ GROUP BY area, cluster)
+SELECT *, row_number() OVER (ORDER BY fatality_rate DESC NULLS LAST, area, cluster) AS rank FROM r"""
 RANKED = "row_number() OVER (ORDER BY fatality_rate DESC NULLS LAST, {}) AS rank"
 TYPES = dict((f.name, f.dataType.simpleString()) for f in CRASH_SCHEMA)
 
@@ -306,8 +358,11 @@ ORACLES = {
     "region_counts": f"{BASE} SELECT region, count(*) AS crashes FROM ({IN_BOXES}) GROUP BY region",
     "year_filter": f"{BASE} SELECT * EXCLUDE (lat_e6, lon_e6) REPLACE (strftime(strptime(Crash_Date, '%m/%d/%Y'), '%Y-%m-%d') AS Crash_Date) "
                    f"FROM crash WHERE Crash_Date LIKE '%/{YEAR}'",
-    "uri_split": r"SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS bucket, "
-                 r"regexp_extract(url, '^[a-z]+://[^/?#]*/*([^?#]*)', 1) AS object_key FROM pages",
+    "uri_split": r"WITH r AS (SELECT page_id, url, regexp_replace(url, '^[a-z]+://', '') AS rest FROM pages) "
+                 r"SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS bucket, "
+                 r"regexp_extract(url, '^[a-z]+://[^/?#]*/*([^?#]*)', 1) AS object_key FROM r UNION ALL "
+                 r"SELECT page_id, 'my_bucket', 'a b/' || rest || '#1?v=2.csv' FROM r UNION ALL "
+                 r"SELECT page_id, 'b.c', ltrim(rest, '/') FROM r UNION ALL SELECT page_id, NULL, NULL FROM r",
     "uri_normalize": "SELECT page_id, 's3a://' || regexp_replace(url, '^[a-z]+://', '') AS url FROM pages",
     "web_mercator": f"{BASE} SELECT Crash_ID, {CM.format(PX)} AS x_cm, {CM.format(PY)} AS y_cm FROM pts",
     "extent_buffered": f"{BASE} SELECT {extent_sql(PX, PY)} FROM pts",
@@ -317,12 +372,13 @@ ORACLES = {
                       f"{CM.format(CX)} AS x_cm, {CM.format(CY)} AS y_cm, min_x_cm, max_x_cm, min_y_cm, max_y_cm FROM rated, "
                       f"(SELECT min(fatality_rate) AS lo, max(fatality_rate) AS hi, {extent_sql(CX, CY)} FROM rated)",
     "cluster_count_estimate": f"{BASE} SELECT count(*) AS crashes, greatest(count(*) // {PER_CLUSTER}, 1) AS clusters FROM pts",
-    "nearest_centroid": f"{lloyd_sql(0)} SELECT Crash_ID, cid FROM p0 JOIN a0 USING (x, y)",
+    "nearest_centroid": f"{BASE}, {lloyd_sql(0)} SELECT Crash_ID, cid FROM p0 JOIN a0 USING (x, y)",
     "kmeans_lloyd": f"{CLUSTERED} SELECT Crash_ID, {CLUSTER} FROM kc",
-    "hotspot_pipeline": f"{CLUSTERED}, rated AS (SELECT {CLUSTER}, CAST(sum(CAST(Latitude AS DECIMAL(18,9))) AS DOUBLE) / count(*) AS centroid_latitude, "
-                        "CAST(sum(CAST(Longitude AS DECIMAL(18,9))) AS DOUBLE) / count(*) AS centroid_longitude, "
-                        "CAST(sum(Death_Cnt) AS DOUBLE) / count(Death_Cnt) AS fatality_rate, count(*) AS crashes "
-                        f"FROM kc GROUP BY {CLUSTER}) SELECT *, {RANKED.format(CLUSTER)} FROM rated",
+    "hotspot_pipeline": f"{CLUSTERED}, rated AS (SELECT {CLUSTER}, {RATES_SQL} FROM kc GROUP BY {CLUSTER}) "
+                        f"SELECT *, {RANKED.format(CLUSTER)}, NOT EXISTS (SELECT cid, cx, cy FROM c{MAX_ITER} EXCEPT "
+                        f"SELECT cid, cx, cy FROM c{MAX_ITER - 1}) AS converged FROM rated",
+    "urban_rural_hotspots": URBAN_RURAL,
+    "gmm": f"{BASE}, {lloyd_sql(0)}, {mixture_sql(MIXTURE_ROUNDS)} SELECT Crash_ID, cid AS gmm_cluster FROM p0 JOIN gm USING (x, y)",
     "fatality_rate": f"{RATED} SELECT * FROM rated",
     "rank_clusters": f"{RATED} SELECT *, {RANKED.format('cluster')} FROM rated",
     "rank_clusters_min_n": f"{RATED} SELECT *, {RANKED.format('cluster')} FROM rated WHERE crashes >= {MIN_CRASHES}",
@@ -339,13 +395,14 @@ ORACLES = {
                         "FROM (SELECT DISTINCT cluster FROM cl)",
     "marker_table": f"{NEAR} SELECT cluster, centroid_latitude, centroid_longitude, fatality_rate, distance, color_value, "
                     f"{hex_sql('color_value')} AS color_hex, 5 AS radius, 0.7::DOUBLE AS fill_opacity, 14 AS zoom FROM scaled",
-    "eps_neighbor_counts": f"{PAIRS} SELECT p AS Crash_ID, neighbors FROM counts",
+    "eps_neighbor_counts": f"{BASE}, {pairs_sql()} SELECT p AS Crash_ID, neighbors FROM counts",
     "dbscan": f"{DBSCAN} SELECT Crash_ID, DBSCAN_cluster FROM dbs",
     "dbscan_summary": f"{DBSCAN} SELECT DBSCAN_cluster, count(*) AS crashes, CAST(sum(Death_Cnt) AS BIGINT) AS deaths FROM dbs GROUP BY DBSCAN_cluster",
     "density_split": f"{BASE}, k AS (SELECT Crash_ID, CAST(floor(lat_e6 / 1e5) AS BIGINT) AS cell_lat, CAST(floor(lon_e6 / 1e5) AS BIGINT) AS cell_lon FROM pts) "
                      f"SELECT *, CASE WHEN count(*) OVER (PARTITION BY cell_lat, cell_lon) >= {URBAN_CRASHES} THEN 'urban' ELSE 'rural' END AS area FROM k",
     "csv_roundtrip": f"{RATED} SELECT * EXCLUDE (crashes) FROM rated",
     "crash_csv_roundtrip": f"{BASE} SELECT {COLUMNS} FROM crash",
+    "crash_csv_mixed": f"{BASE} SELECT {COLUMNS} FROM crash",
     "multi_file_union": f"{RATED} SELECT cluster, centroid_latitude, centroid_longitude, CASE WHEN fatality_rate > 0 THEN fatality_rate END AS fatality_rate FROM rated",
     "region_export": f"{BASE} SELECT {COLUMNS}, region FROM ({IN_BOXES})",
     "year_export": f"{BASE} SELECT Crash_ID, strftime(strptime(Crash_Date, '%m/%d/%Y'), '%Y-%m-%d') AS Crash_Date, Death_Cnt, {YEAR} AS crash_year "

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from blackspot.clustering.boxtree import closest, handed_down, meetings, tree
 from blackspot.clustering.components import components
-from blackspot.clustering.neighbors import (CELL_FACTOR, around, cell_bits, cell_of, closest, covered,
-                                            neighbor_weights, offsets, opening_steps)
+from blackspot.clustering.neighbors import cell_bits, cell_of, cells_in_reach, neighbor_weights
 from blackspot.clustering.points import label_rows, place, positions
 from blackspot.functions.geo import MICRO
 from blackspot.operators.ranking import with_rank
@@ -30,17 +30,15 @@ def neighbor_counts(df: DataFrame, eps: float = EPS_DEGREES) -> DataFrame:
     bits = cell_bits(radius)
     placed = place(df)
     spots = cut(with_cells(positions(placed), bits))
-    counts = neighbor_weights(spots, bits, opening_steps(spots, bits), radius, spots)
+    counts = neighbor_weights(spots, bits, radius, spots)
     return label_rows(placed, counts.withColumnRenamed("weight", "neighbors"), "neighbors")
 
 
-def linked_cells(core: DataFrame, bits: int, steps: list[int], radius: int) -> DataFrame:
+def linked_cells(core: DataFrame, bits: int, radius: int) -> DataFrame:
     """Pairs of cells with core positions within ``radius`` of each other."""
     cells = core.select("cell").distinct()
-    ahead = [i * CELL_FACTOR + j for i, j in offsets(bits, radius) if (i, j) > (0, 0)]
-    pairs = (cells.select(F.col("cell").alias("a"), F.explode(F.array(*[F.col("cell") + d for d in ahead])).alias("b"))
-             .join(cells.select(F.col("cell").alias("b")), "b"))
-    return closest(pairs, core.select(F.col("cell").alias("grp"), "x", "y"), steps, radius, exact=False)
+    pairs = cells_in_reach(cells, cells, bits, radius, ahead=True).select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))
+    return closest(pairs, core.select(F.col("cell").alias("grp"), "x", "y"), bits, radius, exact=False)
 
 
 def dbscan_positions(spots: DataFrame, radius: int, min_samples: int) -> DataFrame:
@@ -53,27 +51,30 @@ def dbscan_positions(spots: DataFrame, radius: int, min_samples: int) -> DataFra
     """
     bits = cell_bits(radius)
     spots = cut(with_cells(spots, bits))
-    steps = opening_steps(spots, bits)
     crowded = F.col("cell_w") >= min_samples
     thin = spots.filter(~crowded)
-    counted = neighbor_weights(thin, bits, steps, radius, spots).filter(F.col("weight") >= min_samples)
+    counted = neighbor_weights(thin, bits, radius, spots).filter(F.col("weight") >= min_samples)
     thin_core = thin.join(counted.select("x", "y"), ["x", "y"])
     columns = ["x", "y", "w", "first_id", "cell"]
     core = cut(spots.filter(crowded).select(*columns).unionAll(thin_core.select(*columns)))
 
     cells = core.groupBy("cell").agg(F.min("first_id").alias("first_id"))
-    roots = components(linked_cells(core, bits, steps, radius))
+    roots = components(linked_cells(core, bits, radius))
     rooted = cut(cells.join(roots.withColumnRenamed("node", "cell"), "cell", "left")
                  .withColumn("root", F.coalesce("root", "cell")))
     order = rooted.groupBy("root").agg(F.min("first_id").alias("first_id"))
     numbered = with_rank(order, "first_id", name="cid").select("root", (F.col("cid") - 1).alias("cid"))
     cell_labels = cut(rooted.join(numbered, "root").select("cell", "cid"))
 
-    edge = thin.select("x", "y", "cell").join(core.select("x", "y"), ["x", "y"], "left_anti")
+    edge = cut(thin.select("x", "y", "w", "cell").join(core.select("x", "y"), ["x", "y"], "left_anti"))
     at_home = edge.join(cell_labels, "cell").select("x", "y", "cid")
-    probes = (around(edge, bits, radius).drop("cell")
-              .join(cell_labels.withColumnRenamed("cell", "target"), "target"))
-    reached = covered(probes, ["x", "y", "cid"], core, steps, radius).select("x", "y", "cid")
+    rooted = lambda rows: tree(rows.select(F.col("cell").alias("root"), "x", "y", "w"), bits)
+    asking = rooted(edge)
+    inside, close = meetings(cells_in_reach(edge.select("cell").distinct(), cell_labels.select("cell"), bits, radius), asking, rooted(core), radius)
+    of_cell = cell_labels.withColumnRenamed("cell", "b_root")
+    given = inside.join(of_cell, "b_root").select(F.col("a_root").alias("root"), F.col("a_node").alias("node"), F.col("cid").alias("value"))
+    reached = (handed_down(asking, given, "min").select("x", "y", F.col("value").alias("cid"))
+               .unionAll(close.join(of_cell, "b_root").select("x", "y", "cid")))
     border = at_home.unionAll(reached).groupBy("x", "y").agg(F.min("cid").alias("cid"))
     return core.join(cell_labels, "cell").select("x", "y", "cid").unionAll(border)
 

@@ -21,15 +21,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from blackspot.clustering.boxtree import closest
 from blackspot.clustering.components import components
 from blackspot.clustering.dbscan import linked_cells
 from blackspot.clustering.grid import LEVELS, cells_around, cells_of, square
 from blackspot.clustering.kmeans import lay_out
-from blackspot.clustering.neighbors import CELL_FACTOR, cell_bits, cell_of, closest, offsets, opening_steps
+from blackspot.clustering.neighbors import CELL_FACTOR, cell_bits, cell_of, offsets
 from blackspot.clustering.points import label_rows, place, positions
 from blackspot.operators.ranking import with_rank
 from blackspot.operators.rates import CRASHES_PER_CLUSTER
-from blackspot.runtime import cut
+from blackspot.runtime import cut, forget, scratch_path
 
 # The linkages on offer.
 LINKAGES = ("ward", "complete", "average", "single")
@@ -187,24 +188,30 @@ def agglomerate(spots: DataFrame, wanted: int, linkage: str) -> DataFrame:
     members = spots.select("id", "x", "y", "w") if linkage == "average" else None
     places = left = clusters.count()
     needed = places - wanted
-    done: list[DataFrame] = []
+    # One table that grows by the merges of a round; earlier ones are never written or summed again.
+    path, kind = scratch_path(spots.sparkSession, "merges"), "lo bigint, hi bigint, height double"
+    done = spots.sparkSession.createDataFrame([], kind)
     while left > 1:
-        limit = height_limit(all_merges(done), needed) if done and places - left >= needed else None
+        limit = height_limit(done, needed) if places - left >= needed else None
         nearest = cut(nearest_clusters(clusters, members, linkage, limit))
         if limit is not None:
             # All pairs up to the limit were looked at, so nothing is left below the lowest one.
             floor = nearest.agg(F.min("height")).first()[0]
-            if floor is None or all_merges(done).filter(F.col("height") <= floor).count() >= needed:
+            if floor is None or done.filter(F.col("height") <= floor).count() >= needed:
                 break
         merges = (nearest.filter("sure and lo is not null").groupBy("lo", "hi")
                   .agg(F.count(F.lit(1)).alias("both"), F.min("height").alias("height")).filter("both = 2").drop("both"))
-        done.append(merges)
-        clusters = cut(merge_round(clusters, nearest, merges, linkage))
+        merges = cut(merges.select("lo", "hi", "height"))
+        merges.write.mode("append").parquet(path)
+        done = spots.sparkSession.read.schema(kind).parquet(path)
+        clusters = cut(merge_round(clusters, nearest, merges, linkage), replaces=clusters)
+        forget(nearest)
         left = clusters.count()
         if members is not None:
             renamed = merges.select(F.col("hi").alias("id"), F.col("lo").alias("into"))
-            members = cut(members.join(renamed, "id", "left").select(F.coalesce("into", "id").alias("id"), "x", "y", "w"))
-    return all_merges(done)
+            members = cut(members.join(renamed, "id", "left").select(F.coalesce("into", "id").alias("id"), "x", "y", "w"), replaces=members)
+        forget(merges)
+    return done
 
 
 def height_limit(merges: DataFrame, needed: int) -> float:
@@ -229,7 +236,7 @@ def single_components(spots: DataFrame, radius: int) -> DataFrame:
     """``(cell, root)``: cells of positions joined by steps of at most ``radius``."""
     bits = cell_bits(radius)
     celled = cut(spots.withColumn("cell", cell_of(bits)))
-    roots = components(linked_cells(celled, bits, opening_steps(celled, bits), radius))
+    roots = components(linked_cells(celled, bits, radius))
     return cut(celled.select("cell").distinct().join(roots.withColumnRenamed("node", "cell"), "cell", "left")
                .withColumn("root", F.coalesce("root", "cell")))
 
@@ -286,7 +293,7 @@ def single_linkage(spots: DataFrame, wanted: int) -> DataFrame:
              .filter("comp <> comp2 and (step <> 0 or comp < comp2)")
              .select(F.struct("cell", "comp").alias("a"), F.struct(F.col("to").alias("cell"), F.col("comp2").alias("comp")).alias("b")))
     members = fine.select(F.struct("cell", "comp").alias("grp"), "x", "y")
-    near = closest(pairs, members, opening_steps(fine, bits), radius, exact=True)
+    near = closest(pairs, members, bits, radius, exact=True)
     gaps = (near.groupBy(F.least("a.comp", "b.comp").alias("a"), F.greatest("a.comp", "b.comp").alias("b")).agg(F.min("d2").alias("d2")))
     forest = spanning_forest(gaps)
     roots = cut_tree(forest.select(F.col("a").alias("lo"), F.col("b").alias("hi"), F.col("d2").alias("height")), parts - wanted)

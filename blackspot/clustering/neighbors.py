@@ -2,22 +2,15 @@
 
 A cell is the largest square with a power-of-two side whose diagonal does not
 exceed the radius: all positions of one cell are neighbours without any test.
-Other cells in reach are compared through boxes around groups of positions,
-which are opened (16 x 16 sub-cells at a time) only where a box lies across the
-radius. So the work per position is bounded however many positions a cell holds.
+Other cells in reach meet as trees of boxes (``boxtree``).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from blackspot.clustering.grid import far2, near2, square
-from blackspot.runtime import cut
+from blackspot.clustering.boxtree import handed_down, meetings, tree
 
-# Cells with more positions than this are opened step by step.
-OPEN_DIRECTLY = 256
-# Bits per step: a box is opened into 2^4 x 2^4 boxes.
-STEP_BITS = 4
 CELL_FACTOR = 1 << 30
 
 
@@ -42,124 +35,28 @@ def offsets(bits: int, radius: int) -> list[tuple[int, int]]:
             if (i, j) != (0, 0) and gap(i) ** 2 + gap(j) ** 2 <= radius * radius]
 
 
-def opening_steps(spots: DataFrame, bits: int) -> list[int]:
-    """Levels of detail: straight to positions if no cell is crowded, else step by step."""
-    crowd = spots.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    if crowd <= OPEN_DIRECTLY:
-        return [bits, 0]
-    return list(range(bits, 0, -STEP_BITS)) + [0]
-
-
-def box_of(*keep: Column) -> list[Column]:
-    return [F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), *keep]
-
-
-def around(spots: DataFrame, bits: int, radius: int) -> DataFrame:
-    """One row per position and other cell whose square is within ``radius`` of it (column ``target``)."""
-    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in offsets(bits, radius)])
-    corner = lambda c, d: F.shiftleft(F.shiftright(c, bits) + F.col(d), bits)
-    side = F.lit((1 << bits) - 1)
-    return (spots.withColumn("_s", F.explode(steps))
-            .withColumns({"x0": corner("x", "_s.i"), "y0": corner("y", "_s.j")})
-            .withColumns({"x1": F.col("x0") + side, "y1": F.col("y0") + side})
-            .filter(near2(F.col("x"), F.col("y")) <= radius * radius)
-            .withColumn("target", cell_of(bits, "x0", "y0"))
-            .drop("_s", "x0", "x1", "y0", "y1"))
+def cells_in_reach(asked: DataFrame, held: DataFrame, bits: int, radius: int, ahead: bool = False) -> DataFrame:
+    """Pairs ``(a_root, b_root)`` of different cells, one of ``asked`` and one of ``held``, that may hold near positions.
 
+    Both have the column ``cell``. ``ahead`` gives every pair only once.
+    """
+    steps = [i * CELL_FACTOR + j for i, j in offsets(bits, radius) if not ahead or (i, j) > (0, 0)]
+    return (asked.select(F.col("cell").alias("a_root"), F.explode(F.array(*[F.col("cell") + F.lit(d) for d in steps])).alias("b_root"))
+            .join(held.select(F.col("cell").alias("b_root")), "b_root"))
 
-def covered(probes: DataFrame, keys: list[str], spots: DataFrame, steps: list[int], radius: int) -> DataFrame:
-    """Rows ``keys + (weight)`` whose sum is the weight of ``spots`` within ``radius`` of a probe.
 
-    Probes have ``x``, ``y``, ``target`` (a cell) and the key columns. A box fully
-    inside the circle counts as a whole, one across it is opened further.
-    """
-    limit = radius * radius
-    pieces = []
-    pending = probes.select(*keys, *[c for c in ("x", "y") if c not in keys], "target")
-    for outer, inner in zip(steps, steps[1:]):
-        boxes = (spots.groupBy(cell_of(outer).alias("target"), cell_of(inner).alias("part"))
-                 .agg(*box_of(F.sum("w").alias("weight"))) if inner else
-                 spots.select(cell_of(outer).alias("target"), F.col("x").alias("x0"), F.col("x").alias("x1"),
-                              F.col("y").alias("y0"), F.col("y").alias("y1"), F.col("w").alias("weight"),
-                              F.lit(0).cast("bigint").alias("part")))
-        met = (pending.join(boxes, "target")
-               .withColumn("inside", far2(F.col("x"), F.col("y")) <= limit)
-               .filter(near2(F.col("x"), F.col("y")) <= limit))
-        if inner:
-            met = cut(met.select(*pending.columns, "part", "weight", "inside"))
-            pending = met.filter(~F.col("inside")).select(*[c for c in pending.columns if c != "target"],
-                                                          F.col("part").alias("target"))
-        pieces.append(met.filter("inside").select(*keys, "weight"))
-    result = pieces[0]
-    for piece in pieces[1:]:
-        result = result.unionAll(piece)
-    return result
-
-
-def neighbor_weights(spots: DataFrame, bits: int, steps: list[int], radius: int, own: DataFrame) -> DataFrame:
+def neighbor_weights(spots: DataFrame, bits: int, radius: int, own: DataFrame) -> DataFrame:
     """``(x, y, weight)``: crashes within ``radius`` of every position, itself included.
 
     ``spots`` are the positions asked for, with the weight of their own cell in
     ``cell_w``; ``own`` are all positions.
     """
-    outside = covered(around(spots.select("x", "y", "cell"), bits, radius), ["x", "y"], own, steps, radius)
-    return (spots.select("x", "y", F.col("cell_w").alias("weight")).unionAll(outside)
+    rooted = lambda rows: tree(rows.select(F.col("cell").alias("root"), "x", "y", "w"), bits)
+    answering = rooted(own)
+    asking = answering if spots is own else rooted(spots)
+    pairs = cells_in_reach(spots.select("cell").distinct(), own.select("cell").distinct(), bits, radius)
+    inside, close = meetings(pairs, asking, answering, radius)
+    given = inside.select(F.col("a_root").alias("root"), F.col("a_node").alias("node"), F.col("w").alias("value"))
+    return (spots.select("x", "y", F.col("cell_w").alias("weight"))
+            .unionAll(handed_down(asking, given, "sum").select("x", "y", "value")).unionAll(close.select("x", "y", "w"))
             .groupBy("x", "y").agg(F.sum("weight").alias("weight")))
-
-
-def boxes_near2(a: str, b: str) -> Column:
-    gap = lambda c: F.greatest(F.col(f"{a}{c}0") - F.col(f"{b}{c}1"), F.col(f"{b}{c}0") - F.col(f"{a}{c}1"), F.lit(0).cast("bigint"))
-    return square(gap("x")) + square(gap("y"))
-
-
-def boxes_far2(a: str, b: str) -> Column:
-    span = lambda c: F.greatest(F.col(f"{a}{c}1") - F.col(f"{b}{c}0"), F.col(f"{b}{c}1") - F.col(f"{a}{c}0"))
-    return square(span("x")) + square(span("y"))
-
-
-def closest(pairs: DataFrame, members: DataFrame, steps: list[int], radius: int, exact: bool) -> DataFrame:
-    """Group pairs ``(a, b)`` of ``pairs`` that come within ``radius`` of each other.
-
-    ``members`` holds ``(grp, x, y)``; a group lies in one cell. With ``exact`` the
-    result has the squared distance ``d2`` of the closest two members, otherwise a
-    pair is accepted as soon as two boxes are surely within reach.
-    """
-    def boxes(side: str, inner: int | None, outer: int) -> DataFrame:
-        keys = [F.col("grp").alias(side)]
-        if inner is not None:
-            keys += [cell_of(outer).alias(f"{side}_in"), cell_of(inner).alias(f"{side}_part")]
-        grouped = members.groupBy(*keys).agg(*box_of())
-        return grouped.withColumnsRenamed({c: f"{side}_{c}" for c in ("x0", "x1", "y0", "y1")})
-
-    near, far = boxes_near2("a_", "b_"), boxes_far2("a_", "b_")
-    limit = F.lit(radius * radius)
-    state = (pairs.select("a", "b").join(boxes("a", None, 0), "a").join(boxes("b", None, 0), "b")
-             .withColumns({"near": near, "far": far}).filter(F.col("near") <= limit))
-    box_columns = [f"{s}_{c}" for s in "ab" for c in ("x0", "x1", "y0", "y1")]
-    accepted = []
-    state = cut(state.select("a", "b", F.lit(None).cast("bigint").alias("a_part"), F.lit(None).cast("bigint").alias("b_part"),
-                             *box_columns, "near", "far"))
-    for level, (outer, inner) in enumerate(zip(steps, steps[1:])):
-        bound = state.groupBy("a", "b").agg(F.min("far").alias("bound"))
-        if not exact:
-            accepted.append(bound.filter(F.col("bound") <= limit).select("a", "b"))
-            bound = bound.filter(F.col("bound") > limit)
-        bound = bound.withColumn("bound", F.least("bound", limit))
-        state = state.select("a", "b", *[F.col(f"{s}_part").alias(f"{s}_in") for s in "ab"], *box_columns, "near")
-        state = state.join(bound, ["a", "b"]).filter(F.col("near") <= F.col("bound"))
-        for side in "ab":
-            kids = boxes(side, inner, outer)
-            state = state.drop(*[f"{side}_{c}" for c in ("x0", "x1", "y0", "y1")])
-            if level:
-                state = state.join(kids, [side, f"{side}_in"])
-            else:
-                state = state.drop(f"{side}_in").join(kids.drop(f"{side}_in"), side)
-            state = state.withColumn("near", near).filter(F.col("near") <= F.col("bound"))
-        state = state.withColumn("far", far).select("a", "b", "a_part", "b_part", *box_columns, "near", "far")
-        if inner:
-            state = cut(state)
-    if exact:
-        return state.groupBy("a", "b").agg(F.min("near").alias("d2"))
-    for piece in accepted:
-        state = state.select("a", "b").unionAll(piece)
-    return state.distinct()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from blackspot.functions.geo import MICRO, micro, morton
+from blackspot.joins import split_join
 from blackspot.operators.clean import clean_coordinates
 
 # Offsets that make every coordinate non-negative.
@@ -31,10 +32,11 @@ def positions(placed: DataFrame, *aggs: Column) -> DataFrame:
 def label_rows(placed: DataFrame, labels: DataFrame, label: str, default: int | None = None) -> DataFrame:
     """Give every crash the label of its position and drop the helper columns.
 
-    ``labels`` has one row per position, so a hot position only makes the row
-    side skewed, which adaptive execution splits.
+    ``labels`` has one row per position. The rows of a crowded position are dealt
+    to several tasks.
     """
-    joined = placed.join(labels.select("x", "y", label), ["x", "y"], "inner" if default is None else "left")
-    if default is not None:
-        joined = joined.withColumn(label, F.coalesce(F.col(label), F.lit(default).cast("bigint")))
-    return joined.drop("x", "y")
+    crowds = placed.groupBy("x", "y").agg(F.count(F.lit(1)).alias("_n")).join(labels.select("x", "y", label), ["x", "y"], "left")
+    joined = split_join(placed, crowds, ["x", "y"], "_n", "Crash_ID").drop("_n", "x", "y")
+    if default is None:
+        return joined.filter(F.col(label).isNotNull())
+    return joined.withColumn(label, F.coalesce(F.col(label), F.lit(default).cast("bigint")))

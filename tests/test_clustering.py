@@ -2,10 +2,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from blackspot.clustering import hierarchical as hier, neighbors
+from blackspot.clustering import boxtree, hierarchical as hier, mixture
 from blackspot.clustering.components import components
 from blackspot.clustering.dbscan import dbscan, neighbor_counts
-from blackspot.clustering.kmeans import kmeans, kmeans_ml
+from blackspot.clustering.kmeans import kmeans, kmeans_with_status
 from blackspot.clustering.points import X_SHIFT, Y_SHIFT
 from conftest import same_partition
 
@@ -61,10 +61,44 @@ def test_kmeans_matches_brute_force(crashes, n, per, hot):
         assert got == labels_of(kmeans(df.repartition(5, "Death_Cnt"), per, 3, 0.0), "kmeans_cluster")
 
 
-def test_kmeans_ml_labels_every_point(crashes):
-    df = crashes(*sample(1000, 1))
-    got = labels_of(kmeans_ml(df), "kmeans_cluster")
-    assert len(got) == 1000 and set(got) <= set(range(4))
+def test_kmeans_says_whether_centres_rest(crashes):
+    df = crashes(*sample(400, 4))
+    assert not kmeans_with_status(df, 25, 1, 0.0)[1]
+    rows, settled = kmeans_with_status(df, 25, 200, 0.0)
+    assert settled and labels_of(rows, "kmeans_cluster") == labels_of(kmeans(df, 25, 400, 0.0), "kmeans_cluster")
+
+
+def mixture_by_hand(lat, lon, per, rounds, gain):
+    x, y = (v.astype(float) for v in micro(lat, lon))
+    start = np.array(lloyd_by_hand(lat, lon, per, 0))
+    ids = sorted(set(start))
+    r = (start[:, None] == np.array(ids)[None]).astype(float)
+    before = None
+    for step in range(rounds + 1):
+        n = r.sum(0)
+        mx, my = (r * x[:, None]).sum(0) / n, (r * y[:, None]).sum(0) / n
+        dx, dy = x[:, None] - mx, y[:, None] - my
+        xx, yy, xy = ((r * a * b).sum(0) / n for a, b in ((dx, dx), (dy, dy), (dx, dy)))
+        xx, yy = xx + mixture.FLOOR, yy + mixture.FLOOR
+        det = xx * yy - xy * xy
+        d = np.log(n / len(x)) - np.log(2 * np.pi) - np.log(det) / 2 - (dx * dx * yy - 2 * dx * dy * xy + dy * dy * xx) / det / 2
+        top = d.max(1, keepdims=True)
+        mass = np.exp(d - top).sum(1, keepdims=True)
+        now = (top + np.log(mass)).mean()
+        if before is not None and now - before < gain or step == rounds:
+            return [ids[k] for k in d.argmax(1)], step
+        before, r = now, np.exp(d - top) / mass
+
+
+@pytest.mark.parametrize("n,per,hot,rounds", [(600, 60, 0, 100), (900, 50, 300, 100), (500, 40, 0, 2), (40, 250, 0, 100)])
+def test_mixture_matches_brute_force(crashes, n, per, hot, rounds):
+    lat, lon = sample(n, n + 1, hot)
+    want, _ = mixture_by_hand(lat, lon, per, rounds, mixture.GAIN)
+    assert labels_of(mixture.gmm(crashes(lat, lon), per, rounds), "gmm_cluster") == want
+
+
+def test_mixture_of_nothing(crashes):
+    assert mixture.gmm(crashes([], [])).collect() == []
 
 
 def dbscan_by_hand(lat, lon, eps, least):
@@ -86,9 +120,9 @@ def dbscan_by_hand(lat, lon, eps, least):
     return label, [int(m.sum()) for m in near]
 
 
-@pytest.mark.parametrize("directly", [256, 3])
-def test_dbscan_matches_brute_force(crashes, monkeypatch, directly):
-    monkeypatch.setattr(neighbors, "OPEN_DIRECTLY", directly)
+@pytest.mark.parametrize("leaf", [8, 2])
+def test_dbscan_matches_brute_force(crashes, monkeypatch, leaf):
+    monkeypatch.setattr(boxtree, "LEAF", leaf)
     lat, lon = sample(1200, 9, hot=400, spread=0.008)
     df = crashes(lat, lon)
     want, counts = dbscan_by_hand(lat, lon, 3000, 8)
@@ -97,8 +131,7 @@ def test_dbscan_matches_brute_force(crashes, monkeypatch, directly):
     assert len(set(want)) > 3 and -1 in want
 
 
-def test_one_crowded_cell_is_opened_exactly(crashes, monkeypatch):
-    monkeypatch.setattr(neighbors, "OPEN_DIRECTLY", 16)
+def test_one_crowded_cell_is_opened_exactly(crashes):
     rng = np.random.default_rng(2)
     lat = np.round(np.r_[30 + rng.uniform(0, .002, 500), rng.uniform(29.98, 30.02, 1000)], 6)
     lon = np.round(np.r_[-100 + rng.uniform(0, .002, 500), rng.uniform(-100.02, -99.98, 1000)], 6)
@@ -117,6 +150,17 @@ def test_components_of_path_star_and_cycle(spark):
     assert got == {n: (0 if n < 1000 else 1000 if n < 5000 else 5000) for e in edges for n in e}
 
 
+def test_a_star_is_dealt_to_many_tasks(spark, monkeypatch):
+    from blackspot import joins
+    monkeypatch.setattr(joins, "HEAVY", 10)
+    leaves = spark.range(1, 20001).select(F.col("id").alias("a"), F.lit(0).cast("long").alias("b"))
+    both = leaves.unionAll(leaves.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    from blackspot.clustering.components import least_of
+    sizes = joins.split_join(both, least_of(both), ["a"], "_n", "b").groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert max(r["count"] for r in sizes) < 3 * 40000 / 8
+    assert components(leaves).filter("root <> 0").isEmpty()
+
+
 def tree_by_hand(lat, lon, k, linkage):
     x, y = micro(lat, lon)
     p = np.stack([x, y], 1).astype(float)
