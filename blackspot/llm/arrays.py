@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLAB = 1 << 20
+SLAB = 1 << 19
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 

@@ -323,6 +323,22 @@ def decode(coded: DataFrame, path: str | None = None) -> DataFrame:
     return coded.select("doc", "ids").mapInArrow(run, "doc long, ids array<int>, text string")
 
 
+def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """``(doc, ids, text)`` for every row of ``docs``: its ids and what they decode to, in one pass of the tasks.
+
+    The same as ``decode(encode(docs))``, with half the Python workers.
+    """
+    path = path or model_path()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = load(path)
+        for b in in_parts(batches):
+            ids = encode_array(b["text"], p)
+            yield pa.RecordBatch.from_arrays([b["doc"], ids, decode_array(ids, p)], names=["doc", "ids", "text"])
+    rows = docs.select(id_key().alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.mapInArrow(run, "doc long, ids array<int>, text string")
+
+
 def digests() -> list[Column]:
     return [id_back(F.col("doc")).alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"),
             F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
@@ -330,5 +346,4 @@ def digests() -> list[Column]:
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    decoded = decode(encode(documents(spark, sf_dir)))
-    return stored(decoded.select(*digests()))
+    return stored(round_trip(documents(spark, sf_dir)).select(*digests()))

@@ -15,7 +15,7 @@ from blackspot.llm import language
 from blackspot.llm.common import documents, id_back
 from blackspot.llm.decontaminate import benchmark, drop_contaminated
 from blackspot.llm.exact_dedup import keep_unique
-from blackspot.llm.pieces import decode, encode
+from blackspot.llm.pieces import round_trip
 from blackspot.llm.simhash import keep_one
 from blackspot.runtime import cut
 
@@ -42,7 +42,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, n_tokens, ids, text``: the token ids of every text, and the text that they decode to."""
-    return decode(encode(docs)).select(id_back(F.col("doc")).alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), "ids", "text")
+    return round_trip(docs).select(id_back(F.col("doc")).alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), "ids", "text")
 
 
 STAGES = [("language_id", language_id), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup),
