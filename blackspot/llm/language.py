@@ -15,6 +15,7 @@ changes of language occur in training.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -203,9 +204,15 @@ def fit(docs: DataFrame, may_learn: Column, sample: int = SAMPLE) -> Model:
         share = min(1.0, 2 * sample / n)
         chance = chance | ((F.col("lang") == lang) & (F.pmod(F.col("_h"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000) + 1)))
     best = Window.partitionBy("lang").orderBy("_h", "text")
-    rows = (ready.filter(chance).withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= sample)
-            .orderBy("lang", "_r").select("lang", "text").collect())
-    return train([r["text"].encode() for r in rows], [r["lang"] for r in rows])
+    rows = ready.filter(chance).withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= sample).select("lang", "_r", "text")
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = sorted((x["lang"], x["_r"], x["text"]) for b in batches for x in b.to_pylist())
+        model = train([text.encode() for _, _, text in found], [lang for lang, _, _ in found])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+    # The sample is bounded, so one task can hold it.
+    trained = rows.repartition(1).mapInArrow(learn, "model binary").head(1)
+    return pickle.loads(trained[0]["model"]) if trained else Model([])
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
