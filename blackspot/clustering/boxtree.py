@@ -17,14 +17,13 @@ from blackspot.clustering.grid import square
 from blackspot.runtime import cut, forget
 
 #: Positions a box may have without being opened.
-LEAF = 8
+LEAF = 64
 #: Bits per step: a box is opened into 2^2 x 2^2 boxes.
 STEP_BITS = 2
 ROOT = -1
 LEVEL_BITS = 4
 
 BOX = ["x0", "x1", "y0", "y1"]
-POINTS = "array<struct<x:bigint,y:bigint,w:bigint>>"
 
 
 def box_key(bits: int) -> Column:
@@ -76,7 +75,7 @@ def side(boxes: DataFrame, p: str, *keep: str) -> DataFrame:
     return boxes.select(*[F.col(c).alias(f"{p}_{c}") for c in ("root", "node", *BOX, "w", "n", "pts", *keep)])
 
 
-def opened(state: DataFrame, kids: DataFrame, p: str, also: str = "true") -> DataFrame:
+def opened(state: DataFrame, kids: DataFrame, p: str) -> DataFrame:
     """``state`` with the boxes of side ``p`` replaced by their children; short boxes stay.
 
     ``kids`` are all boxes but the roots, by parent.
@@ -118,10 +117,9 @@ def meetings(pairs: DataFrame, asking: DataFrame, answering: DataFrame, radius:
             break
         last = state
         state = opened(opened(open_, kids["a"], "a"), kids["b"], "b").filter(gap("a_", "b_") <= limit)
-    near = F.filter("b_pts", lambda q: square(q["x"] - F.col("p.x")) + square(q["y"] - F.col("p.y")) <= limit)
-    close = (across.select("a_root", "b_root", "b_pts", F.explode("a_pts").alias("p"))
-             .select("a_root", F.col("p.x").alias("x"), F.col("p.y").alias("y"), "b_root", near.alias("near")).filter(F.size("near") > 0)
-             .withColumn("w", F.aggregate("near", F.lit(0).cast("bigint"), lambda s, q: s + q["w"])).drop("near"))
+    close = (across.select("a_root", "b_root", "b_pts", F.explode("a_pts").alias("p")).select("a_root", "b_root", "p.x", "p.y", F.explode("b_pts").alias("q"))
+             .filter(square(F.col("x") - F.col("q.x")) + square(F.col("y") - F.col("q.y")) <= limit)
+             .groupBy("a_root", "x", "y", "b_root").agg(F.sum("q.w").alias("w")))
     return inside.withColumnRenamed("b_w", "w"), close
 
 
@@ -171,11 +169,11 @@ def closest(pairs: DataFrame, members: DataFrame, bits: int, radius: int, exact:
             bound = bound.filter(F.col("bound") > limit)
         open_ = (state.join(bound.withColumn("bound", F.least("bound", limit)), ["a_root", "b_root"])
                  .filter(F.col("near") <= F.col("bound")).drop("near", "far"))
-        distance = F.array_min(F.flatten(F.transform("a_pts", lambda p: F.transform(
-            "b_pts", lambda q: square(p["x"] - q["x"]) + square(p["y"] - q["y"])))))
         # Lists that met already are measured now, so that they bound the others of their pair.
-        lists = cut(open_.filter("a_pts is not null and b_pts is not null").select("a_root", "b_root", distance.alias("d2")).filter(F.col("d2") <= limit)
-                    .groupBy("a_root", "b_root").agg(F.min("d2").alias("d2")))
+        lists = open_.filter("a_pts is not null and b_pts is not null").select("a_root", "b_root", "b_pts", F.explode("a_pts").alias("p"))
+        lists = (lists.select("a_root", "b_root", F.col("p.x").alias("x"), F.col("p.y").alias("y"), F.explode("b_pts").alias("q"))
+                 .select("a_root", "b_root", (square(F.col("x") - F.col("q.x")) + square(F.col("y") - F.col("q.y"))).alias("d2")).filter(F.col("d2") <= limit))
+        lists = cut(lists.groupBy("a_root", "b_root").agg(F.min("d2").alias("d2")))
         found = (lists if exact else lists.drop("d2")) if found is None else found.unionAll(lists if exact else lists.drop("d2"))
         more = open_.filter("a_pts is null or b_pts is null").join(lists.withColumnRenamed("d2", "_best"), ["a_root", "b_root"], "left")
         more = more.filter(F.col("_best").isNull() | (gap("a_", "b_") < F.col("_best"))) if exact else more.filter("_best is null")

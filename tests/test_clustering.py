@@ -120,7 +120,7 @@ def dbscan_by_hand(lat, lon, eps, least):
     return label, [int(m.sum()) for m in near]
 
 
-@pytest.mark.parametrize("leaf", [8, 2])
+@pytest.mark.parametrize("leaf", [64, 2])
 def test_dbscan_matches_brute_force(crashes, monkeypatch, leaf):
     monkeypatch.setattr(boxtree, "LEAF", leaf)
     lat, lon = sample(1200, 9, hot=400, spread=0.008)
