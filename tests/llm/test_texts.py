@@ -248,6 +248,24 @@ def test_added_spans_touch_no_base(spark, table, odd):
     assert pii.private_spans(table([]), pii.fit(table([]))).collect() == []
 
 
+def test_bound_on_candidates_is_a_sample(spark, table, monkeypatch):
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"+1 407 555 {rng.randrange(10_000):04d}, id {rng.randrange(10**8, 10**9)};" for _ in range(5))) for i in range(300)]
+    seen = []
+
+    class Seen(pii.Judge):
+        def __init__(self, x, y, fold):
+            seen.append((y, fold))
+            super().__init__(x, y, fold)
+    monkeypatch.setattr(pii, "Judge", Seen)
+    pii.fit(table(rows))
+    pii.fit(table(rows), most=1200)
+    (every, folds), (y, fold) = seen
+    assert len(every) > 4 * 1200 and len(y) == 1200
+    assert abs(y.mean() - every.mean()) < 0.05
+    assert all(abs((fold == k).mean() - (folds == k).mean()) < 0.05 for k in range(3))
+
+
 def test_pii_query(spark):
     docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     for r in pii.op8_pii(spark, SF).collect():
