@@ -22,7 +22,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from blackspot.clustering.components import components
 from blackspot.joins import split_join
@@ -77,14 +77,19 @@ def _fingerprints(data: np.ndarray, offsets: np.ndarray, width: int) -> np.ndarr
     return out
 
 
-def fingerprints(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
-    """``(doc, fp)`` for every row of ``docs``; ``fp`` is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, width: int = SHINGLE_WORDS, hashed: bool = False) -> DataFrame:
+    """``(doc, fp)`` for every row of ``docs``; ``fp`` is the fingerprint as a signed long.
+
+    With ``hashed`` also ``h``, the hash of the text, which tells rows with one doc_id apart.
+    """
+    more = [F.xxhash64("text").alias("h")] if hashed else []
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = [_fingerprints(data, offsets, width) for _, data, offsets in slabs(b["text"])]
-            yield pa.RecordBatch.from_arrays([b["doc"], pa.array(np.concatenate([np.zeros(0, np.uint64), *fp]).view(np.int64))],
-                                             names=["doc", "fp"])
-    return docs.select(id_key().alias("doc"), "text").mapInArrow(scan, "doc long, fp long")
+            own = [b["doc"], *([b["h"]] if hashed else [])]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(np.concatenate([np.zeros(0, np.uint64), *fp]).view(np.int64))],
+                                             names=["doc", *(["h"] if hashed else []), "fp"])
+    return docs.select(id_key().alias("doc"), *more, "text").mapInArrow(scan, "doc long, h long, fp long" if hashed else "doc long, fp long")
 
 
 def points(mask_open: list[int], reach: int) -> list[int]:
@@ -117,6 +122,17 @@ def near_links(fps: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
             .filter((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_distance)).distinct())
 
 
+def named_groups(prints: DataFrame, row: Column, max_distance: int) -> DataFrame:
+    """``(fp, n, component)`` for every fingerprint: its rows, and the least ``row`` of its group."""
+    classes = prints.groupBy("fp").agg(F.min(row).alias("least"), F.count(F.lit(1)).alias("n"))
+    classes = cut(classes)
+    roots = components(near_links(classes.select("fp"), max_distance))
+    rooted = cut(classes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left")
+                 .select("fp", "least", "n", F.coalesce("root", "fp").alias("root")))
+    groups = rooted.groupBy("root").agg(F.min("least").alias("component"), F.count(F.lit(1)).alias("members"))
+    return cut(split_join(rooted, cut(groups), ["root"], "members", "fp").select("fp", "n", "component"))
+
+
 def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, max_distance: int = MAX_DISTANCE) -> DataFrame:
     """Every row of ``docs`` with its fingerprint and its group of near duplicates.
 
@@ -127,23 +143,35 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, max_distance: i
     they come in; an empty table gives no rows; other columns are not read.
     """
     prints = stored(fingerprints(docs, width))
-    classes = prints.groupBy("fp").agg(F.min("doc").alias("least"), F.count(F.lit(1)).alias("n"))
-    classes = cut(classes)
-    roots = components(near_links(classes.select("fp"), max_distance))
-    rooted = cut(classes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left")
-                 .select("fp", "least", "n", F.coalesce("root", "fp").alias("root")))
-    groups = rooted.groupBy("root").agg(F.min("least").alias("component"), F.count(F.lit(1)).alias("members"))
-    named = cut(split_join(rooted, cut(groups), ["root"], "members", "fp").select("fp", "n", "component"))
+    named = named_groups(prints, F.col("doc"), max_distance)
     out = split_join(prints, named, ["fp"], "n", "doc")
     return out.select(id_back(F.col("doc")).alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
                       id_back(F.col("component")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, width: int = SHINGLE_WORDS, max_distance: int = MAX_DISTANCE) -> DataFrame:
-    """The rows of ``docs`` that name their group, with all their columns."""
-    groups = near_duplicates(docs, width, max_distance)
-    gone = groups.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(id_key().alias("_gone")).distinct()
-    return docs.join(gone, id_key() == F.col("_gone"), "left_anti")
+    """One row of each group of near duplicates, with all its columns.
+
+    It is a row with the smallest doc_id of the group. If several have it, texts
+    are told apart by their hash and the least hash stays; of rows that repeat
+    both, the one with the least other columns.
+    """
+    prints = stored(fingerprints(docs, width, hashed=True))
+    named = named_groups(prints, F.struct("doc", "h"), max_distance)
+    heads = F.struct("doc", "h") == F.col("component")
+    rows = split_join(prints, named, ["fp"], "n", ["doc", "h"]).select("doc", "h", heads.alias("head"))
+    marks = rows.groupBy("doc", "h").agg(F.min("head").alias("_head"), F.count(F.lit(1)).alias("_rows"))
+    marks = cut(marks.filter(~F.col("_head") | (F.col("_rows") > 1)).withColumnsRenamed({"doc": "_gone", "h": "_h"}))
+    match = (id_key() == F.col("_gone")) & (F.xxhash64("text") == F.col("_h"))
+    single = docs.join(marks, match, "left_anti")
+    repeated = marks.filter("_head").select("_gone", "_h")
+    if repeated.isEmpty():
+        return single
+    # Equal rows are reduced by partial aggregates, so a crowd of them does not meet in one task.
+    row = F.struct("text", *[c for c in docs.columns if c != "text"])
+    firsts = (docs.join(repeated, match, "left_semi").groupBy(id_key().alias("_gone"), F.xxhash64("text").alias("_h"))
+              .agg(F.min(row).alias("_row")).select(*[F.col("_row")[c].alias(c) for c in docs.columns]))
+    return single.unionAll(firsts)
 
 
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

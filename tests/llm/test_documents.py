@@ -134,6 +134,22 @@ def test_near_duplicates(spark, table, odd):
     assert {low(r.doc_id) for r in kept} == set(least.values())
 
 
+def test_one_row_of_each_group_stays(spark, table):
+    rng = random.Random(6)
+    say = lambda n: " ".join(rng.choice("abcdefgh") + str(rng.randrange(1000)) for _ in range(n))
+    a, b, c, d = say(80), say(80), say(80), say(80)
+    near = b.replace(" ", "  ") + "\n"  # the same words, so the same fingerprint
+    rows = ([(3, near), (7, a), (7, b)] + [(None, c), (None, c), (None, " " + c)] + [(5, d), (5, d), (5, d + " "), (6, d)]
+            + [(None, None), (None, ""), (2, ""), (None, None)])
+    docs = table(rows)
+    kept = keep_one(docs)
+    assert kept.columns == docs.columns
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    same = lambda t: (t or "").split()
+    assert sorted((low(i), same(t)) for i, t in got) == sorted([(7, same(a)), (3, same(b)), (LOWEST, same(c)), (5, same(d)), (LOWEST, [])])
+    assert all(x in rows for x in got)
+
+
 def shingles(text, n=5):
     ws = re.findall("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return {tuple(ws[i:i + n]) for i in range(len(ws) - n + 1)}
