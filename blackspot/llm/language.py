@@ -216,10 +216,11 @@ def fit(docs: DataFrame, may_learn: Column, sample: int = SAMPLE) -> Model:
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """``(doc, h, doc_id_null, lang, score)`` for every row of ``docs``: its language and the mean posterior of it.
+    """``(doc, h, out, lang, score, sure)`` for every row of ``docs``: its language and the mean posterior of it.
 
-    A null text and one without a letter get ``und`` and 0. Other columns than
-    doc_id and text are not read.
+    ``sure`` is the mean over words of the largest posterior: how certain the
+    labels of the words are, whether they agree or not. A null text and one without
+    a letter get ``und`` and 0. Other columns than doc_id and text are not read.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -230,26 +231,31 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             for part, data, offsets in each_slab(b):
                 f = Features(data, offsets)
                 n = len(part)
-                mean = np.zeros((n, max(1, len(model.labels))))
+                mean, sure = np.zeros((n, max(1, len(model.labels)))), np.zeros(n)
                 if len(f.starts) and model.labels:
                     word, _ = posteriors(model.emissions(f), np.arange(len(f.starts)), chains(f.first), model.transition)
                     doc = np.repeat(np.arange(n), np.diff(f.first))
                     for k in range(len(model.labels)):
                         mean[:, k] = np.bincount(doc, weights=word[:, k], minlength=n)
                     mean /= np.maximum(np.diff(f.first), 1)[:, None]
+                    sure = np.bincount(doc, weights=word.max(axis=1), minlength=n) / np.maximum(np.diff(f.first), 1)
                 best = mean.argmax(axis=1)
                 known = part["lettered"].to_numpy(zero_copy_only=False) & bool(model.labels) & (np.diff(f.first) > 0)
-                yield record("doc h out lang score", part["doc"], part["h"], part["out"],
+                yield record("doc h out lang score sure", part["doc"], part["h"], part["out"],
                              pa.array(names[np.where(known, best, len(model.labels))], pa.string()),
-                             np.where(known, np.clip(mean[np.arange(n), best], 0, 1), 0.0))
+                             np.where(known, np.clip(mean[np.arange(n), best], 0, 1), 0.0), np.where(known, np.clip(sure, 0, 1), 0.0))
     lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     rows = docs.select(id_key().alias("doc"), F.xxhash64("text").alias("h"), held_out().alias("out"), lettered.alias("lettered"), "text")
-    return rows.mapInArrow(run, "doc long, h long, out boolean, lang string, score double")
+    return rows.mapInArrow(run, "doc long, h long, out boolean, lang string, score double, sure double")
 
 
 def keep_known(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose language is known with a score of at least ``least``, with all their columns."""
-    gone = (identify(docs, model).filter((F.col("lang") == UNDEFINED) | (F.col("score") < least))
+    """The rows of ``docs`` whose words have known languages, with all their columns.
+
+    A row goes if it is ``und``, or if the largest posterior of its words is below
+    ``least`` on average. Text in several languages stays if its words are certain.
+    """
+    gone = (identify(docs, model).filter((F.col("lang") == UNDEFINED) | (F.col("sure") < least))
             .select(F.col("doc").alias("_gone"), F.col("h").alias("_h")).distinct())
     return docs.join(stored(gone), (id_key() == F.col("_gone")) & (F.xxhash64("text") == F.col("_h")), "left_anti")
 

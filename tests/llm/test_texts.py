@@ -127,6 +127,18 @@ def test_languages_of_odd_rows(spark, table, odd):
     assert language.identify(table([]), model).collect() == []
 
 
+def test_mixed_documents_are_known(spark, table):
+    rng = random.Random(12)
+    parts = {"a": ["the", "ing", "and", "th"], "b": ["que", "ión", "ar", "los"], "c": ["sch", "ung", "ich", "ein"]}
+    say = lambda lang, n: " ".join("".join(rng.choice(parts[lang]) for _ in range(3)) for _ in range(n))
+    model = language.train([say(x, 60).encode() for x in "abc" for _ in range(40)], [x for x in "abc" for _ in range(40)])
+    rows = [(1, say("a", 40) + " " + say("b", 38) + " " + say("c", 4)), (2, " ".join(say(x, 30) for x in "abc")), (3, say("a", 50)), (4, "12 34")]
+    found = {r.doc: r for r in language.identify(table(rows), model).collect()}
+    assert found[1].score < 0.5 and found[2].score < 0.4
+    assert {r.doc_id for r in language.keep_known(table(rows), model).collect()} == {1, 2, 3}
+    assert {r.doc_id for r in language.keep_known(table(rows), model, 1.1).collect()} == set()
+
+
 # Licenses
 
 LICENSED = ["Released under the MIT License.", "UNDER THE\nMIT license", "licensed under apache license, version 2.0 CC-BY-NC cc by nc cc by nc",
