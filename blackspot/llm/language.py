@@ -8,7 +8,8 @@ size. Transitions between labels are learned; posteriors come from
 forward-backward over all chains of a slab at a time.
 
 The model is trained here, by stochastic gradient on the likelihood, on at most
-``SAMPLE`` documents of each language of no more than ``SAMPLE_BYTES`` bytes.
+``SAMPLE`` documents of each language of no more than ``SAMPLE_BYTES`` bytes;
+where a language has fewer of these, also on runs of words of its longer ones.
 Their words are cut into spans and spliced into chains across documents, so that
 changes of language occur in training.
 """
@@ -28,7 +29,7 @@ from blackspot.llm.common import documents, id_back, id_key, in_parts, stored
 from blackspot.llm.repeats import each_slab, record
 from blackspot.llm.simhash import LOWER
 
-#: Training documents of a language, and the most bytes of one.
+#: Training documents of a language, and the most bytes of one; of longer texts a run of words is taken.
 SAMPLE, SAMPLE_BYTES = 200, 20_000
 #: Words in a chain: a document is labelled in pieces of so many words.
 CHAIN = 128
@@ -190,21 +191,42 @@ def held_out() -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, may_learn: Column, sample: int = SAMPLE) -> Model:
-    """A model of the languages of those rows of ``docs`` that may be learned from.
+def some_words(text: Column, most_bytes: int) -> Column:
+    """A run of whole words of a long text, chosen by a hash of doc_id, of about ``most_bytes`` bytes."""
+    length = F.floor(F.length(text) * F.lit(float(most_bytes)) / F.octet_length(text)).cast("int")
+    start = F.pmod(F.xxhash64("doc_id", F.lit("run")), F.length(text) - length + 1).cast("int") + 1
+    run = F.substring(text, start, length)
+    # Words at the ends may be cut; a run without a space is one word.
+    whole = F.regexp_replace(F.regexp_replace(run, r"^\S*\s", ""), r"\s\S*$", "")
+    return F.when(whole.rlike(r"\S"), whole).otherwise(run)
 
-    The sample of a language is drawn by a hash of doc_id: a first cut by the
-    share that is needed, then the ``sample`` rows of least hash.
+
+def learnable(docs: DataFrame, may_learn: Column, sample: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """``(lang, _r, text)``: at most ``sample`` texts of each language in those rows of ``docs`` that may be learned from.
+
+    They are drawn by a hash of doc_id: a first cut by the share that is needed,
+    then the rows of least hash. Texts of more than ``most_bytes`` bytes are taken
+    where a language has too few shorter ones, and then only a run of their words.
     """
-    ready = docs.filter(may_learn & F.col("lang").isNotNull() & F.col("text").isNotNull()
-                        & (F.octet_length("text") <= SAMPLE_BYTES)).select("lang", "text", F.xxhash64("doc_id", F.lit("sample")).alias("_h"))
-    counts = {r["lang"]: r["n"] for r in ready.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    ready = (docs.filter(may_learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
+             .select("lang", "text", "doc_id", (F.octet_length("text") > most_bytes).alias("_long"), F.xxhash64("doc_id", F.lit("sample")).alias("_h")))
+    counts = ready.groupBy("lang").agg(F.count_if(~F.col("_long")).alias("short"), F.count_if("_long").alias("long")).collect()
     chance = F.lit(False)
-    for lang, n in counts.items():
-        share = min(1.0, 2 * sample / n)
-        chance = chance | ((F.col("lang") == lang) & (F.pmod(F.col("_h"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000) + 1)))
-    best = Window.partitionBy("lang").orderBy("_h", "text")
-    rows = ready.filter(chance).withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= sample).select("lang", "_r", "text")
+    for r in counts:
+        for long, n, need in ((False, r["short"], sample), (True, r["long"], sample - r["short"])):
+            if n and need > 0:
+                share = min(1.0, 2 * need / n)
+                chance = chance | ((F.col("lang") == r["lang"]) & (F.col("_long") == long)
+                                   & (F.pmod(F.col("_h"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000) + 1)))
+    text = F.when(F.col("_long"), some_words(F.col("text"), most_bytes)).otherwise(F.col("text"))
+    best = Window.partitionBy("lang").orderBy("_long", "_h", "text")
+    return (ready.filter(chance).select("lang", "_long", "_h", text.alias("text")).withColumn("_r", F.row_number().over(best))
+            .filter(F.col("_r") <= sample).select("lang", "_r", "text"))
+
+
+def fit(docs: DataFrame, may_learn: Column, sample: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> Model:
+    """A model of the languages of those rows of ``docs`` that may be learned from, trained on ``learnable`` texts."""
+    rows = learnable(docs, may_learn, sample, most_bytes)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = sorted((x["lang"], x["_r"], x["text"]) for b in batches for x in b.to_pylist())

@@ -139,6 +139,24 @@ def test_mixed_documents_are_known(spark, table):
     assert {r.doc_id for r in language.keep_known(table(rows), model, 1.1).collect()} == set()
 
 
+def test_language_of_long_documents_only(spark, table):
+    rng = random.Random(13)
+    parts = {"a": ["the", "ing", "and", "th"], "b": ["que", "ión", "ar", "los"], "c": ["sch", "ung", "ich", "ein"], "d": ["日本", "語の", "文章", "です"]}
+    say = lambda lang, n, gap=" ": gap.join("".join(rng.choice(parts[lang]) for _ in range(3)) for _ in range(n))
+    rows = [(i, say(x, 60), x) for i, x in enumerate("ab" * 40)] + [(100 + i, say("c", 4000), "c") for i in range(12)]
+    rows += [(200 + i, say("c", 50), "c") for i in range(2)] + [(300 + i, say("d", 2000, ""), "d") for i in range(3)]
+    taken = language.learnable(table(rows), F.lit(True), sample=10).collect()
+    assert {x: sum(r.lang == x for r in taken) for x in "abcd"} == {"a": 10, "b": 10, "c": 10, "d": 3}
+    assert all(len(r.text.encode()) <= 20_000 * 1.1 for r in taken)
+    texts = {x: [f" {t} " for _, t, lang in rows if lang == x] for x in "abc"}
+    assert all(any(f" {r.text} " in t for t in texts[r.lang]) for r in taken if r.lang != "d")
+    long = [r for r in rows if r[0] >= 100 and r[2] != "d" and len(r[1]) > 20_000]
+    model = language.fit(table(rows[:80] + long), F.lit(True))
+    assert model.labels == ["a", "b", "c"]
+    new = [(i, say(x, 40)) for i, x in enumerate("abc" * 10)]
+    assert all(r.lang == "abc"[r.doc % 3] for r in language.identify(table(new), model).collect())
+
+
 # Licenses
 
 LICENSED = ["Released under the MIT License.", "UNDER THE\nMIT license", "licensed under apache license, version 2.0 CC-BY-NC cc by nc cc by nc",
