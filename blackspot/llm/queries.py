@@ -12,12 +12,13 @@ from blackspot.llm.language import op3_language
 from blackspot.llm.licenses import OP5_SQL, op5_license_scan
 from blackspot.llm.pieces import op4_sentencepiece
 from blackspot.llm.pii import op8_pii
+from blackspot.llm.quality_rules import OP12_SQL, op12_quality_rules
 from blackspot.llm.rlz_dedup import OP1_SQL, op1_substring_dedup
 from blackspot.llm.simhash import op7_simhash_dedup
 from blackspot.llm.suffix_dedup import op10_suffix_dedup
 from blackspot.llm.url_filter import OP6_SQL, op6_url_filter
 
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_decontaminate, op3_language, op4_sentencepiece, op5_license_scan,
-                                   op6_url_filter, op7_simhash_dedup, op8_pii, op9_exact_dedup, op10_suffix_dedup)}
+                                   op6_url_filter, op7_simhash_dedup, op8_pii, op9_exact_dedup, op10_suffix_dedup, op12_quality_rules)}
 ORACLES = {"op1_substring_dedup": OP1_SQL, "op2_decontaminate": OP2_SQL, "op5_license_scan": OP5_SQL,
-           "op6_url_filter": OP6_SQL, "op9_exact_dedup": OP9_SQL}
+           "op6_url_filter": OP6_SQL, "op9_exact_dedup": OP9_SQL, "op12_quality_rules": OP12_SQL}
