@@ -277,7 +277,7 @@ def fit(embeddings: DataFrame, components: int = COMPONENTS) -> Whitening | None
     directions make their largest entry positive.
     """
     vectors = embeddings.select("embedding")
-    sums = cut(vectors.mapInArrow(total, "width int, place int, n long, s long").groupBy("width", "place").agg(F.sum("n").alias("n"), F.sum("s").alias("s")))
+    sums = cut(vectors.mapInArrow(total, "width long, place long, n long, s long").groupBy("width", "place").agg(F.sum("n").alias("n"), F.sum("s").alias("s")))
     rows = sums.filter(F.col("width") == sums.agg(F.max("width")).scalar()).orderBy("place").collect()
     if not rows:
         return None
