@@ -231,16 +231,17 @@ def block_vectors(a: np.ndarray, b: np.ndarray, values: np.ndarray) -> np.ndarra
     """Eigenvectors of ``B'B`` for one B without zeros, in the order of its falling ``values``.
 
     Directions of values that are close are made orthogonal to one another; where
-    that leaves nothing, inverse iteration finds a basis of what they span.
+    that leaves little, inverse iteration finds what they span, and its own axes.
     """
     z = twisted(a * a, b / a[:-1], values)
     for start, end in close_together(values, 1e-3):
         group, r = np.linalg.qr(z[:, start:end])
-        if np.abs(np.diag(r)).min() < 1e-3:
+        if np.abs(np.diag(r)).min() < 0.5:
             t = np.diag(a * a + np.append(0, b * b)) + np.diag(a[:-1] * b, 1) + np.diag(a[:-1] * b, -1)
             group = np.random.default_rng(0).standard_normal(group.shape)
             for _ in range(3):
                 group = np.linalg.qr(np.linalg.solve(t - np.eye(len(t)) * values[start:end].mean() * (1 + 8 * EPS), group))[0]
+            group = group @ np.linalg.eigh(group.T @ t @ group)[1][:, ::-1]
         z[:, start:end] = group
     return z
 
