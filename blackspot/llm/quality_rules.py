@@ -75,17 +75,26 @@ def neighbours_equal(ordered: Column, field: str) -> Column:
 def repeated_words(words: Column, window: int = WINDOW) -> Column:
     """How many words lie in windows of ``window`` words that stand twice or more in the list.
 
-    Windows are sorted by a hash first; those that share one are sorted again by
-    their words, so hashes decide nothing.
+    Every word is hashed once and a window by the hashes of its words. If all
+    windows differ in hash, none is repeated. Else they are sorted by hash, and
+    those that share one again by their words, so hashes decide nothing.
     """
-    places = F.when(F.size(words) > window, F.sequence(F.lit(1), F.size(words) - (window - 1))).otherwise(F.array().cast("array<int>"))
-    by_hash = F.sort_array(F.transform(places, lambda at: F.struct(F.xxhash64(F.slice(words, at, window)).alias("h"), at.alias("at"))))
+    in_order = lambda hashes: F.sort_array(F.transform(hashes, lambda h, k: F.struct(h.alias("h"), (k + 1).alias("at"))))
     by_words = lambda some: F.sort_array(F.transform(some, lambda x: F.struct(F.slice(words, x["at"], window).alias("g"), x["at"].alias("at"))))
-    starts = let(by_hash, lambda hashed: let(by_words(neighbours_equal(hashed, "h")), lambda exact: F.sort_array(
-        F.transform(neighbours_equal(exact, "g"), lambda x: x["at"]))))
-    return let(starts, lambda s: F.aggregate(
-        F.transform(s, lambda at, k: F.least(F.lit(window), F.coalesce(F.get(s, k + 1) - at, F.lit(window)))), F.lit(0).cast("long"),
-        lambda total, more: total + more))
+
+    def covered(hashes: Column) -> Column:
+        starts = let(in_order(hashes), lambda hashed: let(by_words(neighbours_equal(hashed, "h")), lambda exact: F.sort_array(
+            F.transform(neighbours_equal(exact, "g"), lambda x: x["at"]))))
+        return let(starts, lambda s: F.aggregate(
+            F.transform(s, lambda at, k: F.least(F.lit(window), F.coalesce(F.get(s, k + 1) - at, F.lit(window)))), F.lit(0).cast("long"),
+            lambda total, more: total + more))
+
+    def of(word_hashes: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(words) - window)
+        hashes = F.transform(places, lambda at: F.xxhash64(*[F.get(word_hashes, at + k) for k in range(window)]))
+        return let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(covered(h)))
+
+    return F.when(F.size(words) <= window, 0).otherwise(let(F.transform(words, lambda w: F.xxhash64(w)), of)).cast("long")
 
 
 def measures(text: Column, stop_words: list[str] = STOP_WORDS) -> Column:
