@@ -2,18 +2,16 @@
 
 The corpus is its own reference. It is cut into blocks: maximal runs of word
 windows that share a content-chosen anchor, so that a repeated passage is cut in
-much the same way wherever it stands. Blocks are indexed by their anchor, each
-with the place it was found at, and every document is parsed greedily against
-all earlier blocks of the corpus: within a block, windows that stand earlier
-extend a factor as far as it goes, and factors of neighbouring blocks join. A
-passage covers the blocks at its ends only in part, so the blocks at the
-boundaries of factors are checked window by window like all others. A factor is at
-least a window long and becomes a duplicate span.
-
-Windows are compared by 96 bits of hash. Equal blocks of an Arrow batch are sent
-on once. A block whose anchor is very common would meet too many others in one
-task; its windows are sent one by one, which spreads them over all tasks. Texts
-are shuffled once: both joins by document use the same exchange.
+much the same way wherever it stands. Blocks are indexed by their anchor and every
+block is parsed greedily against all earlier blocks with its anchor: a factor
+starts where a window of it stands in an earlier block and goes on as far as the
+words of both agree; windows across the end of a factor are looked up on their own.
+Factors are at least a window long and become duplicate spans; those of
+neighbouring blocks join.
+
+The index finds windows by 128 bits of hash, and the words of a factor and its
+source are compared. Blocks that are equal as a whole are settled by 128 bits of
+hash before texts are sent, and very common anchors are thinned out (``repeats``).
 """
 
 from __future__ import annotations
@@ -24,107 +22,82 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from blackspot.llm.arrays import SECOND, WORDS, anchors, join_words, mix, range_hash, spread, sums, word_hashes, words
+from blackspot.llm.arrays import SECOND, WORDS, join_words, mix, range_hash, spread, sums, word_hashes, words
 from blackspot.llm.common import documents, id_back, stored
-from blackspot.llm.repeats import (SPAN, STRING, TEXT, copies, each_slab, elsewhere, flat_runs, grouped, numbered, pack, record,
-                                   repeated_runs, runs, span_cover, unpack, with_spans)
+from blackspot.llm.repeats import (WORD_UNIT, bytes_of, copies, each_slab, numbered, record, repeated_spans, span_cover, unpack, with_spans)
 
 WINDOW = 20
 GRAM = 6
 
-BLOCK = "key long, check int, doc long, run long, kind int, w array<long>, v array<int>"
 
-
-def claim(window: int, gram: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for part, data, offsets in each_slab(b):
-                starts, ends, first = words(data, offsets)
-                seq, start, count, key, place = anchors(word_hashes(data, starts, ends), first, window, gram, WORDS)
-                yield record("key doc run", key.view(np.int64), part["doc"].to_numpy()[seq], pack(start - first[seq], count, place - start))
-    return run
-
-
-def earlier(one: np.ndarray, two: np.ndarray, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Which items equal one with a smaller (document, place)."""
+def earliest(one: np.ndarray, two: np.ndarray, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """For every item the equal one with the smallest (document, place), which may be itself."""
     order = np.lexsort((place, doc, two, one))
-    out = np.zeros(len(order), bool)
+    out = np.arange(len(order))
     if len(order):
         head = np.append(True, (one[order[1:]] != one[order[:-1]]) | (two[order[1:]] != two[order[:-1]]))
-        first = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
-        out[order] = (doc[order] != doc[first]) | (place[order] != place[first])
+        out[order] = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
     return out
 
 
-def blocks(window: int):
-    """Blocks of the runs listed for each document, with the hashes of their windows; windows of common anchors one by one."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for part, data, offsets in each_slab(b):
-                starts, ends, first = words(data, offsets)
-                h = word_hashes(data, starts, ends)
-                one, two = sums(h, WORDS), sums(h, SECOND)
-                key, packed, crowd, row = flat_runs(part["runs"])
-                place, count, _ = unpack(packed)
-                start = first[row] + place
-                stop = start + count + window - 1
-                owner, rank = spread(count)
-                at = start[owner] + rank
-                rows.append((key, packed, crowd, part["doc"].to_numpy()[row], range_hash(one, start, stop, WORDS), range_hash(two, start, stop, SECOND),
-                             mix(range_hash(one, at, at + window, WORDS)).view(np.int64),
-                             mix(range_hash(two, at, at + window, SECOND)).astype(np.uint32).view(np.int32)))
-            if not rows:
-                continue
-            key, packed, crowd, doc, k1, k2, w, v = (np.concatenate(x) for x in zip(*rows))
-            place, count, _ = unpack(packed)
-            owner, rank = spread(count)
-            few = np.flatnonzero(~crowd)
-            # Of equal blocks in a batch only the earliest is looked up; so it is with single windows.
-            seen = np.zeros(len(key), bool)
-            seen[few] = earlier(k1[few], k2[few], doc[few], place[few])
-            yield blocks_of(key, doc, packed, np.where(seen, SPAN, TEXT), w, v, count, few)
-            many = np.flatnonzero(crowd[owner])
-            at = pack(place[owner[many]] + rank[many], np.ones(len(many), np.int64))
-            again = earlier(w[many], v[many], doc[owner[many]], at)
-            kind = np.where(again, SPAN, STRING).astype(np.int32)
-            none = pa.ListArray.from_arrays(pa.array(np.zeros(len(many) + 1, np.int32)), pa.array(w[:0]))
-            yield record("key check doc run kind w v", np.where(again, elsewhere(doc[owner[many]], at), w[many]), v[many], doc[owner[many]], at, kind,
-                         none, none.cast(pa.list_(pa.int32())))
-    return run
-
+def same_bytes(data: np.ndarray, a: np.ndarray, a_end: np.ndarray, b: np.ndarray, b_end: np.ndarray) -> np.ndarray:
+    """Which byte ranges equal their partner."""
+    out = a_end - a == b_end - b
+    some = np.flatnonzero(out)
+    owner, rank = spread((a_end - a)[some])
+    wrong = data[a[some][owner] + rank] != data[b[some][owner] + rank]
+    out[some[owner[wrong]]] = False
+    return out
 
-def blocks_of(key, doc, packed, kind, w, v, count, own) -> pa.RecordBatch:
-    """Rows of the blocks ``own``; one that is settled carries no windows."""
-    carry = np.zeros(len(key), bool)
-    carry[own] = kind[own] == TEXT
-    cut = pa.array(np.append(0, np.cumsum(np.where(carry, count, 0)[own])).astype(np.int32))
-    take = np.repeat(carry, count)
-    return record("key check doc run kind w v", np.where(kind == SPAN, elsewhere(doc, packed), key)[own], np.zeros(len(own), np.int32), doc[own],
-                  packed[own], kind[own].astype(np.int32), pa.ListArray.from_arrays(cut, pa.array(w[take])),
-                  pa.ListArray.from_arrays(cut, pa.array(v[take])))
 
+def factors(window: int):
+    """Parses the blocks of whole buckets greedily against all earlier blocks of their bucket.
 
-def parse(window: int):
-    """Factors ``(doc, s, e)``: longest runs of windows that stand earlier, for all blocks of a task."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = list(batches)
-        if not found:
-            return
-        t = pa.Table.from_batches(found).combine_chunks()
-        key, check, doc, packed, kind = (t[c].to_numpy() for c in ("key", "check", "doc", "run", "kind"))
-        place, count, _ = unpack(packed)
-        w, v = (t[c].combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("w", "v"))
-        # Every window of the task: those of blocks, then single ones.
-        owner, rank = spread(np.where(kind == TEXT, count, 0))
-        string = np.flatnonzero(kind == STRING)
-        row = np.append(owner, string)
-        at = place[row] + np.append(rank, np.zeros(len(string), np.int64))
-        seen = earlier(np.append(w, key[string]), np.append(v, check[string]), doc[row], at)
-        a, z = runs(seen, row)
-        settled = np.flatnonzero(kind == SPAN)
-        yield record("doc s e", np.append(doc[settled], doc[row[a]]), np.append(place[settled], at[a]),
-                     np.append(place[settled] + count[settled], at[z] + 1) + window - 1)
+    The index holds every window of the blocks at the place where it stands first.
+    The next window of a block that the index knows from an earlier place starts a
+    factor, which goes on as long as the words of both go on alike; then the windows
+    behind it, those across the factor's end first, are looked up again.
+    Gives ``doc, s, e, from_doc, from_s``: the factor and its source, words compared.
+    """
+    def run(t: pa.RecordBatch) -> pa.RecordBatch:
+        doc = t["doc"].to_numpy()
+        place, count, _ = unpack(t["run"].to_numpy())
+        data, offsets = bytes_of(t)
+        starts, ends, first = words(data, offsets)
+        h = word_hashes(data, starts, ends)
+        owner, rank = spread(count)
+        at = first[owner] + rank
+        one, two = (mix(range_hash(sums(h, p), at, at + window, p)) for p in (WORDS, SECOND))
+        source = earliest(one, two, doc[owner], place[owner] + rank)
+        known = (doc[owner[source]] != doc[owner]) | ((place[owner] + rank)[source] != place[owner] + rank)
+        n = len(known)
+        ahead = np.append(np.where(known, np.arange(n), n), n)
+        ahead = np.minimum.accumulate(ahead[::-1])[::-1]  # the next known window
+        end = np.cumsum(count)
+        found, cursor, limit = [], end - count, end
+        while len(cursor):
+            begin = ahead[cursor]
+            open_ = begin < limit
+            begin, limit = begin[open_], limit[open_]
+            if not len(begin):
+                break
+            src, size, going = source[begin], np.ones(len(begin), np.int64), np.arange(len(begin))
+            stop = end[owner[src]]
+            while len(going):
+                x, y = begin[going] + size[going], src[going] + size[going]
+                on = (x < limit[going]) & (y < stop[going])
+                x, y, going = x[on], y[on], going[on]
+                going = going[(one[x] == one[y]) & (two[x] == two[y])]
+                size[going] += 1
+            last = size - 1 + window - 1
+            right = same_bytes(data, starts[at[begin]], ends[at[begin] + last], starts[at[src]], ends[at[src] + last])
+            found.append((begin[right], size[right], src[right]))
+            cursor = np.where(right, begin + size, begin + 1)
+            more = cursor < limit
+            cursor, limit = cursor[more], limit[more]
+        begin, size, src = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+        s = (place[owner] + rank)[begin]
+        return record("doc s e from_doc from_s", doc[owner[begin]], s, s + size - 1 + window, doc[owner[src]], (place[owner] + rank)[src])
     return run
 
 
@@ -133,10 +106,8 @@ def duplicate_spans(rows: DataFrame, twins: DataFrame, window: int = WINDOW, gra
 
     ``rows`` is the output of ``numbered``, ``twins`` that of ``copies``.
     """
-    listed = repeated_runs(rows, twins, claim(window, gram))
-    # The inner join keeps documents with repeated anchors; the texts' exchange serves the last join too.
-    near = rows.join(listed, "doc").select("doc", "doc_id", "text", "runs")
-    return near.mapInArrow(blocks(window), BLOCK).repartition("key").mapInArrow(parse(window), "doc long, s long, e long")
+    parse = factors(window)
+    return repeated_spans(rows, twins, WORD_UNIT, window, gram, False, lambda t: parse(t).select(["doc", "s", "e"]))
 
 
 def remove(window: int):

@@ -5,7 +5,7 @@ corpus is removed. Only starts whose anchor (``arrays.anchors``) occurs twice ca
 be such places; the text around them is dealt out by anchor, so that all suffixes
 that may agree on ``length`` bytes meet in one bucket.
 
-A task takes its buckets in blocks of about ``BLOCK`` bytes and sorts the
+A task takes its buckets in blocks of about 2 MB and sorts the
 suffixes of a bucket on their own, to a depth of ``length``. Places at residues
 of a difference cover are the sample: for any two places some shift below the
 period takes both to sample places. Their ranks are computed beforehand by
@@ -14,8 +14,9 @@ number of look-ups however long they agree: the first bytes, two sample ranks, a
 the last bytes. Buckets are split by ternary partition around a pivot, all buckets
 of a block at a time; suffixes equal to another to full depth are repeated.
 
-Anchors that occur very often would fill a bucket without bound. Their strings
-are compared one by one by 128 bits of hash, which spreads them over all tasks.
+Anchors that occur very often would fill a bucket without bound; their runs are
+thinned out first (``repeats``). Texts of runs that are equal as a whole are
+settled by 128 bits of hash.
 """
 
 from __future__ import annotations
@@ -24,23 +25,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from blackspot.llm.arrays import BYTES, SECOND, anchors, mix, range_hash, spread, sums
+from blackspot.llm.arrays import spread
 from blackspot.llm.common import documents, id_back, stored
-from blackspot.llm.repeats import (PLACE_BITS, SPAN, STRING, TEXT, TWICE, copies, each_slab, elsewhere, flat_runs, grouped, numbered,
-                                   pack, record, repeated_runs, runs, span_cover, unpack, with_spans)
+from blackspot.llm.repeats import (BYTE_UNIT, PLACE_BITS, bytes_of, copies, each_slab, numbered, record, repeated_spans, runs, span_cover,
+                                   unpack, with_spans)
 
 LENGTH = 400
 GRAM = 64
-#: Bytes of a block.
-BLOCK = 1 << 21
 #: A perfect difference set: every residue is a difference of two members.
 PERIOD, COVER = 31, (0, 1, 3, 8, 12, 18)
 
-PIECE = "key long, check long, doc long, run long, kind int, text binary"
-
 
 def shifts() -> np.ndarray:
     """``[a, b]``: the least shift that takes residues ``a`` and ``b`` both into the cover."""
@@ -151,124 +147,20 @@ def repeated(block: Block, place: np.ndarray, bucket: np.ndarray) -> np.ndarray:
     return out
 
 
-def claim(length: int, gram: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for part, data, offsets in each_slab(b):
-                seq, start, count, key, place = anchors(data.astype(np.uint64) + np.uint64(1), offsets, length, gram, BYTES)
-                yield record("key doc run", key.view(np.int64), part["doc"].to_numpy()[seq],
-                             pack(start - offsets[seq], count, place - start))
-    return run
-
-
-def pieces(length: int):
-    """Text of the runs listed for each document, and the strings of crowded ones."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for part, data, offsets in each_slab(b):
-                key, packed, crowd, row = flat_runs(part["runs"])
-                doc = part["doc"].to_numpy()[row]
-                place, count, anchor = unpack(packed)
-                start = offsets[row] + place
-                values = data.astype(np.uint64) + np.uint64(1)
-                one, two = sums(values, BYTES), sums(values, SECOND)
-                # Strings of crowded anchors, and texts of the other buckets, once for each slab.
-                many, few = np.flatnonzero(crowd), np.flatnonzero(~crowd)
-                owner, rank = spread(count[many])
-                at, stop = start[many][owner] + rank, start[many][owner] + rank + length
-                yield once(mix(range_hash(one, at, stop, BYTES)), mix(range_hash(two, at, stop, SECOND)), doc[many][owner],
-                           pack(place[many][owner] + rank, np.ones(len(at), np.int64)), STRING, None, None)
-                stop = start[few] + count[few] + length - 1
-                texts = [data[i:j].tobytes() for i, j in zip(start[few].tolist(), stop.tolist())]
-                yield once(mix(range_hash(one, start[few], stop, BYTES)), mix(range_hash(two, start[few], stop, SECOND)), doc[few],
-                           packed[few], TEXT, key[few], texts)
-    return run
-
-
-def once(one: np.ndarray, two: np.ndarray, doc: np.ndarray, packed: np.ndarray, kind: int, key: np.ndarray | None, texts: list | None):
-    """Rows of which equal ones are reduced to one; it and the others are known to repeat."""
-    order, first, n = grouped(one, two)
-    kinds = np.full(len(one), SPAN)
-    kinds[first] = kind
-    if texts is not None:
-        kinds[first[n > 1]] = TWICE
-    else:
-        # A string seen twice is a span and also stays, as a partner for others.
-        twice = first[n > 1]
-        one, two, doc, packed = (np.append(x, x[twice]) for x in (one, two, doc, packed))
-        kinds = np.append(kinds, np.full(len(twice), SPAN))
-        texts = [b""] * len(kinds)
-    keys = np.where(kinds == SPAN, elsewhere(doc, packed), one.view(np.int64) if key is None else key)
-    text = pa.array([t if k else b"" for t, k in zip(texts, kinds.tolist())], pa.binary())
-    return record("key check doc run kind text", keys, two.view(np.int64), doc, packed, kinds.astype(np.int32), text)
-
-
-def sort_buckets(length: int):
-    """Spans ``(doc, s, e)`` of repeated strings; the rows of a task come in the order of their keys."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left, held = [], 0
-        for b in batches:
-            if not len(b):
-                continue
-            left.append(b)
-            held += b["text"].nbytes + 64 * len(b)
-            if held >= BLOCK:
-                t = pa.Table.from_batches(left).combine_chunks().to_batches()[0]
-                key = t["key"].to_numpy()
-                end = int(np.searchsorted(key, key[-1], "left"))  # the last bucket may go on
-                if end:
-                    yield from in_blocks(t.slice(0, end), length)
-                left = [t.slice(end)]
-                held = sum(x["text"].nbytes + 64 * len(x) for x in left)
-        if left:
-            yield from in_blocks(pa.Table.from_batches(left).combine_chunks().to_batches()[0], length)
-    return run
-
-
-def in_blocks(t: pa.RecordBatch, length: int) -> Iterator[pa.RecordBatch]:
-    """Whole buckets, as many at a time as a block takes."""
-    key = t["key"].to_numpy()
-    total = np.append(0, np.cumsum(pc.binary_length(t["text"]).to_numpy().astype(np.int64) + 64))
-    row = 0
-    while row < len(t):
-        end = int(np.searchsorted(total, total[row] + BLOCK, "right")) - 1
-        end = min(max(end, row + 1), len(t))
-        if end < len(t):
-            cut_at = int(np.searchsorted(key, key[end], "left"))
-            end = cut_at if cut_at > row else int(np.searchsorted(key, key[row], "right"))
-        yield sort_block(t.slice(row, end - row), length)
-        row = end
-
-
-def sort_block(t: pa.RecordBatch, length: int) -> pa.RecordBatch:
-    key, check, doc, packed, kind = (t[c].to_numpy() for c in ("key", "check", "doc", "run", "kind"))
-    place, count, anchor = unpack(packed)
-    docs, s, e = [doc[kind == SPAN]], [place[kind == SPAN]], [(place + count + length - 1)[kind == SPAN]]
-    string = np.flatnonzero(kind == STRING)
-    order, _, n = grouped(key[string], check[string])
-    again = string[order[np.repeat(n > 1, n)]]
-    docs.append(doc[again]), s.append(place[again]), e.append(place[again] + length)
-    rows = np.flatnonzero(kind >= TEXT)
-    if len(rows):
-        text = t["text"].take(pa.array(rows)).cast(pa.large_binary())
-        data = np.frombuffer(text.buffers()[2], np.uint8)
-        offset = np.frombuffer(text.buffers()[1], np.int64)[:len(rows) + 1]
-        owner, rank = spread(count[rows])
+def sort_block(length: int):
+    """Spans ``(doc, s, e)`` of strings that stand in two places of the buckets of a block."""
+    def run(t: pa.RecordBatch) -> pa.RecordBatch:
+        key, doc, packed = (t[c].to_numpy() for c in ("key", "doc", "run"))
+        place, count, anchor = unpack(packed)
+        data, offset = bytes_of(t)
+        owner, rank = spread(count)
         # A bucket: the same anchor at the same place of the string.
-        where = (anchor[rows][owner] - rank).astype(np.int64)
-        number = np.unique(key[rows], return_inverse=True)[1]
+        where = (anchor[owner] - rank).astype(np.int64)
+        number = np.unique(key, return_inverse=True)[1]
         hit = repeated(Block(data, length), offset[owner] + rank, number[owner] * (1 << PLACE_BITS) + where)
-        hit |= (kind[rows] == TWICE)[owner]
         a, b = runs(hit, owner)
-        docs.append(doc[rows][owner[a]]), s.append(place[rows][owner[a]] + rank[a]), e.append(place[rows][owner[a]] + rank[b] + length)
-    return record("doc s e", np.concatenate(docs), np.concatenate(s), np.concatenate(e))
-
-
-def repeated_spans(rows: DataFrame, twins: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """Byte spans ``(doc, s, e)`` of strings that start twice, but for copies of whole texts other than the first."""
-    listed = repeated_runs(rows, twins, claim(length, gram))
-    return (rows.join(listed, "doc").select("doc", "doc_id", "text", "runs").mapInArrow(pieces(length), PIECE)
-            .repartition("key").sortWithinPartitions("key").mapInArrow(sort_buckets(length), "doc long, s long, e long"))
+        return record("doc s e", doc[owner[a]], place[owner[a]] + rank[a], place[owner[a]] + rank[b] + length)
+    return run
 
 
 def remove(length: int):
@@ -302,7 +194,8 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
         raise ValueError("length must be from 93 to 1023 bytes and gram from 8 to length")
     rows = numbered(docs)
     twins = copies(rows)
-    out = with_spans(rows, repeated_spans(rows, twins, length, gram), twins).select("doc", "doc_id", "text", "head", "spans")
+    spans = repeated_spans(rows, twins, BYTE_UNIT, length, gram, True, sort_block(length))
+    out = with_spans(rows, spans, twins).select("doc", "doc_id", "text", "head", "spans")
     return out.mapInArrow(remove(length), "doc_id long, n_bytes long, spans array<struct<s:long,e:long>>, kept binary")
 
 

@@ -150,3 +150,55 @@ def test_queries_cover_the_table(spark, query):
     else:
         want = {d: hashlib.sha256(kept.encode()).hexdigest() for d, _, _, kept in brute_words(docs.items(), 20)}
     assert {r.doc_id: r.kept_sha256 for r in rows} == want
+
+
+def hot_passage(n, longer):
+    """``n`` documents of random words around one passage, and as many with two of three phrases in it changed."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9)))
+    passage = [word() for _ in range(longer)]
+    rows = []
+    for i in range(n):
+        own = list(passage)
+        if i % 3 == 0:
+            own[longer // 2] = f"id{i}"
+        rows.append((i, " ".join([*(word() for _ in range(rng.randrange(30))), *own, *(word() for _ in range(rng.randrange(30)))])))
+    return rows
+
+
+@pytest.mark.parametrize("longer", [25, 90, 200])
+def test_a_passage_of_very_many_documents(spark, table, longer):
+    """More places than ``CROWD``: whole results, and every 400-byte repeat found (recall 1)."""
+    rows = hot_passage(1600, longer)
+    out = substring_dedup(table(rows).repartition(16)).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in out), key=repr) == brute_words(rows, 20)
+    out = suffix_dedup.suffix_dedup(table(rows).repartition(16)).collect()
+    got = [(r.doc_id, r.n_bytes, [tuple(s) for s in r.spans], bytes(r.kept)) for r in out]
+    assert sorted(got, key=repr) == brute_bytes(rows, LENGTH)
+
+
+def test_rows_sent_do_not_depend_on_the_size_of_a_group(spark, table, monkeypatch):
+    sent, made = [], []
+    plain, cut = repeats.thinned, repeats.cut
+    monkeypatch.setattr(repeats, "thinned", lambda crowded, *more: sent.append(crowded.count()) or plain(crowded, *more))
+    monkeypatch.setattr(repeats, "cut", lambda df, *a, **b: made.append(cut(df, *a, **b)) or made[-1])
+    rows = hot_passage(1600, 120)
+    suffix_dedup.suffix_dedup(table(rows).repartition(16)).collect()
+    parts = [t for t in made if t.columns == "key one two doc run crowd text".split()]
+    runs_ = parts[0].count()
+    assert sent[0] > 1000 and all(t.count() <= 4 * runs_ for t in parts[1:])
+
+
+def test_factors_say_where_they_come_from():
+    import pyarrow as pa
+    from blackspot.llm.repeats import pack
+    from blackspot.llm.rlz_dedup import factors
+    ws = [f"w{i}" for i in range(30)]
+    text = lambda *parts: " ".join(w for p in parts for w in p).encode()
+    # 5-word windows of one bucket: a block at document 1, another that has its first 12 words, then 9 of its last after a gap.
+    blocks = [(1, ws), (2, ws[:12] + ["gap"] + ws[21:])]
+    t = pa.RecordBatch.from_arrays([pa.array([9, 9]), pa.array([d for d, _ in blocks]),
+                                    pa.array(pack(np.array([100, 50]), np.array([26, 18]))), pa.array([text(b) for _, b in blocks], pa.binary())],
+                                   names=["key", "doc", "run", "text"])
+    got = [tuple(r.values()) for r in factors(5)(t).to_pylist()]
+    assert got == [(2, 50, 62, 1, 100), (2, 63, 72, 1, 121)]
