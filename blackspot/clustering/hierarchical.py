@@ -1,25 +1,38 @@
 """Agglomerative clustering of crash positions, cut into about one cluster per 250 crashes.
 
-The result is the flat cut of the full dendrogram, not an approximation. Nothing
-of size points x points is built:
-
-* ``ward``, ``complete`` and ``average``: all pairs of clusters that are each
-  other's nearest are merged at once, round by round. For these linkages this
-  gives the same tree as merging one pair at a time. The nearest cluster is found
-  through grid cells around the centroid, because no linkage is smaller than
-  the distance between centroids.
-* ``single``: clusters at a given height are the connected components of positions
-  within that distance. A doubling search brackets the height of the cut, and the
-  shortest gaps between components settle it.
+The result is the flat cut of the full dendrogram, not an approximation, for all
+crashes or for every group of crashes on its own. Nothing of size points x points
+is built:
+
+* All pairs of clusters that are each other's nearest are merged at once, round by
+  round. For these linkages this gives the same tree as merging one pair at a
+  time, and a merge never brings a cluster nearer to others; so a cluster searches
+  again only if it or its nearest cluster was merged.
+* The nearest cluster is found through grid cells around the centroid, because
+  ward, complete and average linkage are never smaller than the distance between
+  centroids (ward by a known factor), or around the positions for single linkage.
+* Complete and average linkage are kept in a table of pairs of clusters, the
+  farthest distance or the sum of distances. A merge takes the greater one or adds
+  them; only pairs that come into reach without such a value are measured from
+  their positions, in blocks of at most ``PART`` by ``PART``.
+* ``single`` over all crashes: clusters at a given height are the connected
+  components of positions within that distance. A doubling search brackets the
+  height of the cut, and the shortest gaps between components settle it.
+
+Groups go through the same rounds together; each has its own number of merges and
+its own end. Group and cluster are only ever keys of joins, so a group may hold any
+share of the crashes. Groups of at most ``SMALL`` positions need no rounds: each is
+merged in one task, by the same heights and the same order of ties.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from blackspot.clustering.boxtree import closest
 from blackspot.clustering.components import components
@@ -27,10 +40,12 @@ from blackspot.clustering.dbscan import linked_cells
 from blackspot.clustering.grid import LEVELS, cells_around, cells_of, square
 from blackspot.clustering.kmeans import lay_out
 from blackspot.clustering.neighbors import CELL_FACTOR, cell_bits, cell_of, offsets
-from blackspot.clustering.points import label_rows, place, positions
+from blackspot.clustering.points import label_rows, place
+from blackspot.functions.geo import morton
+from blackspot.joins import split_join
 from blackspot.operators.ranking import with_rank
 from blackspot.operators.rates import CRASHES_PER_CLUSTER
-from blackspot.runtime import cut, forget, scratch_path
+from blackspot.runtime import cut, forget, require_columns, scratch_path
 
 # The linkages on offer.
 LINKAGES = ("ward", "complete", "average", "single")
@@ -39,27 +54,12 @@ LINKAGES = ("ward", "complete", "average", "single")
 WIDEN = 4
 # Searches go this much beyond the last nearest cluster, since merges move it away.
 SLACK = 2
+# Positions of a cluster that one task measures against as many of another.
+PART = 2048
+# A group of at most so many positions fits into one task with all its distances (32 MB).
+SMALL = 2000
 
-
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("x", T.LongType()), T.StructField("y", T.LongType())])))
-def hull(points: pd.Series) -> pd.Series:
-    """Corners of the convex hull; the farthest pair of two sets is always made of corners."""
-
-    def corners(ps):
-        ps = sorted({(p["x"], p["y"]) for p in ps})
-        if len(ps) < 3:
-            return ps
-        half = lambda seq: reduce(turn, seq, [])
-        return half(ps)[:-1] + half(ps[::-1])[:-1]
-
-    def turn(chain, p):
-        while len(chain) > 1 and ((chain[-1][0] - chain[-2][0]) * (p[1] - chain[-2][1])
-                                  - (chain[-1][1] - chain[-2][1]) * (p[0] - chain[-2][0])) <= 0:
-            chain.pop()
-        chain.append(p)
-        return chain
-
-    return points.map(lambda ps: [{"x": x, "y": y} for x, y in corners(ps)])
+MERGES = "grp string, lo bigint, hi bigint, height double"
 
 
 def gap2(a: str = "a_", b: str = "b_") -> Column:
@@ -93,143 +93,394 @@ def search_reach(linkage: str, height: Column, n: Column) -> Column:
     return F.ceil(height * shrink * (1 + 1e-9)) + 3
 
 
-def link(contenders: DataFrame, clusters: DataFrame, members: DataFrame | None, linkage: str) -> DataFrame:
-    """Add the exact linkage ``height`` to cluster pairs ``(lo, hi)``."""
-    if linkage == "ward":
-        return contenders.withColumn("height", F.col("low"))
-    pairs = contenders.select("lo", "hi").distinct()
+def measure(pairs: DataFrame, members: DataFrame, linkage: str) -> DataFrame:
+    """``(lo, hi, value)`` for pairs of clusters ``(lo, hi, lo_places, hi_places)``: the greatest squared distance, or the weighted sum of distances."""
+    touched = pairs.select(F.col("lo").alias("id"), F.col("lo_places").alias("places")).unionAll(pairs.select("hi", "hi_places")).distinct()
+    parts = lambda n: F.ceil(F.col(n) / F.lit(PART)).cast("bigint")
+    rows = (split_join(members, touched, ["id"], "places", ["x", "y"])
+            .select("id", "x", "y", "w", F.pmod(F.xxhash64("x", "y"), parts("places")).alias("part")))
+    side = lambda key: rows.select(*[F.col(c).alias(f"{key}_{c}") for c in ("id", "part", "x", "y", "w")])
+    spread = lambda key: F.explode(F.sequence(F.lit(0).cast("bigint"), parts(f"{key}_places") - 1))
+    blocks = (pairs.select("*", spread("lo").alias("lo_part")).select("*", spread("hi").alias("hi_part"))
+              .withColumnsRenamed({"lo": "lo_id", "hi": "hi_id"}))
+    d2 = square(F.col("lo_x") - F.col("hi_x")) + square(F.col("lo_y") - F.col("hi_y"))
+    weight = F.col("lo_w").cast("double") * F.col("hi_w")
+    value = {"complete": F.max(d2).cast("double"), "single": F.min(d2).cast("double"), "average": F.sum(weight * F.sqrt(d2.cast("double")))}[linkage]
+    return (blocks.join(side("lo"), ["lo_id", "lo_part"]).join(side("hi"), ["hi_id", "hi_part"])
+            .groupBy(F.col("lo_id").alias("lo"), F.col("hi_id").alias("hi")).agg(value.alias("value")))
+
+
+def height_of(linkage: str) -> Column:
     if linkage == "complete":
-        corners = lambda key: clusters.select(F.col("id").alias(key), F.col("corners").alias(f"{key}_corners"))
-        far = F.array_max(F.transform("lo_corners", lambda p: F.array_max(F.transform(
-            "hi_corners", lambda q: square(p["x"] - q["x"]) + square(p["y"] - q["y"])))))
-        measured = (pairs.join(corners("lo"), "lo").join(corners("hi"), "hi")
-                    .select("lo", "hi", F.sqrt(far.cast("double")).alias("height")))
-    else:
-        side = lambda key: members.select(F.col("id").alias(key), *[F.col(c).alias(f"{key}_{c}") for c in ("x", "y", "w")])
-        weight = F.col("lo_w").cast("double") * F.col("hi_w")
-        distance = F.sqrt((square(F.col("lo_x") - F.col("hi_x")) + square(F.col("lo_y") - F.col("hi_y"))).cast("double"))
-        # Rounded so that the order of summation cannot decide between equal heights.
-        measured = (pairs.join(side("lo"), "lo").join(side("hi"), "hi").groupBy("lo", "hi")
-                    .agg(F.round(F.sum(weight * distance) / F.sum(weight), 3).alias("height")))
-    return contenders.join(measured, ["lo", "hi"])
+        return F.sqrt("value")
+    # Rounded so that the order of summation cannot decide between equal heights.
+    return F.round(F.col("value") / F.col("mass"), 3)
 
 
-def nearest_clusters(clusters: DataFrame, members: DataFrame | None, linkage: str, limit: float | None = None) -> DataFrame:
-    """Per cluster: nearest cluster found as ``(height, lo, hi)``, or NULL, and whether it is ``sure``.
+def widest() -> Column:
+    return F.least("reach", F.lit(1 << (LEVELS - 1)).cast("bigint"))
 
-    All clusters whose centroid lies within ``reach`` are looked at; the find is
-    sure when nothing beyond the reach can be closer. Once the height of the cut
-    is known to be at most ``limit``, nothing above it is measured.
-    """
-    if limit is not None:
-        clusters = clusters.withColumn("reach", search_reach(linkage, F.lit(limit), F.col("n")).cast("bigint"))
+
+def single_finds(queries: DataFrame, members: DataFrame) -> DataFrame:
+    """``(id, best)``: the shortest way from a position of each cluster to another cluster within reach."""
+    asking = queries.select("id", "reach", "limit").join(members.select("grp", "id", "x", "y"), "id")
+    around = cells_around(asking.withColumns({"x0": F.col("x"), "x1": F.col("x"), "y0": F.col("y"), "y1": F.col("y"), "reach": widest()}))
+    cells = cells_of(members.select("grp", "id", "x", "y"), "x", "y", around)
+    cell = ["grp", "level", "gx", "gy"]
+    near = (around.select(*cell, F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), "limit")
+            .join(cells.select(*cell, F.col("id").alias("b"), "x", "y"), cell).filter("a <> b"))
+    height = F.sqrt((square(F.col("x") - F.col("ax")) + square(F.col("y") - F.col("ay"))).cast("double"))
+    return (near.select(F.col("a").alias("id"), height.alias("height"), F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"), "limit")
+            .filter("limit is null or height <= limit").groupBy("id").agg(F.min(F.struct("height", "lo", "hi")).alias("best")))
+
+
+def finds(queries: DataFrame, clusters: DataFrame, members: DataFrame | None, known: DataFrame | None, linkage: str) -> tuple[DataFrame, DataFrame | None]:
+    """``(id, best)``: the nearest cluster within reach by exact linkage, and the values that had to be measured for it."""
     spot = lambda c: F.floor(F.col(c)).cast("bigint")
-    looking = clusters.select("id", spot("cx").alias("x0"), spot("cx").alias("x1"), spot("cy").alias("y0"), spot("cy").alias("y1"), "reach")
-    around = cells_around(looking.withColumn("reach", F.least("reach", F.lit(1 << (LEVELS - 1)).cast("bigint"))))
-    facts = ["id", "n", "cx", "cy", "ss"] + (["x0", "x1", "y0", "y1"] if linkage == "complete" else [])
-    side = lambda p: [F.col(c).alias(f"{p}{c}") for c in facts]
+    around = cells_around(queries.select("id", spot("cx").alias("x0"), spot("cx").alias("x1"), spot("cy").alias("y0"), spot("cy").alias("y1"),
+                                         widest().alias("reach")))
+    facts = ["grp", "id", "n", "places", "cx", "cy", "ss", "x0", "x1", "y0", "y1"]
+    side = lambda p: [F.col(c).alias(f"{p}{c}") for c in facts if c != "grp"]
     cells = cells_of(clusters.withColumns({"gx0": spot("cx"), "gy0": spot("cy")}), "gx0", "gy0", around)
-    asked = around.select("id", "level", "gx", "gy").join(clusters.select(*facts), "id").select("level", "gx", "gy", *side("a_"))
+    cell = ["grp", "level", "gx", "gy"]
+    asked = around.select("id", "level", "gx", "gy").join(queries.select(*facts, "limit"), "id").select(*cell, "limit", *side("a_"))
     low, high = low_and_high(linkage)
-    found = (asked.join(cells.select("level", "gx", "gy", *side("b_")), ["level", "gx", "gy"])
-             .filter("a_id <> b_id")
-             .select(F.col("a_id").alias("id"), F.least("a_id", "b_id").alias("lo"), F.greatest("a_id", "b_id").alias("hi"),
-                     low.alias("low"), high.alias("high")))
-    if limit is not None:
-        found = found.filter(F.col("low") <= limit)
+    ordered = lambda c: [F.when(F.col("a_id") < F.col("b_id"), F.col(x)).otherwise(F.col(y)).alias(k)
+                         for x, y, k in ((f"a_{c}", f"b_{c}", f"lo_{c}"), (f"b_{c}", f"a_{c}", f"hi_{c}"))]
+    found = (asked.join(cells.select(*cell, *side("b_")), cell).filter("a_id <> b_id")
+             .select(F.col("a_id").alias("id"), F.least("a_id", "b_id").alias("lo"), F.greatest("a_id", "b_id").alias("hi"), *ordered("places"),
+                     (F.col("a_n") * F.col("b_n")).alias("mass"), "limit", low.alias("low"), high.alias("high"))
+             .filter("limit is null or low <= limit"))
     if linkage == "ward":
-        nearest = found.groupBy("id").agg(F.min(F.struct(F.col("low").alias("height"), "lo", "hi")).alias("best"))
-    else:
-        best_high = found.groupBy("id").agg(F.min("high").alias("bound"))
-        contenders = cut(found.join(best_high, "id").filter(F.col("low") <= F.col("bound")).select("id", "lo", "hi"))
-        nearest = (link(contenders, clusters, members, linkage)
-                   .groupBy("id").agg(F.min(F.struct("height", "lo", "hi")).alias("best")))
+        return found.groupBy("id").agg(F.min(F.struct(F.col("low").alias("height"), "lo", "hi")).alias("best")), None
+    found = found.join(known, ["lo", "hi"], "left").withColumn("height", height_of(linkage))
+    bounds = found.groupBy("id").agg(F.min(F.coalesce("height", "high")).alias("bound"))
+    contenders = cut(found.join(bounds, "id").filter(F.coalesce("height", "low") <= F.col("bound"))
+                     .select("id", "lo", "hi", "lo_places", "hi_places", "mass", "height"))
+    measured = cut(measure(contenders.filter("height is null").select("lo", "hi", "lo_places", "hi_places").distinct(), members, linkage))
+    exact = (contenders.drop("height").join(measured, ["lo", "hi"]).withColumn("height", height_of(linkage)).select("id", "height", "lo", "hi")
+             .unionAll(contenders.filter("height is not null").select("id", "height", "lo", "hi")))
+    return exact.groupBy("id").agg(F.min(F.struct("height", "lo", "hi")).alias("best")), measured
+
+
+def nearest_clusters(queries: DataFrame, clusters: DataFrame, members: DataFrame | None, known: DataFrame | None,
+                     linkage: str) -> tuple[DataFrame, DataFrame | None]:
+    """Per cluster asked for: its nearest cluster found as ``(height, lo, hi)``, or NULL, and whether it is ``sure``.
+
+    All clusters within ``reach`` are looked at; the find is sure when nothing
+    beyond the reach can be closer. Where the height of the cut is known to be at
+    most ``limit``, nothing above it is measured, and a cluster without a find is
+    done.
+    """
+    reach = F.when(F.col("limit").isNotNull(), search_reach(linkage, F.col("limit"), F.col("n"))).otherwise(F.col("reach")).cast("bigint")
+    queries = queries.withColumn("reach", reach)
+    nearest, measured = (single_finds(queries, members), None) if linkage == "single" else finds(queries, clusters, members, known, linkage)
     needed = search_reach(linkage, F.col("best.height"), F.col("n"))
-    wider = F.col("reach") * (WIDEN if limit is None else 1)
-    return (clusters.select("id", "n", "reach").join(nearest, "id", "left")
-            .withColumn("sure", F.coalesce(needed <= F.col("reach"), F.lit(False)))
-            .select("id", "best.height", "best.lo", "best.hi", "sure",
-                    F.coalesce(needed, wider).cast("bigint").alias("needed"), "reach"))
+    rows = (queries.select("grp", "id", "n", "reach", "limit").join(nearest, "id", "left")
+            .select("grp", "id", "best.height", "best.lo", "best.hi", F.coalesce(needed <= F.col("reach"), F.col("limit").isNotNull()).alias("sure"),
+                    F.coalesce(needed, F.col("reach") * WIDEN).cast("bigint").alias("needed")))
+    return cut(rows), measured
 
 
-def merge_round(clusters: DataFrame, nearest: DataFrame, merges: DataFrame, linkage: str) -> DataFrame:
+def merged_clusters(clusters: DataFrame, nearest: DataFrame, merges: DataFrame) -> DataFrame:
     """Clusters after the merges; a merged cluster takes the lower id."""
     renamed = merges.select(F.col("hi").alias("id"), F.col("lo").alias("into"))
-    state = (clusters.drop("reach").join(nearest.select("id", (F.greatest("needed", F.lit(1)) * SLACK).alias("reach")), "id")
-             .join(renamed, "id", "left").withColumn("id", F.coalesce("into", "id")))
+    wider = nearest.select("id", (F.greatest("needed", F.lit(1)) * SLACK).alias("wider"))
+    state = clusters.join(wider, "id", "left").join(renamed, "id", "left").withColumn("id", F.coalesce("into", "id"))
     n = F.sum("n")
     mean = lambda c: F.sum(F.col("n") * F.col(c)) / n
     grown = F.when(F.count(F.lit(1)) == 2,
                    F.min("n") / n * F.max("n") * (square(F.max("cx") - F.min("cx")) + square(F.max("cy") - F.min("cy")))).otherwise(F.lit(0.0))
-    aggs = [n.alias("n"), mean("cx").alias("cx"), mean("cy").alias("cy"), (F.sum("ss") + grown).alias("ss"), F.max("reach").alias("reach")]
-    if linkage == "complete":
-        aggs += [F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"),
-                 F.flatten(F.collect_list("corners")).alias("corners"), F.count(F.lit(1)).alias("parts")]
-    merged = state.groupBy("id").agg(*aggs)
-    if linkage == "complete":
-        merged = (merged.filter("parts = 2").withColumn("corners", hull("corners")).unionByName(merged.filter("parts = 1"))
-                  .drop("parts"))
-    return merged
-
-
-def agglomerate(spots: DataFrame, wanted: int, linkage: str) -> DataFrame:
-    """``(lo, hi, height)``: merges of the dendrogram up to the height that leaves ``wanted`` clusters.
+    return state.groupBy("grp", "id").agg(
+        n.alias("n"), F.sum("places").alias("places"), mean("cx").alias("cx"), mean("cy").alias("cy"), (F.sum("ss") + grown).alias("ss"),
+        F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"),
+        F.max(F.coalesce("wider", "reach")).alias("reach"), F.max("limit").alias("limit"))
+
+
+def merged_values(known: DataFrame, merges: DataFrame, linkage: str) -> DataFrame:
+    """Values of pairs after the merges: sums add up, the greatest stays; a pair of which a part is missing is dropped."""
+    into = lambda key: merges.select(F.col("hi").alias(key), F.col("lo").alias(f"{key}_into"))
+    moved = known.join(into("lo"), "lo", "left").join(into("hi"), "hi", "left")
+    a, b = F.coalesce("lo_into", "lo"), F.coalesce("hi_into", "hi")
+    value = F.max("value") if linkage == "complete" else F.sum("value")
+    pairs = (moved.select(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi"), "value").filter("lo <> hi")
+             .groupBy("lo", "hi").agg(F.count(F.lit(1)).alias("have"), value.alias("value")))
+    twice = lambda key: merges.select(F.col("lo").alias(key), F.lit(2).alias(f"{key}_parts"))
+    return (pairs.join(twice("lo"), "lo", "left").join(twice("hi").select(F.col("hi"), "hi_parts"), "hi", "left")
+            .filter(F.col("have") == F.coalesce("lo_parts", F.lit(1)) * F.coalesce("hi_parts", F.lit(1))).select("lo", "hi", "value"))
+
+
+class Dendrogram:
+    """Merges of at most ``SMALL`` clusters held by one task, one pair at a time.
+
+    ``value`` holds the squared or summed distances of pairs as ``measure`` gives
+    them; where one is not known, it is NaN and ``low`` of the pair bounds its height.
+    """
 
-    ``spots`` has ``id, x, y, w, reach``. Heights never fall along the tree, so the
-    cut is known once enough merges lie below everything still possible.
+    def __init__(self, rows: pd.DataFrame, linkage: str, value: np.ndarray | None):
+        take = lambda *names: [rows[c].to_numpy(dtype=float) for c in names]
+        self.linkage, self.value = linkage, value
+        self.ids = rows["id"].to_numpy()
+        self.n, self.cx, self.cy, self.ss, self.x0, self.x1, self.y0, self.y1 = take("n", "cx", "cy", "ss", "x0", "x1", "y0", "y1")
+        self.alive = np.ones(len(rows), bool)
+
+    def gap2(self, i: int) -> np.ndarray:
+        return (self.cx[i] - self.cx) ** 2 + (self.cy[i] - self.cy) ** 2
+
+    def low(self, i: int) -> np.ndarray:
+        if self.linkage != "single":
+            return np.sqrt(self.gap2(i)) * (1 - 1e-9) - 1e-2
+        apart = lambda lo, hi: np.maximum(np.maximum(lo[i] - hi, lo - hi[i]), 0)
+        return np.hypot(apart(self.x0, self.x1), apart(self.y0, self.y1))
+
+    def heights(self, i: int) -> np.ndarray:
+        """From cluster ``i`` to all others; dead ones, itself and unknown ones are out of reach."""
+        if self.linkage == "ward":
+            h = np.sqrt(2 * self.n[i] * self.n / (self.n[i] + self.n) * self.gap2(i))
+        elif self.linkage == "guess":
+            h = np.sqrt(self.gap2(i) + self.ss[i] / self.n[i] + self.ss / self.n)
+        elif self.linkage == "average":
+            h = np.round(self.value[i] / (self.n[i] * self.n), 3)
+        else:
+            h = np.sqrt(self.value[i])
+        return np.where(self.alive & (np.arange(len(h)) != i) & ~np.isnan(h), h, np.inf)
+
+    def unknown(self, i: int) -> float:
+        """The least height that a pair of ``i`` without a value may have."""
+        if self.value is None:
+            return np.inf
+        open_ = self.alive & np.isnan(self.value[i])
+        open_[i] = False
+        return float(self.low(i)[open_].min(initial=np.inf))
+
+    def merges(self) -> Iterator[tuple[int, int, float]]:
+        """All merges up to where an unknown pair could come first; ``stopped`` is that height."""
+        count = len(self.ids)
+        rows = [self.heights(i) for i in range(count)]
+        near, best = np.array([r.argmin() for r in rows]), np.array([r.min() for r in rows])
+        open_ = np.array([self.unknown(i) for i in range(count)])
+        for _ in range(count - 1):
+            lo = int(best.argmin())
+            hi, height = int(near[lo]), float(best[lo])
+            self.stopped = float(np.where(self.alive, open_, np.inf).min())
+            if not height < self.stopped:
+                return
+            yield int(self.ids[lo]), int(self.ids[hi]), height
+            n, m = self.n[lo], self.n[hi]
+            self.ss[lo] += self.ss[hi] + n * m / (n + m) * self.gap2(lo)[hi]
+            self.cx[lo], self.cy[lo] = (n * self.cx[lo] + m * self.cx[hi]) / (n + m), (n * self.cy[lo] + m * self.cy[hi]) / (n + m)
+            for low_, high_ in ((self.x0, self.x1), (self.y0, self.y1)):
+                low_[lo], high_[lo] = min(low_[lo], low_[hi]), max(high_[lo], high_[hi])
+            self.n[lo], self.alive[hi], best[hi] = n + m, False, np.inf
+            if self.value is not None:
+                join = {"average": np.add, "single": np.minimum}.get(self.linkage, np.maximum)
+                self.value[lo] = self.value[:, lo] = join(self.value[lo], self.value[hi])
+                open_ = np.minimum(open_, np.where(np.isnan(self.value[lo]), self.low(lo), np.inf))
+                open_[lo] = self.unknown(lo)
+            for i in {lo, *np.flatnonzero(self.alive & ((near == lo) | (near == hi))).tolist()}:
+                r = self.heights(i)
+                near[i], best[i] = r.argmin(), r.min()
+            # Nothing comes nearer by a merge, but the pair with the merged cluster may now be the first of equals.
+            first = self.alive & (self.heights(lo) == best) & (lo < near)
+            near[first] = lo
+        self.stopped = np.inf
+
+
+def merge_rows(grp: str, merges: list[tuple], stopped: float) -> pd.DataFrame:
+    """Merges of a group, and a row without clusters that says up to which height they are all."""
+    return pd.DataFrame([(grp, *m) for m in merges] + [(grp, None, None, stopped)], columns=["grp", "lo", "hi", "height"]).astype({"lo": "Int64", "hi": "Int64"})
+
+
+def merges_of_group(spots: pd.DataFrame, linkage: str) -> pd.DataFrame:
+    """All merges of one small group of positions."""
+    spots = spots.sort_values("id")
+    x, y, n = (spots[c].to_numpy() for c in ("x", "y", "w"))
+    d2 = ((x[:, None] - x) ** 2 + (y[:, None] - y) ** 2).astype(float)
+    value = None if linkage == "ward" else n[:, None] * n * np.sqrt(d2) if linkage == "average" else d2
+    tree = Dendrogram(spots.assign(n=n, cx=x, cy=y, ss=0.0, x0=x, x1=x, y0=y, y1=y), linkage, value)
+    return merge_rows(spots["grp"].iloc[0], list(tree.merges()), np.inf)
+
+
+def small_groups(spots: DataFrame, quotas: DataFrame, linkage: str) -> DataFrame:
+    """The merges of all groups of ``quotas``, each in one task."""
+    own = spots.select("grp", "id", "x", "y", "w").join(quotas.select("grp"), "grp")
+    return own.groupBy("grp").applyInPandas(lambda rows: merges_of_group(rows, linkage), MERGES).filter("lo is not null")
+
+
+def reach_guess(rows: pd.DataFrame) -> pd.DataFrame:
+    """About the height of the cut, from centres and spreads alone."""
+    steps = max(len(rows) - int(rows["wanted"].iloc[0]), 1)
+    tree = Dendrogram(rows.sort_values("id"), "guess", None)
+    heights = [h for _, (_, _, h) in zip(range(steps), tree.merges())]
+    return pd.DataFrame({"grp": [rows["grp"].iloc[0]], "within": [2 * max(heights, default=1.0) + 1]})
+
+
+def pairs_within(rows: pd.DataFrame, linkage: str) -> pd.DataFrame:
+    """Pairs of clusters that may be linked at the height ``within`` or below."""
+    rows = rows.sort_values("id")
+    tree, places, out = Dendrogram(rows, linkage, None), rows["places"].to_numpy(), []
+    for i in range(len(rows)):
+        j = np.flatnonzero(tree.low(i) <= rows["within"].iloc[0])
+        j = j[j > i]
+        out.append(pd.DataFrame({"lo": tree.ids[i], "hi": tree.ids[j], "lo_places": places[i], "hi_places": places[j]}))
+    return pd.concat(out).assign(grp=rows["grp"].iloc[0])[["grp", "lo", "hi", "lo_places", "hi_places"]]
+
+
+def merges_of_clusters(rows: pd.DataFrame, pairs: pd.DataFrame | None, linkage: str) -> pd.DataFrame:
+    """Merges of the clusters that a large group has left."""
+    rows = rows.sort_values("id")
+    value = None
+    if pairs is not None:
+        value = np.full((len(rows), len(rows)), np.nan)
+        lo, hi = (np.searchsorted(rows["id"].to_numpy(), pairs[c].to_numpy()) for c in ("lo", "hi"))
+        value[lo, hi] = value[hi, lo] = pairs["value"].to_numpy()
+    tree = Dendrogram(rows, linkage, value)
+    merges = list(tree.merges())
+    return merge_rows(rows["grp"].iloc[0], merges, tree.stopped if len(rows) > 1 else np.inf)
+
+
+def finish(clusters: DataFrame, members: DataFrame | None, known: DataFrame | None, done: DataFrame, quotas: DataFrame, linkage: str) -> DataFrame:
+    """The remaining merges that matter in groups that have at most ``SMALL`` clusters left; ``quotas`` has those groups.
+
+    Complete, average and single linkage need the values of pairs. Only pairs
+    within a guessed height are measured; a group in which that was too low is
+    done again with the double.
     """
-    start = spots.select("id", F.col("w").alias("n"), F.col("x").cast("double").alias("cx"), F.col("y").cast("double").alias("cy"),
-                         F.lit(0.0).alias("ss"), "reach")
-    if linkage == "complete":
-        start = (start.withColumns({"x0": F.col("cx").cast("bigint"), "x1": F.col("cx").cast("bigint"),
-                                    "y0": F.col("cy").cast("bigint"), "y1": F.col("cy").cast("bigint")})
-                 .withColumn("corners", F.array(F.struct(F.col("x0").alias("x"), F.col("y0").alias("y")))))
-    clusters = cut(start)
-    members = spots.select("id", "x", "y", "w") if linkage == "average" else None
-    places = left = clusters.count()
-    needed = places - wanted
+    if linkage == "ward":
+        return cut(clusters.groupBy("grp").applyInPandas(lambda rows: merges_of_clusters(rows, None, linkage), MERGES).filter("lo is not null"))
+    wanted = quotas.select("grp", (F.col("places") - F.col("needed")).alias("wanted"))
+    todo = cut(clusters.join(wanted, "grp").groupBy("grp").applyInPandas(reach_guess, "grp string, within double"))
+    known, out = known if known is not None else done.sparkSession.createDataFrame([], "lo bigint, hi bigint, value double"), None
+    while True:
+        own = clusters.join(todo, "grp")
+        pairs = cut(own.groupBy("grp").applyInPandas(lambda rows: pairs_within(rows, linkage), "grp string, lo bigint, hi bigint, lo_places bigint, hi_places bigint"))
+        known = cut(known.unionAll(measure(pairs.drop("grp").join(known, ["lo", "hi"], "left_anti"), members, linkage)))
+        valued = pairs.select("grp", "lo", "hi").join(known, ["lo", "hi"])
+        merges = cut(own.groupBy("grp").cogroup(valued.groupBy("grp")).applyInPandas(
+            lambda rows, held: merges_of_clusters(rows, held, linkage) if len(rows) else pd.DataFrame(columns=["grp", "lo", "hi", "height"]), MERGES))
+        stops = merges.filter("lo is null").select("grp", F.col("height").alias("stopped"))
+        every = done.join(stops.select("grp"), "grp", "left_semi").unionAll(merges.filter("lo is not null"))
+        cuts = stops.join(lowest(every, quotas.join(stops.select("grp"), "grp", "left_semi")), "grp", "left")
+        whole = cut(cuts.filter("stopped = double('infinity') or limit < stopped").select("grp"))
+        some = merges.filter("lo is not null").join(whole, "grp", "left_semi")
+        out = some if out is None else out.unionAll(some)
+        todo = cut(todo.join(whole, "grp", "left_anti").withColumn("within", 2 * F.col("within")))
+        if todo.isEmpty():
+            return out
+
+
+def all_dendrograms(spots: DataFrame, quotas: DataFrame, linkage: str) -> DataFrame:
+    """``(grp, lo, hi, height)``: the lower merges of every group; ``spots`` has ``grp, id, x, y, z, w``."""
+    few, many = quotas.filter(F.col("places") <= SMALL), quotas.filter(F.col("places") > SMALL)
+    merges = small_groups(spots, few, linkage)
+    if many.isEmpty():
+        return cut(merges)
+    large = split_join(spots, many.drop("needed"), ["grp"], "places", "id").drop("places")
+    return cut(merges.unionByName(agglomerate(with_reach(large), many, linkage)))
+
+
+def agglomerate(spots: DataFrame, quotas: DataFrame, linkage: str) -> DataFrame:
+    """``(grp, lo, hi, height)``: merges of every group's dendrogram up to the height that its quota needs.
+
+    ``spots`` has ``grp, id, x, y, w, reach`` with ids of their own in every group,
+    ``quotas`` ``grp, places, needed``. Heights never fall along a tree, so the cut
+    of a group is known once enough of its merges lie below everything still
+    possible. A group that comes down to ``SMALL`` clusters leaves the rounds.
+    """
+    spark = spots.sparkSession
+    at = lambda c, kind: F.col(c).cast(kind)
+    clusters = cut(spots.select("grp", "id", F.col("w").alias("n"), F.lit(1).cast("bigint").alias("places"), at("x", "double").alias("cx"),
+                                at("y", "double").alias("cy"), F.lit(0.0).alias("ss"), F.col("x").alias("x0"), F.col("x").alias("x1"),
+                                F.col("y").alias("y0"), F.col("y").alias("y1"), "reach", F.lit(None).cast("double").alias("limit")))
+    members = None if linkage == "ward" else cut(spots.select("grp", "id", "x", "y", "w"))
+    known = spark.createDataFrame([], "lo bigint, hi bigint, value double") if linkage in ("complete", "average") else None
     # One table that grows by the merges of a round; earlier ones are never written or summed again.
-    path, kind = scratch_path(spots.sparkSession, "merges"), "lo bigint, hi bigint, height double"
-    done = spots.sparkSession.createDataFrame([], kind)
-    while left > 1:
-        limit = height_limit(done, needed) if places - left >= needed else None
-        nearest = cut(nearest_clusters(clusters, members, linkage, limit))
-        if limit is not None:
-            # All pairs up to the limit were looked at, so nothing is left below the lowest one.
-            floor = nearest.agg(F.min("height")).first()[0]
-            if floor is None or done.filter(F.col("height") <= floor).count() >= needed:
-                break
-        merges = (nearest.filter("sure and lo is not null").groupBy("lo", "hi")
-                  .agg(F.count(F.lit(1)).alias("both"), F.min("height").alias("height")).filter("both = 2").drop("both"))
-        merges = cut(merges.select("lo", "hi", "height"))
-        merges.write.mode("append").parquet(path)
-        done = spots.sparkSession.read.schema(kind).parquet(path)
-        clusters = cut(merge_round(clusters, nearest, merges, linkage), replaces=clusters)
-        forget(nearest)
-        left = clusters.count()
+    path = scratch_path(spark, "merges")
+    done, near, stuck = spark.createDataFrame([], MERGES), None, False
+    least, made = quotas.agg(F.min("needed")).first()[0], 0
+    none = quotas.select("grp", F.lit(None).cast("double").alias("limit"), F.lit(False).alias("over")).filter("over")
+    while True:
+        left = clusters.groupBy("grp").agg(F.count(F.lit(1)).alias("left")).filter(F.col("left") <= SMALL)
+        few = cut(quotas.join(left.select("grp"), "grp"))
+        if not few.isEmpty():
+            own = lambda df: df if df is None else df.join(few.select("grp"), "grp", "left_semi")
+            last = finish(own(clusters), own(members), known, done, few, linkage)
+            last.write.mode("append").parquet(path)
+            done = spark.read.schema(MERGES).parquet(path)
+            rest = lambda df: df if df is None else cut(df.join(few.select("grp"), "grp", "left_anti"))
+            clusters, members, near = rest(clusters), rest(members), rest(near)
+            quotas = cut(quotas.join(few.select("grp"), "grp", "left_anti"))
+            if quotas.isEmpty():
+                return done
+        queries = clusters if near is None else clusters.join(near.select("id"), "id", "left_anti")
+        fresh, measured = nearest_clusters(queries, clusters, members, known, linkage)
+        near = cut(fresh if near is None else near.unionByName(fresh))
+        merges = cut(near.filter("sure and lo is not null").groupBy("grp", "lo", "hi")
+                     .agg(F.count(F.lit(1)).alias("both"), F.min("height").alias("height")).filter("both = 2").select("grp", "lo", "hi", "height"))
+        ends = finished(near, done, quotas) if made >= least else none
+        over = ends.filter("over").select("grp")
+        if made >= least:
+            merges = merges.join(over, "grp", "left_anti")
+        more = merges.count()
+        made += more
+        if not more:
+            if near.join(over, "grp", "left_anti").filter("not sure").isEmpty():
+                # Nothing left to merge or to widen; ties may have left finds that are out of date.
+                if stuck or near.filter("lo is not null").join(over, "grp", "left_anti").isEmpty():
+                    return done
+                near, stuck = None, True
+                continue
+        else:
+            stuck = False
+            merges.write.mode("append").parquet(path)
+            done = spark.read.schema(MERGES).parquet(path)
+        limits = ends.filter("limit is not null").select("grp", F.col("limit").alias("top"), "over")
+        going = merged_clusters(clusters, near, merges).join(limits, "grp", "left").filter("over is null or not over")
+        clusters = cut(going.withColumn("limit", F.coalesce("top", "limit")).drop("top", "over"), replaces=clusters)
+        renamed = merges.select(F.col("hi").alias("id"), F.col("lo").alias("into"))
         if members is not None:
-            renamed = merges.select(F.col("hi").alias("id"), F.col("lo").alias("into"))
-            members = cut(members.join(renamed, "id", "left").select(F.coalesce("into", "id").alias("id"), "x", "y", "w"), replaces=members)
-        forget(merges)
-    return done
+            members = cut(members.join(renamed, "id", "left").join(over, "grp", "left_anti")
+                          .select("grp", F.coalesce("into", "id").alias("id"), "x", "y", "w"), replaces=members)
+        if known is not None:
+            known = cut(merged_values(known.unionAll(measured), merges, linkage), replaces=known)
+        gone = merges.select("lo").unionAll(merges.select("hi"))
+        near = cut(near.filter("sure").join(gone.withColumnRenamed("lo", "_m"), F.col("lo") == F.col("_m"), "left_anti")
+                   .join(gone.withColumnRenamed("lo", "_m"), F.col("hi") == F.col("_m"), "left_anti")
+                   .join(over, "grp", "left_anti"), replaces=near)
+
 
+def finished(near: DataFrame, done: DataFrame, quotas: DataFrame) -> DataFrame:
+    """``(grp, limit, over)`` of the groups with enough merges: the lowest height known to have them all at or below it.
+
+    A group is over once nothing that can still be merged lies at that height or
+    below.
+    """
+    counts = done.groupBy("grp").agg(F.count(F.lit(1)).alias("merges"))
+    ready = cut(counts.join(quotas, "grp").filter("merges >= needed"))
+    if ready.isEmpty():
+        return ready.select("grp", F.lit(None).cast("double").alias("limit"), F.lit(False).alias("over"))
+    limits = lowest(done, ready)
+    lower = F.when(F.col("sure"), F.col("height")).otherwise(F.lit(0.0))
+    floors = near.groupBy("grp").agg(F.min(lower).alias("floor"))
+    return cut(limits.join(floors, "grp", "left").select("grp", "limit", (F.col("floor").isNull() | (F.col("floor") > F.col("limit"))).alias("over")))
 
-def height_limit(merges: DataFrame, needed: int) -> float:
-    """A height with at least ``needed`` merges at or below it, close to the lowest one."""
-    total, top = merges.agg(F.count(F.lit(1)), F.max("height")).first()
-    guess = merges.agg(F.percentile_approx("height", min(needed / total + 1e-3, 1.0), 10000)).first()[0]
-    return guess if merges.filter(F.col("height") <= guess).count() >= needed else top
+
+def lowest(merges: DataFrame, quotas: DataFrame) -> DataFrame:
+    """``(grp, limit)``: the height of the ``needed``-th lowest merge of every group of ``quotas``."""
+    ranked = with_rank(merges.join(quotas.select("grp"), "grp", "left_semi"), "grp", "height", "lo", "hi")
+    first = ranked.groupBy("grp").agg(F.min("rank").alias("first")).join(quotas.select("grp", "needed"), "grp")
+    place_ = first.select("grp", (F.col("first") + F.col("needed") - 1).alias("rank"))
+    return ranked.join(place_, ["grp", "rank"]).select("grp", F.col("height").alias("limit"))
 
 
 def all_merges(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionAll, parts)
 
 
-def cut_tree(merges: DataFrame, needed: int) -> DataFrame:
-    """Components left by the ``needed`` lowest merges, equal heights included."""
-    ranked = with_rank(merges, "height", "lo", "hi")
-    height = ranked.filter(F.col("rank") == needed).first()["height"]
-    return components(merges.filter(F.col("height") <= height).select(F.col("lo").alias("a"), F.col("hi").alias("b")))
+def cut_tree(merges: DataFrame, quotas: DataFrame) -> DataFrame:
+    """Components left by the lowest merges of every group, equal heights included."""
+    low = merges.join(lowest(merges, quotas), "grp").filter("height <= limit")
+    return components(low.select(F.col("lo").alias("a"), F.col("hi").alias("b")))
 
 
 def single_components(spots: DataFrame, radius: int) -> DataFrame:
@@ -260,9 +511,10 @@ def spanning_forest(gaps: DataFrame) -> DataFrame:
     return all_merges(chosen) if chosen else gaps.select("a", "b", "d2")
 
 
-def single_linkage(spots: DataFrame, wanted: int) -> DataFrame:
-    """``(x, y, root)`` of the single-linkage cut."""
+def single_linkage(spots: DataFrame, needed: int) -> DataFrame:
+    """``(node, root)`` of the single-linkage cut after ``needed`` merges, by ids of positions."""
     size = spots.agg(F.max("x") - F.min("x") + 1, F.max("y") - F.min("y") + 1, F.count(F.lit(1))).first()
+    wanted = size[2] - needed
     # First guess: the spacing of evenly spread positions, as a power of two.
     radius = 1 << max(int(np.log2(max((size[0] * size[1] / size[2]) ** 0.5, 1))), 0)
     counts: dict[int, tuple[int, DataFrame]] = {}
@@ -279,10 +531,10 @@ def single_linkage(spots: DataFrame, wanted: int) -> DataFrame:
         radius //= 2
     low = radius // 2
     if low:
-        fine = spots.withColumn("cell", cell_of(cell_bits(low))).join(counts[low][1], "cell").select("x", "y", F.col("root").alias("comp"))
+        fine = spots.withColumn("cell", cell_of(cell_bits(low))).join(counts[low][1], "cell").select("id", "x", "y", F.col("root").alias("comp"))
         parts = counts[low][0]
     else:
-        fine = spots.select("x", "y", F.col("id").alias("comp"))
+        fine = spots.select("id", "x", "y", F.col("id").alias("comp"))
         parts = size[2]
     bits = cell_bits(radius)
     fine = cut(fine.withColumn("cell", cell_of(bits)))
@@ -296,48 +548,64 @@ def single_linkage(spots: DataFrame, wanted: int) -> DataFrame:
     near = closest(pairs, members, bits, radius, exact=True)
     gaps = (near.groupBy(F.least("a.comp", "b.comp").alias("a"), F.greatest("a.comp", "b.comp").alias("b")).agg(F.min("d2").alias("d2")))
     forest = spanning_forest(gaps)
-    roots = cut_tree(forest.select(F.col("a").alias("lo"), F.col("b").alias("hi"), F.col("d2").alias("height")), parts - wanted)
+    quota = spots.sparkSession.createDataFrame([("", parts - wanted)], "grp string, needed bigint").filter("needed > 0")
+    roots = cut_tree(forest.select(F.lit("").alias("grp"), F.col("a").alias("lo"), F.col("b").alias("hi"), F.col("d2").alias("height")), quota)
     return (fine.join(roots.withColumnRenamed("node", "comp"), "comp", "left")
-            .select("x", "y", F.coalesce("root", "comp").alias("root")))
+            .select(F.col("id").alias("node"), F.coalesce("root", "comp").alias("root")))
 
 
 def hierarchical_positions(spots: DataFrame, linkage: str, per_cluster: int) -> DataFrame:
-    """``(x, y, cid)`` with clusters numbered from 1 by their first crash; ``spots`` has ``x, y, z, w, first_id``."""
-    spots = cut(spots)
-    total, places = spots.agg(F.sum("w"), F.count(F.lit(1))).first()
-    if not places:
-        return spots.select("x", "y", F.lit(1).cast("bigint").alias("cid"))
-    wanted = max(total // per_cluster, 1)
-    named = spots.withColumn("id", F.col("z"))
-    if places <= wanted:
-        rooted = named.select("x", "y", F.col("id").alias("root"))
-    elif linkage == "single":
-        rooted = single_linkage(named, wanted)
+    """``(grp, x, y, cid)`` with the clusters of a group numbered from 1 by their first crash.
+
+    ``spots`` has ``grp, x, y, z, w, first_id``.
+    """
+    named = with_rank(spots, "grp", "z", name="id")
+    groups = cut(named.groupBy("grp").agg(F.sum("w").alias("crashes"), F.count(F.lit(1)).alias("places")))
+    wanted = F.greatest(F.expr(f"crashes div {per_cluster}"), F.lit(1))
+    quotas = cut(groups.select("grp", "places", (F.col("places") - wanted).alias("needed")).filter("needed > 0"))
+    if quotas.isEmpty():
+        roots = None
     else:
-        roots = cut_tree(agglomerate(with_reach(named), wanted, linkage), places - wanted)
-        rooted = (named.select("x", "y", "id").join(roots.withColumnRenamed("node", "id"), "id", "left")
-                  .select("x", "y", F.coalesce("root", "id").alias("root")))
-    rooted = cut(rooted.join(spots.select("x", "y", "first_id"), ["x", "y"]))
-    order = with_rank(rooted.groupBy("root").agg(F.min("first_id").alias("first_id")), "first_id", name="cid")
-    return rooted.join(order.select("root", "cid"), "root").select("x", "y", "cid")
+        if linkage == "single" and groups.count() == 1 and groups.first()["places"] > SMALL:
+            roots = single_linkage(named, quotas.first()["needed"])
+        else:
+            roots = cut_tree(all_dendrograms(named, quotas, linkage), quotas)
+        roots = roots.withColumnRenamed("node", "id")
+    rooted = named.withColumn("root", F.col("id")) if roots is None else named.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    rooted = cut(rooted.select("grp", "x", "y", "root", "first_id"))
+    order = with_rank(rooted.groupBy("grp", "root").agg(F.min("first_id").alias("first_id")), "grp", "first_id", name="cid")
+    first = order.groupBy("grp").agg(F.min("cid").alias("first"))
+    numbered = order.join(first, "grp").select("root", (F.col("cid") - F.col("first") + 1).alias("cid"))
+    return rooted.join(numbered, "root").select("grp", "x", "y", "cid")
 
 
 def with_reach(named: DataFrame) -> DataFrame:
     """First search width of every position: the distance to its neighbours along the curve."""
     curve = Window.partitionBy("run").orderBy("z")
-    laid = lay_out(named).withColumnRenamed("leaf", "run")
+    places = named.groupBy("x", "y", "z").agg(F.sum("w").alias("w"))
+    laid = lay_out(places).withColumnRenamed("leaf", "run")
     step = lambda f: square(F.col("x") - f("x").over(curve)) + square(F.col("y") - f("y").over(curve))
     nearest = F.coalesce(F.least(step(F.lag), step(F.lead)), F.lit(1 << 20).cast("bigint"))
-    return cut(laid.withColumn("reach", F.ceil(F.sqrt(nearest.cast("double"))).cast("bigint") + 3)
-               .select(F.col("z").alias("id"), "x", "y", "w", "reach"))
+    reach = laid.select("x", "y", (F.ceil(F.sqrt(nearest.cast("double"))).cast("bigint") + 3).alias("reach"))
+    return cut(named.join(reach, ["x", "y"]).select("grp", "id", "x", "y", "w", "reach"))
 
 
 def hierarchical(df: DataFrame, linkage: str = "ward", per_cluster: int = CRASHES_PER_CLUSTER,
-                 label: str = "hier_cluster") -> DataFrame:
-    """Crash rows with a position, each with its cluster (from 1)."""
+                 label: str = "hier_cluster", by: str | None = None) -> DataFrame:
+    """Crash rows with a position, each with its cluster (from 1).
+
+    With ``by`` the crashes of every value of that column are clustered on their
+    own, all in the same rounds, and numbered on their own; rows without a value
+    are a group too.
+    """
     if linkage not in LINKAGES:
         raise ValueError(f"linkage must be one of {', '.join(LINKAGES)}")
-    placed = place(df)
-    spots = positions(placed, F.min("Crash_ID").alias("first_id"))
+    if by is not None:
+        require_columns(df, by)
+    # Every value, and none, as a text of its own.
+    group = F.lit("") if by is None else F.to_json(F.struct(F.col(by).alias("by")))
+    placed = place(df).withColumn("grp", group)
+    spots = cut(placed.groupBy("grp", "x", "y").agg(F.count(F.lit(1)).alias("w"), F.min("Crash_ID").alias("first_id"))
+                .withColumn("z", morton(F.col("x"), F.col("y"))))
     labels = hierarchical_positions(spots, linkage, per_cluster)
-    return label_rows(placed, labels.withColumnRenamed("cid", label), label)
+    return label_rows(placed, labels.withColumnRenamed("cid", label), label, keys=["grp", "x", "y"])

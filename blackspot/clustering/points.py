@@ -29,14 +29,14 @@ def positions(placed: DataFrame, *aggs: Column) -> DataFrame:
             .withColumn("z", morton(F.col("x"), F.col("y"))))
 
 
-def label_rows(placed: DataFrame, labels: DataFrame, label: str, default: int | None = None) -> DataFrame:
+def label_rows(placed: DataFrame, labels: DataFrame, label: str, default: int | None = None, keys: list[str] = ["x", "y"]) -> DataFrame:
     """Give every crash the label of its position and drop the helper columns.
 
-    ``labels`` has one row per position. The rows of a crowded position are dealt
+    ``labels`` has one row per position, or for every combination of ``keys``. The rows of a crowded position are dealt
     to several tasks.
     """
-    crowds = placed.groupBy("x", "y").agg(F.count(F.lit(1)).alias("_n")).join(labels.select("x", "y", label), ["x", "y"], "left")
-    joined = split_join(placed, crowds, ["x", "y"], "_n", "Crash_ID").drop("_n", "x", "y")
+    crowds = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).join(labels.select(*keys, label), keys, "left")
+    joined = split_join(placed, crowds, keys, "_n", "Crash_ID").drop("_n", *keys)
     if default is None:
         return joined.filter(F.col(label).isNotNull())
     return joined.withColumn(label, F.coalesce(F.col(label), F.lit(default).cast("bigint")))

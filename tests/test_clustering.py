@@ -7,7 +7,7 @@ from blackspot.clustering.components import components
 from blackspot.clustering.dbscan import dbscan, neighbor_counts
 from blackspot.clustering.kmeans import kmeans, kmeans_with_status
 from blackspot.clustering.points import X_SHIFT, Y_SHIFT
-from conftest import same_partition
+from partitions import same_partition
 
 
 def sample(n, seed, hot=0, spread=0.02):
