@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from blackspot.clustering.dbscan import dbscan, dbscan_summary, neighbor_counts
 from blackspot.clustering import mixture
-from blackspot.clustering.hierarchical import hierarchical
+from blackspot.clustering.hierarchical import LINKAGES, hierarchical
 from blackspot.clustering.kmeans import MAX_ITER, kmeans, lloyd
 from blackspot.clustering.points import X_SHIFT, Y_SHIFT, label_rows, place, positions
 from blackspot.operators import clean, layers, neighborhood, ranking, rates, regions
@@ -27,12 +27,15 @@ CELL_E6 = 250_000
 RANK, MILES = 3, 50
 MIN_CRASHES = 40
 URBAN_CRASHES = 50
+# Side of the cells that stand for regions of their own, and crashes per cluster in them.
+REGION_E6, PER_REGION_CLUSTER = 2000, 5
 EPS_E6, MIN_SAMPLES = 3000, 100
 # Rounds written out in the SQL of the mixture, which settles earlier.
 MIXTURE_ROUNDS = 40
 
 COLUMNS = ", ".join(CRASH_COLUMNS)
 BASE = crash_cte()
+RECURSIVE = BASE.replace("WITH", "WITH RECURSIVE", 1)
 
 
 def celled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,8 +66,8 @@ def hex_sql(value: str) -> str:
             f"CAST(round(128.0::DOUBLE * (1.0::DOUBLE - {step} / 255.0::DOUBLE)) AS BIGINT)) END")
 
 
-def lloyd_sql(rounds: int, src: str = "pts") -> str:
-    """K-means over the rows of ``src`` as plain SQL: every point against every centre, the rounds written out."""
+def curve_sql(src: str) -> list[str]:
+    """``p0``, the rows of ``src`` with their position, and ``spots``, the different positions with their place ``z`` on the curve."""
     ctes = [f"p0 AS (SELECT {src}.*, lon_e6 + {X_SHIFT} AS x, lat_e6 + {Y_SHIFT} AS y FROM {src})"]
     for i, shift, mask in ((1, 16, 0x0000FFFF0000FFFF), (2, 8, 0x00FF00FF00FF00FF), (3, 4, 0x0F0F0F0F0F0F0F0F),
                            (4, 2, 0x3333333333333333), (5, 1, 0x5555555555555555)):
@@ -72,6 +75,12 @@ def lloyd_sql(rounds: int, src: str = "pts") -> str:
         drop = "*" if i == 1 else "* EXCLUDE (mx, my)"
         ctes.append(f"p{i} AS (SELECT {drop}, ({sx} | ({sx} << {shift})) & {mask} AS mx, ({sy} | ({sy} << {shift})) & {mask} AS my FROM p{i - 1})")
     ctes.append("spots AS MATERIALIZED (SELECT x, y, count(*) AS w, any_value(mx | (my << 1)) AS z FROM p5 GROUP BY x, y)")
+    return ctes
+
+
+def lloyd_sql(rounds: int, src: str = "pts") -> str:
+    """K-means over the rows of ``src`` as plain SQL: every point against every centre, the rounds written out."""
+    ctes = curve_sql(src)
     ctes.append("summed AS (SELECT *, CAST(sum(w) OVER (ORDER BY z) AS BIGINT) AS cum FROM spots)")
     ctes.append(f"c0 AS MATERIALIZED (SELECT cum // {PER_CLUSTER} - 1 AS cid, x AS cx, y AS cy FROM summed "
                 f"WHERE cum // {PER_CLUSTER} > (cum - w) // {PER_CLUSTER})")
@@ -84,6 +93,38 @@ def lloyd_sql(rounds: int, src: str = "pts") -> str:
     return ", ".join(ctes)
 
 
+def regional(spark: SparkSession, sf_dir: str, linkage: str) -> DataFrame:
+    """Every grid cell clustered on its own."""
+    placed = place(crash_view(spark, sf_dir))
+    cell = lambda c: F.expr(f"{c} div {REGION_E6}")
+    rows = placed.withColumn("region", cell("y") * 1_000_000 + cell("x")).drop("x", "y")
+    return hierarchical(rows, linkage, PER_REGION_CLUSTER, by="region").select("Crash_ID", "region", "hier_cluster")
+
+
+def regional_sql(linkage: str) -> str:
+    """One pair of clusters merged at a time in every cell, all distances between members looked at in every step."""
+    d = "sqrt(CAST((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS DOUBLE))"
+    height = {"single": f"min({d})", "complete": f"max({d})", "average": f"round(sum(CAST(a.w * b.w AS DOUBLE) * {d}) / sum(a.w * b.w), 3)"}.get(linkage)
+    pairs = f"""SELECT a.region, a.c AS lo, b.c AS hi, {height} AS h, any_value(a.quota) AS quota, any_value(a.top) AS top
+  FROM walk a JOIN walk b ON a.region = b.region AND a.c < b.c GROUP BY a.region, a.c, b.c"""
+    if linkage == "ward":
+        centre = "SELECT region, c, sum(w) AS n, sum(w * CAST(x AS DOUBLE)) / sum(w) AS cx, sum(w * CAST(y AS DOUBLE)) / sum(w) AS cy, any_value(quota) AS quota, any_value(top) AS top FROM walk GROUP BY region, c"
+        pairs = f"""SELECT a.region, a.c AS lo, b.c AS hi, a.quota, a.top,
+  sqrt(2 * CAST(a.n AS DOUBLE) * b.n / (a.n + b.n) * ((a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy))) AS h
+  FROM ({centre}) a JOIN ({centre}) b ON a.region = b.region AND a.c < b.c"""
+    return f"""{RECURSIVE}, {", ".join(curve_sql("pts"))},
+pos AS MATERIALIZED (SELECT (y // {REGION_E6}) * 1000000 + x // {REGION_E6} AS region, x, y, w, row_number() OVER (ORDER BY z) AS id FROM spots),
+quotas AS (SELECT region, count(*) - greatest(CAST(sum(w) AS BIGINT) // {PER_REGION_CLUSTER}, 1) AS quota FROM pos GROUP BY region),
+walk AS (SELECT CAST(0 AS BIGINT) AS step, region, id, x, y, w, id AS c, quota, CAST(NULL AS DOUBLE) AS top FROM pos JOIN quotas USING (region)
+  UNION ALL SELECT step + 1, w.region, id, x, y, w.w, CASE WHEN w.c = best.hi THEN best.lo ELSE w.c END, w.quota, best.h
+  FROM walk w JOIN (SELECT region, m.h AS h, m.lo AS lo, m.hi AS hi FROM (
+    SELECT region, min({{'h': h, 'lo': lo, 'hi': hi}}) AS m FROM ({pairs}) GROUP BY region)) best USING (region)
+  WHERE step < w.quota OR (w.quota > 0 AND best.h <= w.top)),
+ends AS (SELECT * FROM walk QUALIFY step = max(step) OVER (PARTITION BY region)),
+firsts AS (SELECT region, c, min(Crash_ID) AS f FROM ends JOIN p0 USING (x, y) GROUP BY region, c)
+SELECT Crash_ID, region, dense_rank() OVER (PARTITION BY region ORDER BY f) AS hier_cluster FROM p0 JOIN ends USING (x, y) JOIN firsts USING (region, c)"""
+
+
 def mixture_sql(rounds: int) -> str:
     """The mixture over all points and components, the rounds written out; a round after the end changes nothing."""
     comp = lambda src: f"""SELECT cid, ox + mx AS cx, oy + my AS cy, yy / det AS a, xy / det AS b, xx / det AS c,
@@ -286,7 +327,8 @@ QUERIES = {
     "region_export": region_export,
     "year_export": year_export,
     **{f"hier_{linkage}": lambda s, d, linkage=linkage: hierarchical(crash_view(s, d), linkage).select("Crash_ID", "hier_cluster")
-       for linkage in ("ward", "complete", "average", "single")},
+       for linkage in LINKAGES},
+    **{f"hier_region_{linkage}": lambda s, d, linkage=linkage: regional(s, d, linkage) for linkage in LINKAGES},
     "gmm": lambda s, d: mixture.gmm(crash_view(s, d)).select("Crash_ID", "gmm_cluster"),
     "urban_rural_hotspots": lambda s, d: urban_rural_hotspots(crash_view(s, d), URBAN_CRASHES, EPS_E6 / 1e6, MIN_SAMPLES, PER_CLUSTER,
                                                               tolerance=0.0),
@@ -336,7 +378,6 @@ dbs AS (SELECT {src}.*, coalesce(numbered.c, edge.c, -1) AS DBSCAN_cluster FROM
   LEFT JOIN numbered ON numbered.p = Crash_ID LEFT JOIN edge ON edge.p = Crash_ID)"""
 
 
-RECURSIVE = BASE.replace("WITH", "WITH RECURSIVE", 1)
 DBSCAN = f"{RECURSIVE}, {dbscan_sql()}"
 IN_CELL = "floor(lat_e6 / 1e5), floor(lon_e6 / 1e5)"
 URBAN_RURAL = f"""{RECURSIVE}, k AS (SELECT *, count(*) OVER (PARTITION BY {IN_CELL}) >= {URBAN_CRASHES} AS urban FROM pts),
@@ -350,6 +391,7 @@ RANKED = "row_number() OVER (ORDER BY fatality_rate DESC NULLS LAST, {}) AS rank
 TYPES = dict((f.name, f.dataType.simpleString()) for f in CRASH_SCHEMA)
 
 ORACLES = {
+    **{f"hier_region_{linkage}": regional_sql(linkage) for linkage in LINKAGES},
     "scan_project": f"{BASE} SELECT {COLUMNS} FROM crash",
     "null_profile": BASE + " " + " UNION ALL ".join(
         f"SELECT '{c}' AS column_name, '{TYPES[c]}' AS data_type, count({c}) AS non_null FROM crash" for c in CRASH_COLUMNS),

@@ -56,8 +56,8 @@ WIDEN = 4
 SLACK = 2
 # Positions of a cluster that one task measures against as many of another.
 PART = 2048
-# A group of at most so many positions fits into one task with all its distances (32 MB).
-SMALL = 2000
+# A group of at most so many positions fits into one task with all its distances (72 MB).
+SMALL = 3000
 
 MERGES = "grp string, lo bigint, hi bigint, height double"
 
@@ -256,8 +256,10 @@ class Dendrogram:
     def merges(self) -> Iterator[tuple[int, int, float]]:
         """All merges up to where an unknown pair could come first; ``stopped`` is that height."""
         count = len(self.ids)
-        rows = [self.heights(i) for i in range(count)]
-        near, best = np.array([r.argmin() for r in rows]), np.array([r.min() for r in rows])
+        near, best = np.zeros(count, np.int64), np.zeros(count)
+        for i in range(count):
+            r = self.heights(i)
+            near[i], best[i] = r.argmin(), r.min()
         open_ = np.array([self.unknown(i) for i in range(count)])
         for _ in range(count - 1):
             lo = int(best.argmin())
