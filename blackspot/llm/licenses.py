@@ -1,28 +1,35 @@
 """License scans: exact phrases, and an exact set-similarity join with license templates.
 
-Text blocks are lines. A block meets a template if it holds at least the
-threshold of the template's words. The join finds every such pair without looking
-at all of them: words are ordered by how many blocks of the whole corpus hold
-them, rarest first. A template that shares enough words with a block shares one
-of its first few with the first few of the block (prefix filter); the block must
-be long enough (length filter); and the places of the shared word in both orders
-must leave room for enough further ones (positional filter). What is left is
-verified by counting.
-
-Words of a block that no template uses cannot count, so they are dropped first.
-All steps are DataFrame expressions. Templates are a parameter; their words are
-the only thing that is broadcast or collected.
+A template is met where a stretch of words about as long as itself (``SLACK`` words
+more) holds at least the threshold of its different words, and all words that tell
+it from templates much like it: a general license is not the lesser one without
+"lesser". Lines do not matter, so wrapped text is found, and words scattered over a
+long text are not.
+
+Text blocks are overlapping stretches of words across line ends; every place where
+a template could be met lies whole in one of them. The join finds every pair of
+block and template without looking at all: words are ordered by how many blocks
+hold them, rarest first. A template that shares enough words with a block shares
+one of its first few with the first few of the block (prefix filter); the block
+must be long enough (length filter); and the places of the shared word in both
+orders must leave room for enough further ones (positional filter). What is left
+is verified word by word.
+
+All steps are DataFrame expressions. Templates are a parameter; only their words
+are ever collected, in the plan or on the driver.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from blackspot.llm.common import documents, id_back, id_key
 from blackspot.llm.url_filter import LOWER, UPPER
+from blackspot.runtime import cut
 
 NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -44,8 +51,8 @@ TEMPLATES = [
     ("proprietary", "all rights reserved no part may be reproduced without permission"),
 ]
 THRESHOLD = 0.8
-#: Templates with their words fit into any plan; more belong into a table of their own.
-MOST_TEMPLATES = 1000
+#: Words that a place may have beyond those of its template.
+SLACK = 3
 
 
 def spaced(text: Column) -> Column:
@@ -64,11 +71,13 @@ def phrases(phrase_labels: list[tuple[str, str]]) -> dict[str, Column]:
     count, firsts, lasts, labels = F.lit(0).cast("long"), [], [], []
     for phrase, label in phrase_labels:
         words = re.split(" ", phrase)
-        if any(words[:k] == words[-k:] for k in range(1, len(words))):
-            raise ValueError(f"places of {phrase!r} may overlap")
+        overlaps = any(words[:k] == words[-k:] for k in range(1, len(words)))
         pattern = " " + "  ".join(words) + " "
         s, found = F.col("spaced"), F.contains("spaced", F.lit(pattern))
-        count += F.when(found, ((F.length(s) - F.length(F.replace(s, F.lit(pattern), F.lit("")))) / len(pattern)).cast("long")).otherwise(0)
+        apart = ((F.length(s) - F.length(F.replace(s, F.lit(pattern), F.lit("")))) / len(pattern)).cast("long")
+        # Places of a phrase that ends as it starts may share words; a look-ahead counts each of them.
+        places = F.regexp_count(s, F.lit(f"(?={pattern})")) if overlaps else apart
+        count += F.when(found, places).otherwise(0)
         firsts.append(F.when(found, count_words(F.substring_index(s, pattern, 1))))
         lasts.append(F.when(found, F.col("n_words") - count_words(F.substring_index(s, pattern, -1)) - len(words)))
         labels.append(F.when(found, F.lit(label)))
@@ -77,46 +86,66 @@ def phrases(phrase_labels: list[tuple[str, str]]) -> dict[str, Column]:
             "found": F.array_compact(F.array(*labels))}
 
 
-def text_blocks(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """``(doc, h, size, words)`` for every line: its number of words, and the different ones in ``vocabulary``."""
-    line = F.explode(F.split(F.coalesce("text", F.lit("")), "\n"))
-    lines = docs.select(id_key().alias("doc"), F.xxhash64("text").alias("h"), line.alias("line"))
-    words = F.split(F.trim(F.regexp_replace(F.translate("line", UPPER, LOWER), NO_WORD, " ")), " ")
-    return (lines.select("doc", "h", words.alias("words")).withColumn("size", F.size("words"))
-            .withColumn("words", F.array_intersect("words", F.array(*map(F.lit, vocabulary)))))
+class Template(NamedTuple):
+    """The different words of a template, how many are needed, how long a place of it is, and the words that must be there."""
+    label: str
+    words: list[str]
+    need: int
+    length: int
+    must: list[str]
 
 
-def block_templates(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """``(doc, h, label, score)`` for every line and template with containment ``score >= threshold``.
+def prepared(templates: list[tuple[str, str]], threshold: float) -> list[Template]:
+    """What the join needs to know; words by which a template differs from one that would meet its threshold are a must."""
+    sets = [set(text.split()) for _, text in templates]
+    enough = lambda n: max(1, math.ceil(threshold * n - 1e-9))
+    out = []
+    for (label, text), words in zip(templates, sets):
+        near = [other for other in sets if other != words and len(words & other) >= enough(len(words))]
+        out.append(Template(label, sorted(words), enough(len(words)), len(text.split()) + SLACK, sorted(set().union(*(words - other for other in near)))))
+    return out
+
+
+def text_blocks(docs: DataFrame, vocabulary: list[str], length: int, fewest: int) -> DataFrame:
+    """``(doc, h, block, words)``: stretches of ``2 * length`` words, half overlapping, with at least ``fewest`` different words of ``vocabulary``.
 
     ``h`` is the hash of the whole text, which tells rows with one doc_id apart.
     """
-    if len(templates) > MOST_TEMPLATES:
-        raise ValueError(f"more than {MOST_TEMPLATES} templates")
-    sets = [(label, sorted(set(text.split()))) for label, text in templates]
-    need = [max(1, math.ceil(threshold * len(words) - 1e-9)) for _, words in sets]
-    vocabulary = sorted({w for _, words in sets for w in words})
-    blocks = text_blocks(docs, vocabulary)
-    # How many blocks of the corpus hold each word: one number for each word of the templates.
-    held = blocks.agg(*[F.count_if(F.array_contains("words", w)).alias(str(i)) for i, w in enumerate(vocabulary)]).first()
-    order = sorted(vocabulary, key=lambda w: (held[vocabulary.index(w)], w))
+    words = F.filter(F.split(F.regexp_replace(F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER), NO_WORD, " "), " "), lambda w: w != "")
+    starts = lambda n: F.sequence(F.lit(1), F.greatest(n - length, F.lit(1)), F.lit(length))
+    cut_up = lambda ws: F.filter(F.transform(starts(F.size(ws)), lambda at: F.struct(F.slice(ws, at, 2 * length).alias("block"))), lambda b: F.size(
+        F.array_distinct(F.filter(b["block"], lambda w: w.isin(vocabulary)))) >= fewest)
+    blocks = F.element_at(F.transform(F.array(words), cut_up), 1)
+    return (docs.select(id_key().alias("doc"), F.xxhash64("text").alias("h"), F.inline(blocks))
+            .withColumn("words", F.array_distinct(F.filter("block", lambda w: w.isin(vocabulary)))))
+
+
+def block_templates(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """``(doc, h, label, score)`` for every block and template that is met in it; the score is the best share of its words at one place."""
+    known = prepared(templates, threshold)
+    vocabulary = sorted({w for t in known for w in t.words})
+    fewest, longest = min(t.need for t in known), max(t.length for t in known)
+    blocks = cut(text_blocks(docs, vocabulary, longest, fewest))
+    # One number for each word of the templates: how many blocks hold it.
+    held = {r["word"]: r["n"] for r in blocks.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}
+    order = sorted(vocabulary, key=lambda w: (held.get(w, 0), w))
     rank = {w: i for i, w in enumerate(order)}
-    sets = [(label, sorted(words, key=rank.get)) for label, words in sets]
-
-    # Only blocks with enough words of the templates go on; their words in the global order.
-    fewest = min(need)
-    ranked = blocks.filter((F.col("size") >= fewest) & (F.size("words") >= fewest)).withColumn(
-        "words", F.array_intersect(F.array(*map(F.lit, order)), F.col("words")))
-    rows = [F.struct(F.lit(word).alias("word"), F.lit(place).alias("place"), F.lit(label).alias("label"), F.lit(least).alias("need"),
-                     F.array(*map(F.lit, words)).alias("template"))
-            for (label, words), least in zip(sets, need) for place, word in enumerate(words[:len(words) - least + 1])]
-    prefixes = docs.sparkSession.range(1).select(F.inline(F.array(*rows)))
-    heads = ranked.select("doc", "h", "size", "words", F.posexplode(F.slice("words", F.lit(1), F.size("words") - fewest + 1)).alias("at", "word"))
+    kind = "word string, place int, label string, need int, length int, must array<string>, template array<string>"
+    rows = [(w, i, t.label, t.need, t.length, t.must, t.words) for t in known for i, w in enumerate(sorted(t.words, key=rank.get)[:len(t.words) - t.need + 1])]
+    prefixes = docs.sparkSession.createDataFrame(rows, kind)
+    ranks = F.create_map(*[x for w in order for x in (F.lit(w), F.lit(rank[w]))])
+    ranked = blocks.withColumn("words", F.transform(F.sort_array(F.transform("words", lambda w: F.struct(ranks[w].alias("r"), w.alias("w")))), lambda x: x["w"]))
+    heads = ranked.select("doc", "h", "block", "words", F.posexplode(F.slice("words", F.lit(1), F.size("words") - fewest + 1)).alias("at", "word"))
     n, t = F.size("words"), F.size("template")
     room = F.least("at", "place") + 1 + F.least(n - F.col("at") - 1, t - F.col("place") - 1)
-    pairs = heads.join(F.broadcast(prefixes), "word").filter((F.col("size") >= F.col("need")) & (n >= F.col("need")) & (room >= F.col("need")))
-    shared = F.size(F.array_intersect("words", "template"))
-    return pairs.filter(shared >= F.col("need")).select("doc", "h", "label", (shared / t.cast("double")).alias("score"))
+    pairs = heads.join(prefixes, "word").filter((n >= F.col("need")) & (room >= F.col("need"))).filter(
+        F.size(F.array_intersect("words", "template")) >= F.col("need"))
+    # The best place begins with a word of the template.
+    begins = F.filter(F.sequence(F.lit(1), F.size("block")), lambda at: F.array_contains("template", F.get("block", at - 1)))
+    shared = lambda at: F.array_intersect("template", F.slice("block", at, F.col("length")))
+    best = F.array_max(F.transform(begins, lambda at: F.when(F.size(F.array_except("must", shared(at))) == 0, F.size(shared(at))).otherwise(0)))
+    return (pairs.withColumn("best", best).filter(F.col("best") >= F.col("need"))
+            .select("doc", "h", "label", (F.col("best") / t.cast("double")).alias("score")))
 
 
 def license_scan(docs: DataFrame, phrase_labels: list[tuple[str, str]] = PHRASES, templates: list[tuple[str, str]] = TEMPLATES,
@@ -125,7 +154,7 @@ def license_scan(docs: DataFrame, phrase_labels: list[tuple[str, str]] = PHRASES
 
     Returns ``doc_id, n_words, n_base, first_word, last_word, base_labels, labels,
     score``: places of the phrases, their labels, all labels, and the largest
-    containment of a template in a line (0 if none meets the threshold). A null
+    containment of a template at a place (0 if none is met). A null
     text counts as empty. Rows that repeat a doc_id are told apart by their text;
     other columns are not read; an empty table gives no rows.
     """
@@ -158,11 +187,14 @@ def _lower_words_sql(text: str) -> str:
 OP5_SQL = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, text, {_lower_words_sql("text")} AS ws FROM d),
 p AS (SELECT doc_id, text, len(ws) AS n_words, {", ".join(f"{_phrase_sql(ph)} AS p{i}" for i, (ph, _) in enumerate(PHRASES))} FROM w),
-t(label, ws) AS (VALUES {", ".join(f"('{label}', {sorted(set(text.split()))})" for label, text in TEMPLATES)}),
-lines AS (SELECT DISTINCT doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
-b AS (SELECT doc_id, list_distinct({_lower_words_sql("line")}) AS bw FROM lines),
-hit AS (SELECT doc_id, label, len(list_intersect(bw, t.ws)) / CAST(len(t.ws) AS DOUBLE) AS score FROM b, t
-  WHERE len(list_intersect(bw, t.ws)) >= {THRESHOLD} * len(t.ws) - 1e-9),
+t(label, ws, span) AS (VALUES {", ".join(f"('{label}', {sorted(set(text.split()))}, {len(text.split()) + SLACK})" for label, text in TEMPLATES)}),
+near AS (SELECT a.label, a.ws, list_filter(a.ws, lambda x: NOT list_contains(b.ws, x)) AS own FROM t a, t b
+  WHERE a.ws <> b.ws AND len(list_intersect(a.ws, b.ws)) >= {THRESHOLD} * len(a.ws) - 1e-9),
+must AS (SELECT t.label, t.ws, t.span, coalesce(list_distinct(flatten(list(own))), []) AS must FROM t LEFT JOIN near ON near.ws = t.ws GROUP BY t.label, t.ws, t.span),
+spot AS (SELECT doc_id, label, must.ws AS tw, must, list_distinct(w.ws[i:i + span - 1]) AS bw
+  FROM (SELECT doc_id, ws, unnest(range(1, CAST(len(ws) AS BIGINT) + 1)) AS i FROM w) w JOIN must ON list_contains(must.ws, w.ws[i])),
+hit AS (SELECT doc_id, label, len(list_intersect(bw, tw)) / CAST(len(tw) AS DOUBLE) AS score FROM spot
+  WHERE len(list_intersect(bw, tw)) >= {THRESHOLD} * len(tw) - 1e-9 AND len(list_intersect(bw, must)) = len(must)),
 met AS (SELECT doc_id, list(DISTINCT label) AS more, max(score) AS score FROM hit GROUP BY doc_id),
 f AS (SELECT *, list_concat(p0, p1, p2) AS spots, list_filter([{", ".join(f"CASE WHEN len(p{i}) > 0 THEN '{label}' END" for i, (_, label) in enumerate(PHRASES))}], lambda x: x IS NOT NULL) AS found FROM p)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(len(spots) AS BIGINT) AS n_base, CAST(list_min(spots) AS BIGINT) AS first_word,

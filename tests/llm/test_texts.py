@@ -176,8 +176,28 @@ def test_licenses_of_repeated_rows(spark, table):
     rows = [(1, LICENSED[0]), (1, LICENSED[0]), (1, "plain"), (None, LICENSED[0]), (None, None)]
     got = sorted((str(r.doc_id), r.n_words, r.labels) for r in license_scan(table(rows)).collect())
     assert got == [("1", 1, ""), ("1", 5, "mit"), ("1", 5, "mit"), ("None", 0, ""), ("None", 5, "mit")]
-    with pytest.raises(ValueError):
-        license_scan(table(rows), [("a b a", "x")])
+    again = license_scan(table([(1, "a b a b a"), (2, "b a b")]), [("a b a", "x")]).orderBy("doc_id").collect()
+    assert [(r.n_base, r.first_word, r.last_word, r.base_labels) for r in again] == [(2, 0, 2, "x"), (0, None, None, "")]
+
+
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:"""
+
+
+def test_licenses_across_lines_and_near_templates(spark, table):
+    far = " ".join(f"{w} {' '.join(f'x{i}' for i in range(40))}" for w in "licensed under the gnu lesser general public license version 3".split())
+    rows = [(1, MIT), (2, "noise " * 500 + BSD + " noise" * 300), (3, "This work is licensed under the GNU General Public License, version 3."),
+            (4, "licensed under the GNU Lesser General Public License"), (5, far), (6, "licensed under the GNU General Public License"), (7, MIT.replace(" ", "\n"))]
+    got = {r.doc_id: (r.labels, r.score) for r in license_scan(table(rows)).collect()}
+    assert got == {1: ("mit", 1.0), 2: ("bsd", 1.0), 3: ("gpl,gpl-3", 1.0), 4: ("gpl,lgpl", 1.0), 5: ("", 0.0), 6: ("gpl", 1.0), 7: ("mit", 1.0)}
+
+
+def test_licenses_of_many_templates(spark, table):
+    many = [(f"l{i}", f"made under rule a{i} b{i} c{i} d{i}") for i in range(1500)]
+    got = {r.doc_id: r.labels for r in license_scan(table([(1, "Made under rule a7 b7 c7 d7!"), (2, "a7 b8 c9")]), templates=many).collect()}
+    assert got == {1: "l7", 2: ""}
 
 
 def plan_of(frame):
