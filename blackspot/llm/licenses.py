@@ -8,8 +8,8 @@ long text are not.
 
 Text blocks are overlapping stretches of words across line ends; every place where
 a template could be met lies whole in one of them. The join finds every pair of
-block and template without looking at all: words are ordered by how many blocks
-hold them, rarest first. A template that shares enough words with a block shares
+block and template without looking at all: words are ordered by how often they
+stand in the corpus, rarest first. A template that shares enough words with a block shares
 one of its first few with the first few of the block (prefix filter); the block
 must be long enough (length filter); and the places of the shared word in both
 orders must leave room for enough further ones (positional filter). What is left
@@ -29,7 +29,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from blackspot.llm.common import documents, id_back, id_key
 from blackspot.llm.url_filter import LOWER, UPPER
-from blackspot.runtime import cut
 
 NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -106,18 +105,23 @@ def prepared(templates: list[tuple[str, str]], threshold: float) -> list[Templat
     return out
 
 
-def text_blocks(docs: DataFrame, vocabulary: list[str], length: int, fewest: int) -> DataFrame:
-    """``(doc, h, block, words)``: stretches of ``2 * length`` words, half overlapping, with at least ``fewest`` different words of ``vocabulary``.
+def lower_words(text: str = "text") -> Column:
+    return F.filter(F.split(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), NO_WORD, " "), " "), lambda w: w != "")
 
+
+def text_blocks(docs: DataFrame, vocabulary: list[str], rare: list[str], length: int, fewest: int) -> DataFrame:
+    """``(doc, h, block, words)``: stretches of ``2 * length`` words, half overlapping, with their different words of ``vocabulary``.
+
+    Only those with ``fewest`` of these words and one that is ``rare`` can be met.
     ``h`` is the hash of the whole text, which tells rows with one doc_id apart.
     """
-    words = F.filter(F.split(F.regexp_replace(F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER), NO_WORD, " "), " "), lambda w: w != "")
+    has_rare = lambda words: F.exists(words, lambda w: w.isin(rare))
     starts = lambda n: F.sequence(F.lit(1), F.greatest(n - length, F.lit(1)), F.lit(length))
-    cut_up = lambda ws: F.filter(F.transform(starts(F.size(ws)), lambda at: F.struct(F.slice(ws, at, 2 * length).alias("block"))), lambda b: F.size(
-        F.array_distinct(F.filter(b["block"], lambda w: w.isin(vocabulary)))) >= fewest)
-    blocks = F.element_at(F.transform(F.array(words), cut_up), 1)
+    cut_up = lambda ws: F.when(has_rare(ws), F.filter(
+        F.transform(starts(F.size(ws)), lambda at: F.struct(F.slice(ws, at, 2 * length).alias("block"))), lambda b: has_rare(b["block"])))
+    blocks = F.element_at(F.transform(F.array(lower_words()), cut_up), 1)
     return (docs.select(id_key().alias("doc"), F.xxhash64("text").alias("h"), F.inline(blocks))
-            .withColumn("words", F.array_distinct(F.filter("block", lambda w: w.isin(vocabulary)))))
+            .withColumn("words", F.array_distinct(F.filter("block", lambda w: w.isin(vocabulary)))).filter(F.size("words") >= fewest))
 
 
 def block_templates(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -125,13 +129,15 @@ def block_templates(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATE
     known = prepared(templates, threshold)
     vocabulary = sorted({w for t in known for w in t.words})
     fewest, longest = min(t.need for t in known), max(t.length for t in known)
-    blocks = cut(text_blocks(docs, vocabulary, longest, fewest))
-    # One number for each word of the templates: how many blocks hold it.
-    held = {r["word"]: r["n"] for r in blocks.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # One number for each word of the templates: how often it stands in all texts.
+    held = {r["word"]: r["n"] for r in docs.select(F.explode(F.filter(lower_words(), lambda w: w.isin(vocabulary))).alias("word"))
+            .groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}
     order = sorted(vocabulary, key=lambda w: (held.get(w, 0), w))
     rank = {w: i for i, w in enumerate(order)}
+    first_words = lambda t: sorted(t.words, key=rank.get)[:len(t.words) - t.need + 1]
+    blocks = text_blocks(docs, vocabulary, sorted({w for t in known for w in first_words(t)}), longest, fewest)
     kind = "word string, place int, label string, need int, length int, must array<string>, template array<string>"
-    rows = [(w, i, t.label, t.need, t.length, t.must, t.words) for t in known for i, w in enumerate(sorted(t.words, key=rank.get)[:len(t.words) - t.need + 1])]
+    rows = [(w, i, t.label, t.need, t.length, t.must, t.words) for t in known for i, w in enumerate(first_words(t))]
     prefixes = docs.sparkSession.createDataFrame(rows, kind)
     ranks = F.create_map(*[x for w in order for x in (F.lit(w), F.lit(rank[w]))])
     ranked = blocks.withColumn("words", F.transform(F.sort_array(F.transform("words", lambda w: F.struct(ranks[w].alias("r"), w.alias("w")))), lambda x: x["w"]))
