@@ -25,6 +25,7 @@ YEAR = 1997
 PER_CLUSTER = 250
 CELL_E6 = 250_000
 RANK, MILES = 3, 50
+LAST_RANK = 25
 MIN_CRASHES = 40
 URBAN_CRASHES = 50
 # Side of the cells that stand for regions of their own, and crashes per cluster in them.
@@ -315,6 +316,7 @@ QUERIES = {
     "color_hex": lambda s, d: neighborhood.with_color(neighborhood.normalize_rate(rated(s, d))).select("cluster", "color_value", "color_hex"),
     "categorical_slot": lambda s, d: layers.categorical_slots(celled(s, d), "cluster"),
     "marker_table": lambda s, d: neighborhood.marker_table(rated(s, d), "cluster", RANK, MILES),
+    "marker_table_ranks": lambda s, d: neighborhood.marker_table_ranks(rated(s, d), "cluster", 1, LAST_RANK, MILES),
     "eps_neighbor_counts": lambda s, d: neighbor_counts(crash_view(s, d), EPS_E6 / 1e6).select("Crash_ID", "neighbors"),
     "dbscan": lambda s, d: dbscan(crash_view(s, d), EPS_E6 / 1e6, MIN_SAMPLES).select("Crash_ID", "DBSCAN_cluster"),
     "dbscan_summary": lambda s, d: dbscan_summary(dbscan(crash_view(s, d), EPS_E6 / 1e6, MIN_SAMPLES)),
@@ -437,6 +439,15 @@ ORACLES = {
                         "FROM (SELECT DISTINCT cluster FROM cl)",
     "marker_table": f"{NEAR} SELECT cluster, centroid_latitude, centroid_longitude, fatality_rate, distance, color_value, "
                     f"{hex_sql('color_value')} AS color_hex, 5 AS radius, 0.7::DOUBLE AS fill_opacity, 14 AS zoom FROM scaled",
+    "marker_table_ranks": f"""{RATED}, r AS (SELECT *, {RANKED.format('cluster')} FROM rated),
+near AS (SELECT f.rank, r.*, sqrt((r.centroid_latitude - f.centroid_latitude) * (r.centroid_latitude - f.centroid_latitude)
+    + (r.centroid_longitude - f.centroid_longitude) * (r.centroid_longitude - f.centroid_longitude)) * 69.0::DOUBLE AS distance
+  FROM (SELECT * FROM r WHERE rank <= {LAST_RANK}) f, (SELECT * EXCLUDE (rank) FROM r) r),
+within AS (SELECT * FROM near WHERE distance <= {MILES}),
+scaled AS (SELECT *, (fatality_rate - min(fatality_rate) OVER p) / nullif(max(fatality_rate) OVER p - min(fatality_rate) OVER p, 0) AS color_value
+  FROM within WINDOW p AS (PARTITION BY rank))
+SELECT rank, cluster, centroid_latitude, centroid_longitude, fatality_rate, distance, color_value, {hex_sql('color_value')} AS color_hex,
+  5 AS radius, 0.7::DOUBLE AS fill_opacity, 14 AS zoom FROM scaled""",
     "eps_neighbor_counts": f"{BASE}, {pairs_sql()} SELECT p AS Crash_ID, neighbors FROM counts",
     "dbscan": f"{DBSCAN} SELECT Crash_ID, DBSCAN_cluster FROM dbs",
     "dbscan_summary": f"{DBSCAN} SELECT DBSCAN_cluster, count(*) AS crashes, CAST(sum(Death_Cnt) AS BIGINT) AS deaths FROM dbs GROUP BY DBSCAN_cluster",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from blackspot.clustering.dbscan import EPS_DEGREES, MIN_SAMPLES, NOISE, dbscan
 from blackspot.clustering.kmeans import MAX_ITER, TOLERANCE_DEGREES, kmeans, kmeans_with_status
-from blackspot.operators.neighborhood import marker_table
+from blackspot.operators.neighborhood import marker_table_ranks
 from blackspot.operators.rates import CRASHES_PER_CLUSTER, fatality_rate
 from blackspot.operators.ranking import rank_clusters, rate_order, with_rank
 from blackspot.operators.regions import density_split
@@ -56,7 +56,7 @@ def run_batch(spark: SparkSession, crash_path: str, centroid_path: str) -> None:
 
 
 def run_evaluation(spark: SparkSession, centroid_path: str, out_path: str, ranks: range = range(1, 6), miles: float = 50) -> None:
-    """Centroid CSV files to one marker table per rank."""
+    """Centroid CSV files to one marker table per rank, all of them by one job."""
     centroids = read_csv_directory(spark, centroid_path, centroid_schema(CLUSTER))
-    for rank in ranks:
-        write_markers(marker_table(centroids, CLUSTER, rank, miles), f"{out_path}/rank={rank}")
+    markers = marker_table_ranks(centroids, CLUSTER, min(ranks), max(ranks), miles)
+    write_markers(markers.filter(F.col("rank").isin(list(ranks))) if ranks.step != 1 else markers, out_path)

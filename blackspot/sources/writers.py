@@ -21,5 +21,6 @@ def write_partitioned(df: DataFrame, path: str, column: str, fmt: str = "parquet
 
 
 def write_markers(markers: DataFrame, path: str) -> None:
-    """Marker table as JSON lines, ready for a map."""
-    markers.write.mode("overwrite").json(path)
+    """Marker table as JSON lines, ready for a map; the markers of several ranks go to a sub-directory each."""
+    writer = markers.write.mode("overwrite")
+    (writer.partitionBy("rank") if "rank" in markers.columns else writer).json(path)

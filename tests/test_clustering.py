@@ -205,6 +205,22 @@ def test_hierarchical_matches_brute_force(crashes, linkage):
     assert set(got) == set(range(1, 6))
 
 
+@pytest.mark.parametrize("linkage, small", [("ward", 3000), ("ward", 12), ("complete", 12), ("average", 12), ("single", 12), ("average", 1)])
+def test_regions_are_clustered_on_their_own(spark, monkeypatch, linkage, small):
+    """Regions of at most ``small`` positions in one task, larger ones in rounds; ``small`` 1 has rounds to the end."""
+    monkeypatch.setattr(hier, "SMALL", small)
+    monkeypatch.setattr(hier, "PART", 4)
+    rows, want, per = [], [], 8
+    for i, n in enumerate([40, 9, 26] if small > 1 else [24, 15]):
+        lat, lon = sample(n, 20 + i)
+        rows += [(100 * i + j, a, b, 0, f"r{i}" if i else None) for j, (a, b) in enumerate(zip(lat.tolist(), lon.tolist()))]
+        want += [(i, c) for c in tree_by_hand(lat, lon, max(n // per, 1), linkage)]
+    df = spark.createDataFrame(rows, "Crash_ID long, Latitude double, Longitude double, Death_Cnt int, area string")
+    got = sorted(hier.hierarchical(df, linkage, per, by="area").select("Crash_ID", "area", "hier_cluster").collect())
+    assert same_partition([(r.area, r.hier_cluster) for r in got], want)
+    assert all(min(r.hier_cluster for r in got if r.area == a) == 1 for a in {r.area for r in got})
+
+
 def test_linkage_names_are_checked(crashes):
     with pytest.raises(ValueError):
         hier.hierarchical(crashes([30.], [-100.]), "median")

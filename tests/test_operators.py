@@ -157,3 +157,15 @@ def test_density_split(spark):
     df = spark.createDataFrame(rows, "Crash_ID long, Latitude double, Longitude double")
     got = {r.Crash_ID: r.area for r in regions.density_split(df, 20).collect()}
     assert got.pop(99) == "rural" and set(got.values()) == {"urban"}
+
+
+def test_markers_of_many_ranks_equal_those_of_each(spark):
+    rows = [(i, 30 + (i * 37 % 100) / 40, -100 + (i * 53 % 100) / 40, (i * 7 % 11) / 10 if i % 9 else None) for i in range(80)]
+    df = spark.createDataFrame(rows + [(900, 30.0, None, 0.5)], "cluster long, centroid_latitude double, centroid_longitude double, fatality_rate double")
+    got = {}
+    for r in neighborhood.marker_table_ranks(df, "cluster", 2, 6, 40).collect():
+        got.setdefault(r["rank"], set()).add(tuple(r)[1:])
+    want = {rank: set(map(tuple, neighborhood.marker_table(df, "cluster", rank, 40).collect())) for rank in range(2, 7)}
+    assert got == {rank: rows for rank, rows in want.items() if rows} and len(got) > 3
+    with pytest.raises(ValueError):
+        neighborhood.marker_table_ranks(df, "cluster", 3, 2, 40)
