@@ -3,16 +3,20 @@
 import hashlib
 import random
 import re
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import public_tokenizers
 import pytest
+import sentencepiece
 import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from blackspot import joins
+from blackspot.runtime import cut
 from blackspot.llm.decontaminate import contaminated, drop_contaminated, op2_decontaminate
 from blackspot.llm.exact_dedup import chains, directory, exact_duplicates, keep_unique, op9_exact_dedup
 from blackspot.llm.simhash import BITS, keep_one, masks, near_duplicates, near_links, op7_simhash_dedup, signed
@@ -238,10 +242,18 @@ def test_pipeline_stages(spark):
 
 def test_pipeline_of_odd_rows(spark, table, odd):
     frame = table([(*r, "en") if len(r) < 3 else r for r in odd()])
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        frame = stage(spark, frame, SF)
-        assert "clash" not in frame.columns and frame.columns[:2] == ["doc_id", "text"]
-    corpus_pipeline.STAGES[-1][1](spark, frame, SF).collect()
+    held = lambda df: Counter(map(tuple, df.select("doc_id", "text", "lang", "source", "n_chars").collect()))
+    before = held(frame)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        frame = cut(stage(spark, frame, SF))
+        after = held(frame)
+        assert after and after <= before and frame.columns[:2] == ["doc_id", "text"]
+        if name == "exact_dedup":
+            assert {r[1] or "" for r in after} == {r[1] or "" for r in before}
+        before = after
+    coded = corpus_pipeline.STAGES[-1][1](spark, frame, SF).collect()
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    assert Counter((r.doc_id, r.text) for r in coded) == Counter((r[0], library.decode(library.encode(r[1] or ""))) for r in before.elements())
     empty = table([])
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, SF)
