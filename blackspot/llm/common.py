@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,19 +28,26 @@ def id_back(column: Column) -> Column:
     return F.when(column != MISSING, column)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` as a table on shared files, written with Arrow batches of ``ROWS`` rows.
+@contextlib.contextmanager
+def text_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of ``ROWS`` rows for the jobs started inside.
 
     Rows hold whole texts here; the usual 10,000 of them at once would decide the
     memory of a task.
     """
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = conf.get(name)
-    conf.set(name, str(ROWS))
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(ROWS))
     try:
-        return cut(df)
+        yield
     finally:
-        conf.set(name, before)
+        spark.conf.set(name, before)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a table on shared files, written with Arrow batches of ``ROWS`` rows."""
+    with text_batches(df.sparkSession):
+        return cut(df)
 
 
 def in_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from blackspot import joins
+from blackspot.llm import decontaminate
 from blackspot.runtime import cut
 from blackspot.llm.decontaminate import contaminated, drop_contaminated, op2_decontaminate
 from blackspot.llm.exact_dedup import chains, directory, exact_duplicates, keep_unique, op9_exact_dedup
@@ -154,17 +155,21 @@ def test_one_row_of_each_group_stays(spark, table):
     assert all(x in rows for x in got)
 
 
+def item_words(text):
+    return re.findall("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
 def shingles(text, n=5):
-    ws = re.findall("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    ws = item_words(text)
     return {tuple(ws[i:i + n]) for i in range(len(ws) - n + 1)}
 
 
 def brute_matches(docs, items):
     out = []
     for d, t, *_ in docs:
-        own = shingles(t)
         for i, q in items:
-            want = shingles(q)
+            n = min(len(item_words(q)), 5)
+            want, own = shingles(q, n) if n else set(), shingles(t, n)
             if want and i is not None and len(own & want) >= 0.8 * len(want) - 1e-9:
                 out.append((low(d), i, len(own & want), len(want)))
     return sorted(set(out))
@@ -174,7 +179,7 @@ def test_contaminated(spark, table, odd):
     rng = random.Random(9)
     word = lambda: rng.choice("abcdefghij") + rng.choice("klmnopq") + str(rng.randrange(30))
     items = [(i, " ".join(word() for _ in range(rng.choice([3, 5, 6, 9, 17, 40, 66, 300])))) for i in range(60)] + [
-        (61, None), (62, ""), (None, "a b c d e f"), (63, "Ça ÉTÉ vu. Là-bas, hier soir!")]
+        (61, None), (62, ""), (None, "a b c d e f"), (63, "Ça ÉTÉ vu. Là-bas, hier soir!"), (64, "Là-bas!"), (64, "hier"), (64, "hier")]
     docs = odd(4)
     for i in range(120):
         k, text = rng.choice(items[:60])
@@ -188,11 +193,44 @@ def test_contaminated(spark, table, odd):
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("doc", F.lit(1))
     got = contaminated(table(docs), bench).collect()
     assert sorted({(r.doc, r.item, r.shared, r["size"]) for r in got}) == brute_matches(docs, items)
-    held = {m[0] for m in brute_matches(docs, items)}
+    held = {m[0] for m in brute_matches(docs, [(i, q) for i, q in items if len(item_words(q)) >= 5])}
     kept = drop_contaminated(table(docs), bench)
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted(((d, t) for d, t, *_ in docs if low(d) not in held), key=repr)
     assert contaminated(table([]), bench).collect() == []
     assert contaminated(table(docs), bench.limit(0)).collect() == []
+    assert drop_contaminated(table(docs), bench.limit(0)).count() == len(docs) and drop_contaminated(table([]), bench).collect() == []
+
+
+def test_items_of_many_blocks(spark, table, monkeypatch):
+    monkeypatch.setattr(decontaminate, "ITEMS", 60)
+    monkeypatch.setattr(decontaminate, "ITEM_BYTES", 3000)
+    monkeypatch.setattr(decontaminate, "LIST", 30)
+    monkeypatch.setattr(joins, "HEAVY", 4)
+    rng = random.Random(4)
+    say = lambda n: " ".join(rng.choice("abcdefgh") + str(rng.randrange(300)) for _ in range(n))
+    same = say(12)
+    items = [(i, same) for i in range(150)] + [(150 + i, say(rng.choice([2, 5, 8, 40, 90]))) for i in range(250)] + [(400, "one " * 4000)]
+    items += items[100:200] + [(0, say(7)), (0, say(7))]
+    docs = [(i, f"{say(30)} {rng.choice(items)[1]} {say(5)}") for i in range(150)] + [(None, same), (7, same), (7, same), (500, None), (501, "one " * 5)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    _, texts = decontaminate.item_texts(bench, "item_id")
+    blocks = texts.groupBy("bucket", "rows", "bytes").agg(F.count("no").alias("n"), F.sum(F.length("text")).alias("size"), F.max(F.length("text")).alias("last"))
+    assert blocks.count() > 5 and blocks.filter("n > 60 or size > 3000 + last").isEmpty()
+    got = contaminated(table(docs), bench).collect()
+    found = Counter((r.doc, r.item, r.shared, r["size"]) for r in got)
+    assert sorted(found) == brute_matches(docs, items)
+    assert found[(LOWEST, 3, 8, 8)] == 1 and found[(7, 149, 8, 8)] >= 2
+
+
+def test_items_of_few_shingles_are_found_for_certain():
+    rng = random.Random(5)
+    say = lambda n: " ".join(rng.choice("abc") + str(rng.randrange(4)) for _ in range(n))
+    texts = [say(n) for n in range(1, 37) for _ in range(6)]
+    queries = decontaminate.Queries(list(range(len(texts))), [t.encode() for t in texts], 5, 0.8, True)
+    docs = [f"{say(rng.randrange(40))} {t} {say(rng.randrange(40))}".strip() for t in texts] + texts
+    data = np.frombuffer("".join(docs).encode(), np.uint8)
+    got = queries.matches(data, np.append(0, np.cumsum([len(d) for d in docs])))
+    assert sorted((d, i, s, int(queries.size[i])) for d, i, s in got) == brute_matches(list(enumerate(docs)), list(enumerate(texts)))
 
 
 @pytest.mark.parametrize("query", [op7_simhash_dedup, op9_exact_dedup, op2_decontaminate])
