@@ -12,7 +12,7 @@ from blackspot.clustering.points import X_SHIFT, Y_SHIFT, label_rows, place, pos
 from blackspot.operators import clean, layers, neighborhood, ranking, rates, regions
 from blackspot.plans.hotspots import CLUSTER, ranked_hotspots, urban_rural_hotspots
 from blackspot.runtime import scratch_path
-from blackspot.sources import readers, urls, writers
+from blackspot.sources import laid_out, readers, urls, writers
 from blackspot.sources.crash_view import crash_cte, crash_view
 from blackspot.sources.schema import CRASH_COLUMNS, CRASH_SCHEMA, centroid_schema
 
@@ -31,6 +31,8 @@ URBAN_CRASHES = 50
 # Side of the cells that stand for regions of their own, and crashes per cluster in them.
 REGION_E6, PER_REGION_CLUSTER = 2000, 5
 EPS_E6, MIN_SAMPLES = 3000, 100
+# Files of the laid-out table.
+FILES = 64
 # Rounds written out in the SQL of the mixture, which settles earlier.
 MIXTURE_ROUNDS = 40
 
@@ -263,6 +265,31 @@ def crash_csv_mixed(spark, sf_dir):
     return readers.read_crashes(spark, [f"{root}/{x}" for x in "abc"])
 
 
+def crash_csv_typed(spark, sf_dir):
+    """Crash files with other columns of all kinds, some of them not in all files, read with the types that fit."""
+    root = scratch_path(spark, "typed")
+    n = F.col("Crash_ID")
+    kinds = {"Speed": F.when(n % 5 != 0, (n % 70).cast("string")), "Zip": (n % 90000 + 10000).cast("string"),
+             "Seen": F.when(n % 7 != 0, F.concat((n % 12 + 1).cast("string"), F.lit("/9/2021"))),
+             "Note": F.when(n % 2 == 0, (n % 10).cast("string")).otherwise(F.lit("1/2/2020")), "Serial": F.concat(F.lit("9"), F.lpad((n % 1000).cast("string"), 20, "0")),
+             "Blank": F.lit(None).cast("string")}
+    whole = crash_view(spark, sf_dir).withColumns(kinds)
+    odd = F.pmod("Crash_ID", F.lit(3))
+    whole.filter(odd == 0).write.option("header", True).csv(f"{root}/a")
+    whole.filter(odd == 1).withColumn("Speed", F.concat("Speed", F.lit(".5"))).select(*whole.columns[::-1]).write.option("header", True).csv(f"{root}/b")
+    whole.filter(odd == 2).drop("Zip", "Note").write.option("header", True).csv(f"{root}/c")
+    read = readers.read_crashes(spark, [f"{root}/{x}" for x in "abc"], all_columns=True)
+    kinds = F.lit(" ".join(read.schema[c].dataType.simpleString() for c in kinds))
+    return read.select("Crash_ID", "Latitude", "Speed", "Zip", F.date_format("Seen", "yyyy-MM-dd").alias("Seen"), "Note", "Serial", "Blank", kinds.alias("kinds"))
+
+
+def region_counts_laid_out(spark, sf_dir):
+    """Counts of regions from the files of a laid-out table whose boxes they meet."""
+    path = scratch_path(spark, "laid_out")
+    laid_out.write_laid_out(clean.project_crashes(crash_view(spark, sf_dir)), path, FILES)
+    return regions.region_counts(laid_out.read_near_regions(spark, path, BOXES), BOXES)
+
+
 def multi_file_union(spark, sf_dir):
     """CSV files with different columns in different orders below one directory, as one table."""
     root = scratch_path(spark, "parts")
@@ -322,6 +349,9 @@ QUERIES = {
     "dbscan_summary": lambda s, d: dbscan_summary(dbscan(crash_view(s, d), EPS_E6 / 1e6, MIN_SAMPLES)),
     "density_split": lambda s, d: regions.density_split(crash_view(s, d), URBAN_CRASHES).select(
         "Crash_ID", "cell_lat", "cell_lon", "area"),
+    "urban_areas": lambda s, d: regions.urban_areas(crash_view(s, d), URBAN_CRASHES),
+    "region_counts_laid_out": region_counts_laid_out,
+    "crash_csv_typed": crash_csv_typed,
     "csv_roundtrip": csv_roundtrip,
     "crash_csv_roundtrip": crash_csv_roundtrip,
     "crash_csv_mixed": crash_csv_mixed,
@@ -380,6 +410,16 @@ dbs AS (SELECT {src}.*, coalesce(numbered.c, edge.c, -1) AS DBSCAN_cluster FROM
   LEFT JOIN numbered ON numbered.p = Crash_ID LEFT JOIN edge ON edge.p = Crash_ID)"""
 
 
+URBAN_AREAS = f"""{RECURSIVE}, cells AS (SELECT CAST(floor(lat_e6 / 1e5) AS BIGINT) AS a, CAST(floor(lon_e6 / 1e5) AS BIGINT) AS b,
+  count(*) AS crashes, CAST(sum(Death_Cnt) AS BIGINT) AS deaths FROM pts GROUP BY 1, 2 HAVING count(*) >= {URBAN_CRASHES}),
+nodes AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY a, b) AS id FROM cells),
+links AS MATERIALIZED (SELECT n.id AS p, m.id AS q FROM (SELECT id, a + i AS a, b + j AS b FROM nodes,
+  (SELECT unnest([-1, 0, 1]) AS i), (SELECT unnest([-1, 0, 1]) AS j)) n JOIN nodes m USING (a, b) WHERE n.id <> m.id),
+low(p, r) USING KEY (p) AS (SELECT id AS p, id AS r FROM nodes UNION
+  SELECT links.p, min(low.r) AS r FROM links JOIN low ON low.p = q JOIN recurring.low AS now ON now.p = links.p
+  GROUP BY links.p, now.r HAVING min(low.r) < now.r)
+SELECT f.a AS area_lat, f.b AS area_lon, count(*) AS cells, CAST(sum(n.crashes) AS BIGINT) AS crashes, CAST(sum(n.deaths) AS BIGINT) AS deaths,
+  CAST(sum(n.deaths) AS DOUBLE) / sum(n.crashes) AS fatality_rate FROM low JOIN nodes n ON n.id = p JOIN nodes f ON f.id = r GROUP BY f.a, f.b"""
 DBSCAN = f"{RECURSIVE}, {dbscan_sql()}"
 IN_CELL = "floor(lat_e6 / 1e5), floor(lon_e6 / 1e5)"
 URBAN_RURAL = f"""{RECURSIVE}, k AS (SELECT *, count(*) OVER (PARTITION BY {IN_CELL}) >= {URBAN_CRASHES} AS urban FROM pts),
@@ -453,6 +493,12 @@ SELECT rank, cluster, centroid_latitude, centroid_longitude, fatality_rate, dist
     "dbscan_summary": f"{DBSCAN} SELECT DBSCAN_cluster, count(*) AS crashes, CAST(sum(Death_Cnt) AS BIGINT) AS deaths FROM dbs GROUP BY DBSCAN_cluster",
     "density_split": f"{BASE}, k AS (SELECT Crash_ID, CAST(floor(lat_e6 / 1e5) AS BIGINT) AS cell_lat, CAST(floor(lon_e6 / 1e5) AS BIGINT) AS cell_lon FROM pts) "
                      f"SELECT *, CASE WHEN count(*) OVER (PARTITION BY cell_lat, cell_lon) >= {URBAN_CRASHES} THEN 'urban' ELSE 'rural' END AS area FROM k",
+    "urban_areas": URBAN_AREAS,
+    "region_counts_laid_out": f"{BASE} SELECT region, count(*) AS crashes FROM ({IN_BOXES}) GROUP BY region",
+    "crash_csv_typed": f"""{BASE} SELECT Crash_ID, Latitude, CASE WHEN Crash_ID % 5 <> 0 THEN Crash_ID % 70 + CASE WHEN Crash_ID % 3 = 1 THEN 0.5 ELSE 0 END END::DOUBLE AS Speed,
+  CASE WHEN Crash_ID % 3 <> 2 THEN Crash_ID % 90000 + 10000 END AS Zip, CASE WHEN Crash_ID % 7 <> 0 THEN printf('2021-%02d-09', Crash_ID % 12 + 1) END AS Seen,
+  CASE WHEN Crash_ID % 3 = 2 THEN NULL WHEN Crash_ID % 2 = 0 THEN CAST(Crash_ID % 10 AS VARCHAR) ELSE '1/2/2020' END AS Note,
+  '9' || lpad(CAST(Crash_ID % 1000 AS VARCHAR), 20, '0') AS Serial, CAST(NULL AS VARCHAR) AS Blank, 'double bigint date string string string' AS kinds FROM crash""",
     "csv_roundtrip": f"{RATED} SELECT * EXCLUDE (crashes) FROM rated",
     "crash_csv_roundtrip": f"{BASE} SELECT {COLUMNS} FROM crash",
     "crash_csv_mixed": f"{BASE} SELECT {COLUMNS} FROM crash",

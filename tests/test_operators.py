@@ -30,9 +30,9 @@ def plan_of(frame):
         conf.unset("spark.sql.maxMetadataStringLength")
 
 
-@pytest.mark.parametrize("sent", [regions.BROADCAST_REGIONS, 3])
+@pytest.mark.parametrize("sent", [regions.BROADCAST_CELLS, 3])
 def test_many_boxes_prune_the_scan(spark, tmp_path, monkeypatch, sent):
-    monkeypatch.setattr(regions, "BROADCAST_REGIONS", sent)
+    monkeypatch.setattr(regions, "BROADCAST_CELLS", sent)
     boxes = [regions.Region(f"b{i}", 29 + i * .1, 29.15 + i * .1, -99, -97) for i in range(37)]
     df = spark.createDataFrame([(i, 29 + i * .07, -98.0) for i in range(60)], "id int, Latitude double, Longitude double")
     df.write.parquet(str(tmp_path / "t"))
@@ -169,3 +169,22 @@ def test_markers_of_many_ranks_equal_those_of_each(spark):
     assert got == {rank: rows for rank, rows in want.items() if rows} and len(got) > 3
     with pytest.raises(ValueError):
         neighborhood.marker_table_ranks(df, "cluster", 3, 2, 40)
+
+
+def test_urban_areas(crashes):
+    # A chain of cells, one that touches it at a corner, one apart, one across zero, and a cell with too few crashes.
+    cells = [(295, -986), (295, -985), (295, -984), (296, -983), (300, -986), (0, -1), (-1, 0), (294, -990)]
+    places = [(a, b) for a, b in cells for _ in range(3 if (a, b) != (294, -990) else 2)]
+    df = crashes([a / 10 + 0.05 for a, _ in places], [b / 10 + 0.05 for _, b in places], [i % 2 for i in range(len(places))])
+    df = df.withColumn("Death_Cnt", F.when(F.col("Crash_ID") > 0, F.col("Death_Cnt")))
+    got = {(r.area_lat, r.area_lon): (r.cells, r.crashes, r.deaths) for r in regions.urban_areas(df, 3).collect()}
+    assert got == {(295, -986): (4, 12, 6), (300, -986): (1, 3, 1), (-1, 0): (2, 6, 3)}
+    tagged = regions.tag_urban_areas(df, 3)
+    assert {(r.area_lat, r.area_lon): r["count"] for r in tagged.groupBy("area_lat", "area_lon").count().collect()} == {
+        (295, -986): 12, (300, -986): 3, (-1, 0): 6, (None, None): 2}
+    assert regions.urban_areas(df.limit(0), 3).collect() == [] and regions.tag_urban_areas(df, 99).filter("area_lat is not null").isEmpty()
+
+
+def test_boxes_are_sent_by_their_cells():
+    assert regions.cells_in([regions.Region("", 0, 10, 0, 10)] * 3) == 3 * 21 * 21
+    assert regions.cells_in([regions.Region("", 0.1, 0.2, -0.1, 0.1)]) == 2

@@ -31,6 +31,45 @@ def test_files_with_different_headers(spark, tmp_path):
     assert mixed.columns == centroid_schema("Crash_ID").names and mixed.filter("fatality_rate is null").count() == 3
 
 
+def test_typed_columns(spark, tmp_path):
+    write = lambda name, text: (tmp_path / name).write_text(text)
+    write("a.csv", "a,b,c,d,e,f,g.h\n1,1, 7 ,1/31/2020,007,,1d\n-2,, ,2/29/2021,x,,2\n")
+    write("b.csv", "c,b,a,d,big\n3,2.5e1,+4,,9223372036854775807\n,.5,5,12/1/1999,-9223372036854775809\n")
+    read = readers.read_typed(spark, str(tmp_path))
+    assert dict(read.dtypes) == {"a": "bigint", "b": "double", "c": "bigint", "d": "string", "e": "string", "f": "string", "g.h": "string", "big": "string"}
+    got = {r.a: r for r in read.collect()}  # 2/29/2021 is no date, so d is text
+    assert (got[1].b, got[1].c, got[1].e, got[-2].b, got[-2].c, got[4].c, got[5].b) == (1.0, 7, "007", None, None, 3, 0.5)
+    write("b.csv", "d\n3/1/2021\n")
+    write("a.csv", "d,e\n1/31/2020,\n,1\n")
+    read = readers.read_typed(spark, str(tmp_path))
+    assert dict(read.dtypes) == {"d": "date", "e": "bigint"}
+    assert sorted(str(r.d) for r in read.collect()) == ["2020-01-31", "2021-03-01", "None"]
+    write("a.csv", "d,e\n")
+    write("b.csv", "d\n")
+    assert dict(readers.read_typed(spark, str(tmp_path)).dtypes) == {"d": "string", "e": "string"}
+    with pytest.raises(ValueError):
+        readers.read_typed(spark, str(tmp_path), pathGlobFilter="*.none")
+
+
+def test_only_files_of_a_region_are_opened(spark, crashes, tmp_path):
+    from blackspot.operators.regions import Region, region_counts
+    from blackspot.sources import laid_out
+    rows = crashes([29 + (i * 7 % 100) / 50 for i in range(3000)] + [31.5] * 500, [-99 + (i % 97) / 50 for i in range(3000)] + [-98.5] * 500)
+    rows = rows.withColumn("Latitude", F.when(F.col("Crash_ID") % 50 != 7, F.col("Latitude")))
+    laid_out.write_laid_out(rows, str(tmp_path / "t"), 32)
+    boxes = [Region("a", 29.1, 29.2, -98.9, -98.8), Region("b", 31.5, 31.5, -98.5, -98.5), Region("none", 10, 11, 10, 11)]
+    near = laid_out.read_near_regions(spark, str(tmp_path / "t"), boxes)
+    every = spark.read.parquet(str(tmp_path / "t" / laid_out.ROWS))
+    assert every.count() == rows.count() and 0 < len(near.inputFiles()) < len(every.inputFiles()) / 2
+    assert sorted(region_counts(near, boxes).collect()) == sorted(region_counts(rows, boxes).collect())
+    for some in ([], boxes[2:]):
+        assert laid_out.read_near_regions(spark, str(tmp_path / "t"), some).collect() == []
+    many = [Region(str(i), 29 + i / 100, 29.005 + i / 100, -99, -98.9) for i in range(200)]
+    assert len(laid_out.fewer(many)) <= laid_out.MOST_BOXES
+    near = laid_out.read_near_regions(spark, str(tmp_path / "t"), many)
+    assert sorted(region_counts(near, many).collect()) == sorted(region_counts(rows, many).collect())
+
+
 def test_scratch_tables_go_with_their_rounds(spark):
     from pathlib import Path
     from blackspot.clustering.components import components
