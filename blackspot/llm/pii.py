@@ -2,22 +2,30 @@
 
 Four patterns give the base spans, which always stay. Looser generators propose
 further, overlapping spans of the same kinds: addresses written around an at
-sign, and groups of digits with any separators, whole or in part. Boosted trees
-score a candidate by its format and its surroundings. They learn in a bounded
+sign, and groups of digits with any separators, whole or in part. One more
+generator proposes a kind of its own, secrets: long values that are assigned to a
+name, as in ``token = "..."``. Boosted trees score a candidate by its format and its surroundings. They learn in a bounded
 sample of documents, whose base spans are rewritten into forms that no base
 pattern accepts: the plus sign goes, separators change, an at sign is written
 out. What is learned from is what may be added, candidates that touch no base
 span of the rewritten text; true are the rewritten spans. Other data of these
 kinds that no pattern accepts counts as false there, which makes the trees add
-less, not more. Scores are calibrated on documents that were not trained on, and
-a kind adds spans only from the score at which its precision there is high enough.
+less, not more. For secrets an assignment is put into each document of the sample:
+true are random values of a name for secrets; values made of the document's own
+words, and random values of other names such as checksums, are false. What the
+documents themselves assign to a name for secrets is not learned from. Scores are
+calibrated on documents that were not trained on, and a kind adds spans only from
+the score at which its precision there, shrunk to that of all kinds, is high enough.
 """
 
 from __future__ import annotations
 
+import base64
+import hashlib
 import re
 import zlib
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +35,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from blackspot.llm.common import documents, id_back, id_key, in_parts, stored
 
-KINDS = ("email", "ip", "card", "phone")
+BASE_KINDS = ("email", "ip", "card", "phone")
+KINDS = (*BASE_KINDS, "secret")
+SECRET = KINDS.index("secret")
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -41,6 +51,16 @@ AT = re.compile(r"\s?(?:@|\[at\]|\(at\))\s?")
 NAME_BEFORE, NAME_AFTER = re.compile(r"[^\s@]{1,64}\Z"), re.compile(r"[^\s@]{1,255}")
 GROUPS = re.compile(r"[+(]?[0-9](?:[\x20().,/:-]{0,2}[0-9])+")
 LEAST_DIGITS, MOST_DIGITS = 6, 24
+#: A long value behind a sign of assignment, and the name before the sign.
+LEAST_VALUE = 12
+VALUE = re.compile(r"(?:=>|:=|[=:])\s{0,2}[\"'`]?([A-Za-z0-9_+/=.~-]{12,})")
+NAMED = re.compile(r"([A-Za-z0-9_.-]+)[\"'`]?\s{0,2}\Z")
+#: What a name for secrets holds; whole names of either sort, signs and quotes to learn from.
+SECRET_WORDS = ("token", "secret", "passw", "pwd", "apikey", "api_key", "api-key", "access_key", "auth", "bearer", "credential", "private")
+SECRET_NAMES = ("token", "access_token", "secret", "client_secret", "password", "passwd", "pwd", "api_key", "apikey", "API-Key", "AWS_SECRET_ACCESS_KEY",
+                "auth", "Authorization", "bearer", "credentials", "private_key")
+OTHER_NAMES = ("sha", "sha1", "md5", "hash", "checksum", "commit", "digest", "etag", "id", "uuid", "version", "name", "path", "file", "http", "title", "url", "ref")
+SIGNS, QUOTES = (" = ", "=", ": ", ":", " => ", " := "), ('"', '"', "'", "")
 #: Forms of base spans to learn from: what stands for the at sign, a dot of an IP, and between groups of digits.
 AT_FORMS = ("[at]", "(at)", " [at] ", " (at) ", " @ ")
 DOT_FORMS = (". ", " .", " . ")
@@ -52,7 +72,8 @@ HINTS = ("mail", "tel", "phone", "call", "fax", "ip", "host", "server", "card",
 SAMPLE_DOCUMENTS, TREES, DEPTH, RATE = 20_000, 40, 3, 0.2
 #: Most candidates to learn from.
 MOST_CANDIDATES = 400_000
-BINS, PRECISION, LEAST_TRUE = 32, 0.98, 30
+#: The precision of a kind is shrunk as if so many of its candidates had the one of all kinds.
+BINS, PRECISION, SHRINK = 32, 0.98, 20
 
 SPAN = "struct<kind:int,s:int,e:int,base:boolean>"
 
@@ -116,9 +137,23 @@ def candidates(text: str) -> list[tuple[int, int, int]]:
             n = sum(c.isdigit() for c in text[s:e])
             if LEAST_DIGITS <= n <= MOST_DIGITS or text.count(".", s, e) == 3:
                 out.update((kind, s, e) for kind in (1, 2, 3) if kind != 1 or text.count(".", s, e) >= 2)
+    for m in VALUE.finditer(text):
+        own = m[1].rstrip(".")
+        if named(text, m.start(1)) and len(own) >= LEAST_VALUE:
+            out.add((SECRET, m.start(1), m.start(1) + len(own)))
     return sorted(out)
 
 
+def named(text: str, s: int) -> str:
+    """The name that the value at ``s`` is assigned to, in lower case; empty if there is none."""
+    m = NAMED.search(text[max(0, s - 64):s].rstrip("\"'`").rstrip().rstrip("=:>").rstrip())
+    return m[1].lower() if m else ""
+
+
+def secret_name(name: str) -> bool:
+    return any(w in name for w in SECRET_WORDS) or name == "key"
+
+
 def char_class(c: str) -> int:
     return 0 if not c else 1 if c.isspace() else 2 if c.isdigit() else 3 if c.isalpha() else 4 if c in "\"'`" else 5
 
@@ -132,10 +167,26 @@ def features(text: str, kind: int, s: int, e: int) -> list[float]:
     own = text[s:e]
     groups = [len(g) for g in re.findall("[0-9]+", own)] or [0]
     before, after = text[max(0, s - 16):s].lower(), text[e:e + 8]
+    value = value_features(own, named(text, s)) if kind == SECRET else [0.0] * VALUE_FEATURES
     return [kind, e - s, sum(c.isdigit() for c in own), sum(c.isalpha() for c in own), *[own.count(c) for c in " -.():/,"],
             len(groups), max(groups), min(groups), groups[0], groups[-1], len(set(own)), own[-1:].isdigit(),
             char_class(text[s - 1:s] if s else ""), char_class(after[:1]), char_class(text[s - 2:s - 1] if s > 1 else ""),
-            char_class(after[1:2]), *[h in before for h in HINTS]]
+            char_class(after[1:2]), *[h in before for h in HINTS], *value]
+
+
+#: How many :func:`value_features` gives.
+VALUE_FEATURES = 9
+
+
+def value_features(own: str, name: str) -> list[float]:
+    """What tells a random value from words: classes of signs and how they mix, and what its name says."""
+    counts = Counter(own)
+    share = np.array(list(counts.values())) / len(own)
+    kinds = "".join("d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "-" for c in own)
+    changes = sum(a != b for a, b in zip(kinds, kinds[1:]))
+    letters = [len(r) for r in re.findall("[a-z]+|[A-Z]+", own)] or [0]
+    return [secret_name(name), float(-(share * np.log2(share)).sum()), len(set(kinds)), changes / len(own), max(letters), max(counts.values()) / len(own),
+            sum(c in "aeiouAEIOU" for c in own) / len(own), kinds.count("-"), not re.search("[^0-9A-Fa-f]", own)]
 
 
 class Trees:
@@ -196,18 +247,27 @@ class Judge:
     def __init__(self, x: np.ndarray, y: np.ndarray, fold: np.ndarray):
         learn = fold != 0
         self.trees, self.least = None, [np.inf] * len(KINDS)
-        if y[learn].sum() < LEAST_TRUE or y[learn].all():
+        if not y[learn].any() or y[learn].all():
             return
         self.trees = Trees(x[learn], y[learn].astype(float))
         score = self.trees.score(x[~learn]) if (~learn).any() else np.zeros(0)
+        y, kinds = y[~learn], x[~learn][:, 0]
+        # Precision of all kinds above a score, itself shrunk to a half by one candidate.
+        down = np.sort(score)[::-1]
+        hits = np.cumsum(y[np.argsort(-score, kind="stable")])
         for kind in range(len(KINDS)):
-            own = x[~learn][:, 0] == kind
+            own = kinds == kind
             order = np.argsort(-score[own], kind="stable")
-            s, hit = score[own][order], np.cumsum(y[~learn][own][order])
+            s, hit, n = score[own][order], np.cumsum(y[own][order]), np.arange(1, own.sum() + 1)
             last = np.append(s[1:] != s[:-1], True) if len(s) else np.zeros(0, bool)  # equal scores go together
-            good = np.flatnonzero(last & (hit >= LEAST_TRUE) & (hit >= PRECISION * np.arange(1, len(s) + 1)))
+            every = np.searchsorted(-down, -s, "right")
+            pooled = (hits[every - 1] + 0.5) / (every + 1) if len(s) else s
+            good = np.flatnonzero(last & (hit > 0) & ((hit + SHRINK * pooled) / (n + SHRINK) >= PRECISION))
             if len(good):
-                self.least[kind] = float(s[good[-1]])
+                # Half way to the next score of the kind, or to the next false candidate of any.
+                at = good[-1]
+                below = s[at + 1:at + 2] if at + 1 < len(s) else np.sort(score[~y & (score < s[at])])[-1:]
+                self.least[kind] = float((s[at] + below[0]) / 2) if len(below) else float(s[at])
 
     def add(self, text: str, base: list[list[tuple[int, int]]]) -> list[tuple[int, int, int]]:
         """Candidates above the threshold of their kind that touch no base span or better candidate."""
@@ -258,8 +318,39 @@ def examples(text: str) -> list[tuple[int, int, int, bool, str]]:
         size += s - last + len(new)
         true.add((kind, size - len(new), size))
         last = e
-    new = "".join([*parts, text[last:]])
-    return [(*c, c in true, new) for c in free(new, base_spans(new))]
+    new, planted = with_value("".join([*parts, text[last:]]), true)
+    known = lambda kind, s: kind != SECRET or s == planted or not secret_name(named(new, s))
+    return [(*c, c in true, new) for c in free(new, base_spans(new)) if known(*c[:2])]
+
+
+def with_value(text: str, true: set[tuple[int, int, int]]) -> tuple[str, int]:
+    """``text`` with an assigned value put between two words, and the place of the value.
+
+    Which one, and where, depends on the text alone. ``true`` spans behind it move
+    along, and the value joins them if it is a secret.
+    """
+    seed = hashlib.sha256(text.encode(errors="replace")).digest()
+    pick = lambda forms, i: forms[seed[i] % len(forms)]
+    at = text.find(" ", int.from_bytes(seed[:6]) % (len(text) + 1))
+    if at < 0 or any(s < at < e for _, s, e in true):
+        at = len(text)
+    sort = seed[6] % 5  # two secrets, a checksum, and two values of words
+    key = hashlib.sha256(seed).digest()
+    random = (key.hex(), key[:20].hex(), key[:16].hex().upper(), base64.b64encode(key[:24]).decode(), base64.urlsafe_b64encode(key[:15]).decode(),
+              key[:20].hex().upper(), re.sub("[^A-Za-z0-9]", "", base64.b64encode(key).decode())[:22])
+    words = re.findall("[A-Za-z]{2,16}", text[max(0, at - 60):at + 60])[:2 + seed[7] % 4] or ["x" * 8]
+    while len(words) < 16 and sum(map(len, words)) < LEAST_VALUE:
+        words.append(words[len(words) // 2])
+    value = pick(random, 8) if sort < 3 else pick(("_", "-", ".", "/", ""), 9).join(words)
+    name = pick(SECRET_NAMES if sort < 2 or sort == 3 else OTHER_NAMES, 10)
+    name = name.upper() if value.isupper() and seed[11] % 2 else name
+    quote = pick(QUOTES, 12)
+    head = " " + name + pick(SIGNS, 13) + quote
+    place, size = at + len(head), len(head) + len(value) + len(quote)
+    moved = {(kind, s + size * (s >= at), e + size * (s >= at)) for kind, s, e in true}
+    true.clear()
+    true.update(moved, [(SECRET, place, place + len(value))] if sort < 2 else [])
+    return text[:at] + head + value + quote + text[at:], place
 
 
 def free(text: str, base: list[list[tuple[int, int]]]) -> list[tuple[int, int, int]]:
@@ -335,6 +426,7 @@ def private_spans(docs: DataFrame, judge: Judge) -> DataFrame:
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and digest, all spans, and how many of them are secrets."""
     docs = documents(spark, sf_dir)
     found = private_spans(docs, fit(docs))
     name = lambda x: F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), x["kind"] + 1), x["s"].cast("string"), x["e"].cast("string"))
@@ -342,6 +434,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda x: x["base"])
     # A second parameter of the function would be the index.
     count = lambda k: F.size(F.filter(base, lambda x: x["kind"] == k)).cast("long")
-    counts = [count(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
+    counts = [count(k).alias(f"n_{kind}") for k, kind in enumerate(BASE_KINDS)]
+    secrets = F.size(F.filter("spans", lambda x: x["kind"] == SECRET)).cast("long")
     return stored(found.select(id_back(F.col("doc")).alias("doc_id"), *counts, F.sha2(joined(base), 256).alias("base_sha256"),
-                               joined(F.col("spans")).alias("spans")))
+                               joined(F.col("spans")).alias("spans"), secrets.alias("n_secret"), F.size("spans").cast("long").alias("n_spans")))
