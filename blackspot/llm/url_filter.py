@@ -2,8 +2,10 @@
 
 Pages that a rule decides are labelled outcomes: blocked pages are bad, allowed
 ones good. Bad shares are beta-binomial. The share of a suffix (the last label of
-a host) is shrunk towards that of all pages, the one of a registered domain (the
-last two labels) towards its suffix, and the one of a host towards its domain.
+a host, or one of the longer ``suffixes``) is shrunk towards that of all pages, the
+one of a registered domain (one label more) towards its suffix, and the one of a
+host towards its domain. A port says nothing about a host's reputation and is left
+out of it; a numeric address is a domain of its own, and all of them share a suffix.
 How strongly is learned on each level from how far the shares below a parent
 differ beyond chance. A page without a rule is blocked if even a low bound of its
 host's posterior share is above ``threshold``.
@@ -27,6 +29,11 @@ ALLOW, BLOCK = "allow", "block"
 #: (verdict, host, start of the path)
 RULES = [(ALLOW, "org", "/"), (BLOCK, "example.org", "/es/"), (BLOCK, "example.org", "/en/1"),
          (ALLOW, "com", "/fr/"), (BLOCK, "com", "/de/")]
+#: Suffixes of two labels below which domains are registered.
+SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp", "or.jp", "ne.jp", "ac.jp",
+            "com.br", "com.ar", "com.mx", "com.cn", "com.hk", "com.tw", "com.sg", "com.tr", "co.in", "co.kr", "co.za", "co.il")
+#: A host without its port, what a numeric address looks like, and the suffix of all of them.
+PORT, NUMERIC, NO_NAME = ":[0-9]*$", r"^([0-9.]+|\[.*\])$", "#"
 #: Bad share above which a host is blocked, and how many standard deviations below its mean the bound lies.
 THRESHOLD, DEVIATIONS = 0.5, 1.64
 #: Pages that stand behind the prior of all pages, and the limits of the learned correlation within a parent.
@@ -70,17 +77,29 @@ def shrunk(groups: DataFrame) -> DataFrame:
             .withColumn("share", F.col("a") / (F.col("a") + F.col("b"))))
 
 
-def reputation(labelled: DataFrame) -> DataFrame:
+def named(host: str) -> Column:
+    """The host that has a reputation: without its port."""
+    return F.regexp_replace(host, PORT, "")
+
+
+def registered(host: str, suffixes: tuple[str, ...]) -> dict[str, Column]:
+    """Suffix and registered domain of a host without port."""
+    labels = F.split(host, r"\.")
+    last = lambda n: F.concat_ws(".", F.slice(labels, F.greatest(F.lit(1), F.size(labels) - (n - 1)), n))
+    numeric, long = F.col(host).rlike(NUMERIC), last(2).isin(*suffixes)
+    return {"suffix": F.when(numeric, NO_NAME).when(long, last(2)).otherwise(last(1)),
+            "domain": F.when(numeric, F.col(host)).when(long, last(3)).otherwise(last(2))}
+
+
+def reputation(labelled: DataFrame, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
     """``host, pages, n, bad, a, b, share`` for every host of ``(host, outcome)``.
 
     ``outcome`` is 1 for a bad page, 0 for a good one and null for one without a
     label. Hosts without labelled pages get the share of their domain.
     """
-    labels = F.split("host", r"\.")
     hosts = cut(labelled.groupBy("host").agg(F.count(F.lit(1)).alias("pages"), F.count("outcome").alias("n"),
                                               F.coalesce(F.sum("outcome"), F.lit(0)).alias("bad"))
-                .withColumns({"suffix": F.element_at(labels, -1),
-                              "domain": F.concat_ws(".", F.slice(labels, F.greatest(F.lit(1), F.size(labels) - 1), 2))}))
+                .withColumns(registered("host", suffixes)))
     up = lambda rows, key, *keep: rows.groupBy(key, *keep).agg(*[F.sum(c).alias(c) for c in ("n", "bad")], F.count(F.lit(1)).alias("_size"))
     total = hosts.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
     n, bad = total["n"] or 0, total["bad"] or 0
@@ -99,7 +118,7 @@ def low_bound(deviations: float) -> Column:
 
 
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, threshold: float = THRESHOLD,
-               deviations: float = DEVIATIONS) -> DataFrame:
+               deviations: float = DEVIATIONS, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
     """Every row of ``pages`` with ``page_id, host, path, rule, verdict, share``.
 
     Of several fitting rules the longest wins. A null url, or one without
@@ -110,9 +129,11 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, thre
     host, path = address("url")
     rule, verdict = decided(rules)
     rows = pages.select("page_id", host.alias("host"), path.alias("path")).withColumns({"rule": rule, "ruled": verdict})
-    known = cut(reputation(rows.select("host", F.when(F.col("ruled").isNotNull(), (F.col("ruled") == BLOCK).cast("int")).alias("outcome")))
-                .withColumn("risky", low_bound(deviations) > threshold).select("host", "pages", "share", "risky"))
-    judged = split_join(rows, known, ["host"], "pages", ["page_id", "path"])
+    rows = rows.withColumn("_name", named("host"))
+    outcome = F.when(F.col("ruled").isNotNull(), (F.col("ruled") == BLOCK).cast("int")).alias("outcome")
+    known = cut(reputation(rows.select(F.col("_name").alias("host"), outcome), suffixes)
+                .withColumn("risky", low_bound(deviations) > threshold).select(F.col("host").alias("_name"), "pages", "share", "risky"))
+    judged = split_join(rows, known, ["_name"], "pages", ["page_id", "path"])
     return judged.select("page_id", "host", "path", "rule",
                          F.coalesce("ruled", F.when(F.col("risky"), BLOCK).otherwise(ALLOW)).alias("verdict"), "share")
 
@@ -135,9 +156,11 @@ OP6_SQL = f"""WITH r AS (SELECT page_id, translate(coalesce(regexp_extract(url,
   coalesce(regexp_extract(url, '{ADDRESS}', 2), '') AS path FROM pages),
 ruled AS (SELECT *, CASE {" ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{s}') THEN '{h}{s}'"
                                    for _, h, s in sorted(RULES, key=lambda r: -len(r[1] + r[2])))} END AS rule FROM r),
-known AS (SELECT *, CASE {" ".join(f"WHEN rule = '{h}{s}' THEN '{v}'" for v, h, s in RULES)} END AS ruled FROM ruled),
-hosts AS (SELECT host, count(ruled) AS n, CAST(count(*) FILTER (ruled = '{BLOCK}') AS DOUBLE) AS bad, string_split(host, '.') AS parts FROM known GROUP BY host),
-named AS (SELECT host, n, bad, parts[-1] AS suffix, array_to_string(parts[-2:], '.') AS domain FROM hosts),
+known AS (SELECT *, regexp_replace(host, '{PORT}', '') AS name, CASE {" ".join(f"WHEN rule = '{h}{s}' THEN '{v}'" for v, h, s in RULES)} END AS ruled FROM ruled),
+hosts AS (SELECT name, count(ruled) AS n, CAST(count(*) FILTER (ruled = '{BLOCK}') AS DOUBLE) AS bad, string_split(name, '.') AS parts,
+  regexp_matches(name, '{NUMERIC}') AS numeric, array_to_string(parts[-2:], '.') IN {SUFFIXES} AS long FROM known GROUP BY name),
+named AS (SELECT name, n, bad, CASE WHEN numeric THEN '{NO_NAME}' WHEN long THEN array_to_string(parts[-2:], '.') ELSE parts[-1] END AS suffix,
+  CASE WHEN numeric THEN name WHEN long THEN array_to_string(parts[-3:], '.') ELSE array_to_string(parts[-2:], '.') END AS domain FROM hosts),
 d0 AS (SELECT domain, suffix, CAST(sum(n) AS BIGINT) AS n, sum(bad) AS bad FROM named GROUP BY domain, suffix),
 s0 AS (SELECT suffix, CAST(sum(n) AS BIGINT) AS n, sum(bad) AS bad,
   (SELECT (sum(bad) + {PRIOR_PAGES / 2}::DOUBLE) / (sum(n) + {PRIOR_PAGES}::DOUBLE) FROM d0) AS p FROM d0 GROUP BY suffix),
@@ -147,4 +170,4 @@ d1 AS (SELECT d0.*, s1.share AS p FROM d0 JOIN s1 USING (suffix)),
 h1 AS (SELECT named.*, d2.share AS p FROM named JOIN d2 USING (domain)),
 {level_sql("h2", "h1", "host")}
 SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN share - {DEVIATIONS} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1.0::DOUBLE))) > {THRESHOLD}
-  THEN '{BLOCK}' ELSE '{ALLOW}' END) AS verdict FROM known JOIN h2 USING (host)"""
+  THEN '{BLOCK}' ELSE '{ALLOW}' END) AS verdict FROM known JOIN h2 USING (name)"""

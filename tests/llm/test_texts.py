@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from blackspot.llm import language, pii
 from blackspot.llm.licenses import OP5_SQL, license_scan, op5_license_scan
 from blackspot.llm.pieces import decode, decode_array, encode, encode_array, load, model_path, op4_sentencepiece
-from blackspot.llm.url_filter import OP6_SQL, judge_urls, op6_url_filter
+from blackspot.llm.url_filter import OP6_SQL, SUFFIXES, judge_urls, named, op6_url_filter, registered
 
 SF = "/root/testdata/sf0.001"
 
@@ -232,6 +232,24 @@ def test_reputation_blocks_hosts(spark):
     assert dict(got)[200] == dict(got)[201] == dict(got)[None] == "block" and dict(got)[202] == "allow"
 
 
+def test_domains_ports_and_numeric_hosts(spark):
+    hosts = {"a.b.example.com": ("com", "example.com"), "x.y.co.uk": ("co.uk", "y.co.uk"), "co.uk": ("co.uk", "co.uk"), "example.com": ("com", "example.com"),
+             "10.0.0.7": ("#", "10.0.0.7"), "[::1]": ("#", "[::1]"), "local": ("local", "local"), "": ("", "")}
+    df = spark.createDataFrame([(h,) for h in hosts], "host string").withColumns(registered("host", SUFFIXES))
+    assert {r.host: (r.suffix, r.domain) for r in df.collect()} == hosts
+    df = spark.createDataFrame([(h,) for h in ("h.com:80", "h.com:", "h.com", "[::1]:8080", "[::1]", "")], "host string")
+    assert [r[0] for r in df.select(named("host")).collect()] == ["h.com", "h.com", "h.com", "[::1]", "[::1]", ""]
+    # Neighbours under a suffix of two labels do not share a domain; ports of one host share its reputation.
+    rules = [("block", "bad.co.uk", "/spam"), ("block", "10.0.0.7", "/spam"), ("allow", "good.co.uk", "/"), ("allow", "fine.com", "/"),
+             ("allow", "10.0.0.9", "/")]
+    rows = [(i, f"http://www.bad.co.uk/spam/{i}") for i in range(90)] + [(100 + i, f"http://10.0.0.7/spam/{i}") for i in range(90)]
+    rows += [(200 + i, f"http://{h}/") for i, h in enumerate(["good.co.uk", "10.0.0.9", "fine.com"] * 30)]
+    rows += [(300, "http://www.bad.co.uk/x"), (301, "http://www.bad.co.uk:9/x"), (302, "http://10.0.0.7:81/x"), (303, "http://other.co.uk/x"), (304, "http://10.0.0.8/x")]
+    got = {r.page_id: (r.host, r.verdict) for r in judge_urls(spark.createDataFrame(rows, "page_id long, url string"), rules).collect()}
+    assert [got[i] for i in range(300, 305)] == [("www.bad.co.uk", "block"), ("www.bad.co.uk:9", "block"), ("10.0.0.7:81", "block"),
+                                                 ("other.co.uk", "allow"), ("10.0.0.8", "allow")]
+
+
 # Personal data
 
 PATTERNS = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
