@@ -33,8 +33,6 @@ REGION_E6, PER_REGION_CLUSTER = 2000, 5
 EPS_E6, MIN_SAMPLES = 3000, 100
 # Files of the laid-out table.
 FILES = 64
-# Rounds written out in the SQL of the mixture, which settles earlier.
-MIXTURE_ROUNDS = 40
 
 COLUMNS = ", ".join(CRASH_COLUMNS)
 BASE = crash_cte()
@@ -128,34 +126,40 @@ firsts AS (SELECT region, c, min(Crash_ID) AS f FROM ends JOIN p0 USING (x, y) G
 SELECT Crash_ID, region, dense_rank() OVER (PARTITION BY region ORDER BY f) AS hier_cluster FROM p0 JOIN ends USING (x, y) JOIN firsts USING (region, c)"""
 
 
-def mixture_sql(rounds: int) -> str:
-    """The mixture over all points and components, the rounds written out; a round after the end changes nothing."""
-    comp = lambda src: f"""SELECT cid, ox + mx AS cx, oy + my AS cy, yy / det AS a, xy / det AS b, xx / det AS c,
+def mixture_sql() -> str:
+    """The mixture as a recursion that ends where the likelihood settles: all positions against all components in every round.
+
+    ``gp`` has every position with the densities ``l`` of the components that matter there, the greatest ``top`` and
+    the sum ``mass`` of all relative to it.
+    """
+    comp = lambda src: f"""SELECT *, ox + mx AS cx, oy + my AS cy, yy / det AS a, xy / det AS b, xx / det AS c,
     ln(r / total) - {mixture.LOG_2PI!r}::DOUBLE - ln(det) / 2.0::DOUBLE AS norm FROM (
   SELECT *, xx * yy - xy * xy AS det FROM (SELECT *, sxx / r - mx * mx + {mixture.FLOOR}::DOUBLE AS xx, syy / r - my * my + {mixture.FLOOR}::DOUBLE AS yy,
-    sxy / r - mx * my AS xy FROM (SELECT *, sx / r AS mx, sy / r AS my FROM {src}))), (SELECT CAST(sum(w) AS DOUBLE) AS total FROM spots)"""
-    sums = lambda r: (f"any_value(ox) AS ox, any_value(oy) AS oy, sum({r}) AS r, sum({r} * (x - ox)) AS sx, sum({r} * (y - oy)) AS sy, "
-                      f"sum({r} * (x - ox) * (x - ox)) AS sxx, sum({r} * (x - ox) * (y - oy)) AS sxy, sum({r} * (y - oy) * (y - oy)) AS syy")
-    density = ("norm - ((x - cx) * (x - cx) * a - 2.0::DOUBLE * ((x - cx) * (y - cy)) * b + (y - cy) * (y - cy) * c) / 2.0::DOUBLE")
-    ctes = [f"m0 AS (SELECT cid, {sums('q')} FROM (SELECT cid, x, y, CAST(w AS DOUBLE) AS q, CAST(cx AS DOUBLE) AS ox, CAST(cy AS DOUBLE) AS oy "
-            "FROM a0 JOIN c0 USING (cid)) GROUP BY cid)", f"g0 AS MATERIALIZED ({comp('m0')})", "e0 AS (SELECT CAST(NULL AS DOUBLE) AS gain, false AS done)"]
-    for i in range(1, rounds + 1):
-        ctes.append(f"d{i} AS MATERIALIZED (SELECT x, y, w, cid, cx, cy, {density} AS d FROM spots, g{i - 1} WHERE NOT (SELECT done FROM e{i - 1}))")
-        ctes.append(f"t{i} AS MATERIALIZED (SELECT x, y, any_value(w) AS w, top, sum(exp(d - top)) AS mass FROM d{i} JOIN (SELECT x, y, max(d) AS top FROM d{i} GROUP BY x, y) "
-                    "USING (x, y) GROUP BY x, y, top)")
-        ctes.append(f"l{i} AS MATERIALIZED (SELECT sum(w * (top + ln(mass))) / sum(w) AS mean FROM t{i})")
-        before = f"(SELECT mean FROM l{i - 1})" if i > 1 else "NULL"
-        ctes.append(f"e{i} AS MATERIALIZED (SELECT (SELECT done FROM e{i - 1}) OR coalesce(mean - {before} < {mixture.GAIN}::DOUBLE, false) AS done FROM l{i})")
-        ctes.append(f"m{i} AS MATERIALIZED (SELECT cid, {sums('q')} FROM (SELECT cid, x, y, cx AS ox, cy AS oy, d{i}.w * exp(d - top) / mass AS q FROM d{i} JOIN t{i} USING (x, y)) "
-                    f"WHERE NOT (SELECT done FROM e{i}) GROUP BY cid HAVING sum(q) > 0)")
-        ctes.append(f"g{i} AS MATERIALIZED (SELECT * FROM g{i - 1} WHERE (SELECT done FROM e{i}) UNION ALL {comp(f'm{i}')})")
-    ctes.append(f"gm AS (SELECT x, y, arg_max(cid, {density}) AS cid FROM spots, g{rounds} GROUP BY x, y)")
-    return ", ".join(ctes)
+    sxy / r - mx * my AS xy FROM (SELECT *, sx / r AS mx, sy / r AS my FROM ({src})))), (SELECT CAST(sum(w) AS DOUBLE) AS total FROM spots)"""
+    sums = ("any_value(ox) AS ox, any_value(oy) AS oy, sum(q) AS r, sum(q * (x - ox)) AS sx, sum(q * (y - oy)) AS sy, "
+            "sum(q * (x - ox) * (x - ox)) AS sxx, sum(q * (x - ox) * (y - oy)) AS sxy, sum(q * (y - oy) * (y - oy)) AS syy")
+    density = "norm - ((x - cx) * (x - cx) * a - 2.0::DOUBLE * ((x - cx) * (y - cy)) * b + (y - cy) * (y - cy) * c) / 2.0::DOUBLE"
+    massed = lambda src: f"""SELECT *, list_sum(list_transform(l, lambda e: exp(e.d - top))) AS mass FROM (
+    SELECT * EXCLUDE (l), list_filter(l, lambda e: e.d >= top - {mixture.DROP}::DOUBLE) AS l FROM (
+      SELECT x, y, any_value(w) AS w, max(d) AS top, list({{'cid': cid, 'cx': cx, 'cy': cy, 'd': d}}) AS l, any_value(step) AS step, any_value(mean) AS mean
+      FROM (SELECT x, y, w, step, mean, cid, cx, cy, {density} AS d FROM spots, {src}) GROUP BY x, y))"""
+    first = f"""SELECT cid, {sums} FROM (SELECT cid, x, y, CAST(w AS DOUBLE) AS q, CAST(cx AS DOUBLE) AS ox, CAST(cy AS DOUBLE) AS oy
+    FROM a0 JOIN c0 USING (cid)) GROUP BY cid"""
+    shares = f"""SELECT x, y, step, mean, e.cid AS cid, e.cx AS ox, e.cy AS oy, w * exp(e.d - top) / mass AS q, CASE WHEN i = 1 THEN w * (top + ln(mass)) END AS ll
+    FROM (SELECT *, unnest(l) AS e, unnest(range(1, len(l) + 1)) AS i FROM ({massed(f"(SELECT * FROM em WHERE step < {mixture.MAX_ROUNDS})")}))"""
+    now = f"""SELECT *, sum(ll) OVER () / (SELECT sum(w) FROM spots) AS now FROM (
+    SELECT cid, any_value(step) + 1 AS step, any_value(mean) AS mean, {sums}, sum(ll) AS ll FROM ({shares}) GROUP BY cid)"""
+    more = f"SELECT * FROM ({now}) WHERE r > 0 AND (mean IS NULL OR now - mean >= {mixture.GAIN}::DOUBLE)"
+    facts = "cid, cx, cy, a, b, c, norm"
+    return f"""em AS (SELECT 0 AS step, {facts}, CAST(NULL AS DOUBLE) AS mean FROM ({comp(first)})
+  UNION ALL SELECT step, {facts}, now FROM ({comp(more)})),
+gp AS MATERIALIZED ({massed("(SELECT * FROM em WHERE step = (SELECT max(step) FROM em))")})"""
 
 
 RATES_SQL = """CAST(sum(CAST(Latitude AS DECIMAL(18,9))) AS DOUBLE) / count(*) AS centroid_latitude,
   CAST(sum(CAST(Longitude AS DECIMAL(18,9))) AS DOUBLE) / count(*) AS centroid_longitude,
   CAST(sum(Death_Cnt) AS DOUBLE) / count(Death_Cnt) AS fatality_rate, count(*) AS crashes"""
+MIXED = f"{RECURSIVE}, {lloyd_sql(0)}, {mixture_sql()}"
 CLUSTERED = f"{BASE}, {lloyd_sql(MAX_ITER)}, kc AS (SELECT p0.*, cid AS {CLUSTER} FROM p0 JOIN a{MAX_ITER} USING (x, y))"
 
 
@@ -175,6 +179,13 @@ def hotspot_pipeline(spark, sf_dir):
     return ranked_hotspots(crash_view(spark, sf_dir), per_cluster=PER_CLUSTER, tolerance=0.0)
 
 
+def gmm_shares(spark, sf_dir):
+    """Shares of components in thousandths, one row per crash and component with at least half of one."""
+    shared = mixture.shares(crash_view(spark, sf_dir)).select("Crash_ID", F.explode("gmm_shares").alias("s"))
+    return (shared.select("Crash_ID", "s.component", F.round(F.col("s.share") * 1000).cast("bigint").alias("share_permille"))
+            .filter("share_permille > 0"))
+
+
 def rated(spark, sf_dir):
     return rates.fatality_rate(celled(spark, sf_dir), "cluster", with_size=True)
 
@@ -362,6 +373,7 @@ QUERIES = {
        for linkage in LINKAGES},
     **{f"hier_region_{linkage}": lambda s, d, linkage=linkage: regional(s, d, linkage) for linkage in LINKAGES},
     "gmm": lambda s, d: mixture.gmm(crash_view(s, d)).select("Crash_ID", "gmm_cluster"),
+    "gmm_shares": gmm_shares,
     "urban_rural_hotspots": lambda s, d: urban_rural_hotspots(crash_view(s, d), URBAN_CRASHES, EPS_E6 / 1e6, MIN_SAMPLES, PER_CLUSTER,
                                                               tolerance=0.0),
 }
@@ -462,7 +474,11 @@ ORACLES = {
                         f"SELECT *, {RANKED.format(CLUSTER)}, NOT EXISTS (SELECT cid, cx, cy FROM c{MAX_ITER} EXCEPT "
                         f"SELECT cid, cx, cy FROM c{MAX_ITER - 1}) AS converged FROM rated",
     "urban_rural_hotspots": URBAN_RURAL,
-    "gmm": f"{BASE}, {lloyd_sql(0)}, {mixture_sql(MIXTURE_ROUNDS)} SELECT Crash_ID, cid AS gmm_cluster FROM p0 JOIN gm USING (x, y)",
+    "gmm": f"""{MIXED} SELECT Crash_ID, gmm_cluster
+FROM p0 JOIN (SELECT x, y, list_min(list_transform(list_filter(l, lambda e: e.d = top), lambda e: e.cid)) AS gmm_cluster FROM gp) USING (x, y)""",
+    "gmm_shares": f"""{MIXED} SELECT Crash_ID, component, share_permille
+FROM p0 JOIN (SELECT x, y, e.cid AS component, CAST(round(exp(e.d - top) / mass * 1000) AS BIGINT) AS share_permille
+  FROM (SELECT *, unnest(l) AS e FROM gp)) USING (x, y) WHERE share_permille > 0""",
     "fatality_rate": f"{RATED} SELECT * FROM rated",
     "rank_clusters": f"{RATED} SELECT *, {RANKED.format('cluster')} FROM rated",
     "rank_clusters_min_n": f"{RATED} SELECT *, {RANKED.format('cluster')} FROM rated WHERE crashes >= {MIN_CRASHES}",

@@ -86,7 +86,7 @@ def mixture_by_hand(lat, lon, per, rounds, gain):
         mass = np.exp(d - top).sum(1, keepdims=True)
         now = (top + np.log(mass)).mean()
         if before is not None and now - before < gain or step == rounds:
-            return [ids[k] for k in d.argmax(1)], step
+            return [ids[k] for k in d.argmax(1)], {c: v for c, v in zip(ids, (np.exp(d - top) / mass).T)}
         before, r = now, np.exp(d - top) / mass
 
 
@@ -97,8 +97,22 @@ def test_mixture_matches_brute_force(crashes, n, per, hot, rounds):
     assert labels_of(mixture.gmm(crashes(lat, lon), per, rounds), "gmm_cluster") == want
 
 
+@pytest.mark.parametrize("n,per,hot", [(600, 60, 0), (500, 50, 200)])
+def test_shares_of_components_match_brute_force(crashes, n, per, hot):
+    lat, lon = sample(n, n + 1, hot)
+    labels, want = mixture_by_hand(lat, lon, per, 100, mixture.GAIN)
+    got = labels_of(mixture.shares(crashes(lat, lon), per), "gmm_shares")
+    assert [s[0].component for s in got] == labels
+    for i, listed in enumerate(got):
+        found = {s.component: s.share for s in listed}
+        assert len(found) == len(listed) and listed == sorted(listed, key=lambda s: (-s.share, s.component))
+        assert abs(sum(found.values()) - 1) < 1e-14 and min(found.values()) >= mixture.LEAST_SHARE
+        assert all(abs(found.get(c, 0.0) - v[i]) < 1e-9 for c, v in want.items())
+    assert max(map(len, got)) > 1
+
+
 def test_mixture_of_nothing(crashes):
-    assert mixture.gmm(crashes([], [])).collect() == []
+    assert mixture.gmm(crashes([], [])).collect() == [] and mixture.shares(crashes([], [])).collect() == []
 
 
 def dbscan_by_hand(lat, lon, eps, least):
