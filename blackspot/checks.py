@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from blackspot.clustering.dbscan import dbscan, dbscan_summary, neighbor_counts
-from blackspot.clustering import mixture
+from blackspot.clustering import mixture, seeding
 from blackspot.clustering.hierarchical import LINKAGES, hierarchical
-from blackspot.clustering.kmeans import MAX_ITER, kmeans, lloyd
+from blackspot.clustering.kmeans import MAX_ITER, kmeans, lay_out, lloyd
 from blackspot.clustering.points import X_SHIFT, Y_SHIFT, label_rows, place, positions
 from blackspot.operators import clean, layers, neighborhood, ranking, rates, regions
 from blackspot.plans.hotspots import CLUSTER, ranked_hotspots, urban_rural_hotspots
-from blackspot.runtime import scratch_path
+from blackspot.runtime import cut, scratch_path
 from blackspot.sources import laid_out, readers, urls, writers
 from blackspot.sources.crash_view import crash_cte, crash_view
 from blackspot.sources.schema import CRASH_COLUMNS, CRASH_SCHEMA, centroid_schema
@@ -94,6 +94,37 @@ def lloyd_sql(rounds: int, src: str = "pts") -> str:
     return ", ".join(ctes)
 
 
+def drawn_sql() -> str:
+    """Oversampled seeds over all positions and candidates, all rounds written out: ``s0``, and ``s{REDUCE_ROUNDS}`` after k-means over the candidates."""
+    def hashed(turn: int) -> str:
+        text = seeding.HASH_SQL[0].format(turn=turn)
+        for step in seeding.HASH_SQL[1:]:
+            text = step.replace("h", f"({text})")
+        return text
+    d2 = lambda a, b: f"({a}.x - {b}.x) * ({a}.x - {b}.x) + ({a}.y - {b}.y) * ({a}.y - {b}.y)"
+    ctes = [f"quota AS (SELECT CAST(greatest(sum(w) // {PER_CLUSTER}, 1) AS BIGINT) AS k, CAST(sum(w) AS BIGINT) AS total FROM spots)",
+            f"q0 AS MATERIALIZED (SELECT x, y, z FROM spots ORDER BY {hashed(0)}, z LIMIT 1)"]
+    for i in range(1, seeding.DRAWS + 1):
+        ctes.append(f"n{i} AS MATERIALIZED (SELECT s.x, s.y, any_value(w) AS w, any_value(s.z) AS z, min({d2('s', 'q')}) AS d2 FROM spots s, q{i - 1} q GROUP BY s.x, s.y)")
+        ctes.append(f"""q{i} AS MATERIALIZED (SELECT * FROM q{i - 1} UNION ALL SELECT x, y, z FROM n{i}, quota, (SELECT CAST(sum(CAST(w AS HUGEINT) * d2) AS DOUBLE) AS cost FROM n{i})
+  WHERE CAST({hashed(i)} AS DOUBLE) * cost < CAST(w AS DOUBLE) * CAST(d2 AS DOUBLE) * CAST({seeding.OVERSAMPLE} * k * {seeding.PRIME} AS DOUBLE))""")
+    near = lambda a, b: f"arg_min({b}.cid, CAST({d2(a, b)} AS HUGEINT) * 1000000 + {b}.cid)"
+    ctes.append(f"""cand AS MATERIALIZED (SELECT q.x, q.y, q.z, own.w FROM (SELECT cid, CAST(sum(w) AS BIGINT) AS w FROM (
+    SELECT any_value(w) AS w, {near('s', 'q')} AS cid FROM spots s, (SELECT *, row_number() OVER (ORDER BY z) AS cid FROM q{seeding.DRAWS}) q GROUP BY s.x, s.y)
+  GROUP BY cid) own JOIN (SELECT *, row_number() OVER (ORDER BY z) AS cid FROM q{seeding.DRAWS}) q USING (cid))""")
+    ctes.append("""heaviest AS (SELECT *, row_number() OVER heavy AS i, sum(w) OVER heavy AS upto FROM cand WINDOW heavy AS (ORDER BY w DESC, z ROWS UNBOUNDED PRECEDING)),
+outright AS MATERIALIZED (SELECT heaviest.*, i < (SELECT coalesce(min(i), 1e15) FROM heaviest, quota WHERE CAST(w AS HUGEINT) * (k - i + 1) < total - (upto - w)) AS taken FROM heaviest),
+share AS (SELECT any_value(k) - count(*) FILTER (taken) AS k, CAST(coalesce(sum(w) FILTER (NOT taken), 0) AS BIGINT) AS rest FROM outright, quota),
+passing AS (SELECT *, CAST(sum(w) OVER (ORDER BY z) AS HUGEINT) AS cum FROM outright WHERE NOT taken)""")
+    ctes.append("""s0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY z) - 1 AS BIGINT) AS cid, x, y FROM (SELECT x, y, z FROM outright WHERE taken UNION ALL
+  SELECT x, y, z FROM passing, share WHERE cum * k // rest > (cum - w) * k // rest))""")
+    for i in range(seeding.REDUCE_ROUNDS):
+        ctes.append(f"""s{i + 1} AS MATERIALIZED (SELECT s{i}.cid, coalesce(mx, x) AS x, coalesce(my, y) AS y FROM s{i} LEFT JOIN (
+  SELECT cid, CAST(sum(w * x) // sum(w) AS BIGINT) AS mx, CAST(sum(w * y) // sum(w) AS BIGINT) AS my FROM (
+    SELECT c.x, c.y, any_value(w) AS w, {near('c', 's')} AS cid FROM cand c, s{i} s GROUP BY c.x, c.y) GROUP BY cid) USING (cid))""")
+    return ", ".join([*curve_sql("pts"), *ctes])
+
+
 def regional(spark: SparkSession, sf_dir: str, linkage: str) -> DataFrame:
     """Every grid cell clustered on its own."""
     placed = place(crash_view(spark, sf_dir))
@@ -170,6 +201,12 @@ def nearest_centroid(spark, sf_dir):
     return label_rows(placed, labels, "cid").select("Crash_ID", "cid")
 
 
+def kmeans_parallel_seeds(spark, sf_dir):
+    """Centres that k-means starts from when they are oversampled by distance."""
+    laid = cut(lay_out(positions(place(crash_view(spark, sf_dir)))))
+    return seeding.parallel_start(laid, PER_CLUSTER)[0]
+
+
 def kmeans_lloyd(spark, sf_dir):
     """Clusters of centres that rest, or of the last of ``MAX_ITER`` rounds."""
     return kmeans(crash_view(spark, sf_dir), PER_CLUSTER, tolerance=0.0).select("Crash_ID", CLUSTER)
@@ -341,6 +378,7 @@ QUERIES = {
     "centroid_layer": centroid_layer,
     "cluster_count_estimate": lambda s, d: rates.cluster_count(clean.clean_coordinates(crash_view(s, d))),
     "nearest_centroid": nearest_centroid,
+    "kmeans_parallel_seeds": kmeans_parallel_seeds,
     "kmeans_lloyd": kmeans_lloyd,
     "hotspot_pipeline": hotspot_pipeline,
     "fatality_rate": rated,
@@ -469,6 +507,7 @@ ORACLES = {
                       f"(SELECT min(fatality_rate) AS lo, max(fatality_rate) AS hi, {extent_sql(CX, CY)} FROM rated)",
     "cluster_count_estimate": f"{BASE} SELECT count(*) AS crashes, greatest(count(*) // {PER_CLUSTER}, 1) AS clusters FROM pts",
     "nearest_centroid": f"{BASE}, {lloyd_sql(0)} SELECT Crash_ID, cid FROM p0 JOIN a0 USING (x, y)",
+    "kmeans_parallel_seeds": f"{BASE}, {drawn_sql()} SELECT cid, x AS cx, y AS cy FROM s{seeding.REDUCE_ROUNDS}",
     "kmeans_lloyd": f"{CLUSTERED} SELECT Crash_ID, {CLUSTER} FROM kc",
     "hotspot_pipeline": f"{CLUSTERED}, rated AS (SELECT {CLUSTER}, {RATES_SQL} FROM kc GROUP BY {CLUSTER}) "
                         f"SELECT *, {RANKED.format(CLUSTER)}, NOT EXISTS (SELECT cid, cx, cy FROM c{MAX_ITER} EXCEPT "

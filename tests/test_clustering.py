@@ -2,11 +2,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from blackspot.clustering import boxtree, hierarchical as hier, mixture
+from blackspot.clustering import boxtree, hierarchical as hier, mixture, seeding
 from blackspot.clustering.components import components
 from blackspot.clustering.dbscan import dbscan, neighbor_counts
-from blackspot.clustering.kmeans import kmeans, kmeans_with_status
-from blackspot.clustering.points import X_SHIFT, Y_SHIFT
+from blackspot.clustering.kmeans import kmeans, kmeans_with_status, lay_out, lloyd
+from blackspot.clustering.points import X_SHIFT, Y_SHIFT, place, positions
 from partitions import same_partition
 
 
@@ -68,6 +68,46 @@ def test_kmeans_says_whether_centres_rest(crashes):
     assert settled and labels_of(rows, "kmeans_cluster") == labels_of(kmeans(df, 25, 400, 0.0), "kmeans_cluster")
 
 
+def test_oversampled_seeds(spark, crashes):
+    """As many seeds as clusters, cheaper than those of the curve, the same from any order of rows; weights of candidates count every crash."""
+    lat, lon = sample(1500, 8, hot=300)
+    x, y = micro(lat, lon)
+    cost = lambda centers: min_distances(x, y, centers).sum()
+    spots = lambda df: positions(place(df))
+    df, per = crashes(lat, lon), 20
+    seeds = lambda df: seeding.parallel_start(lay_out(spots(df)), per)[0].collect()
+    got = seeds(df)
+    assert len(got) == 1500 // per and sorted(c.cid for c in got) == list(range(1500 // per))
+    assert sorted(got) == sorted(seeds(df.repartition(7, "Longitude")))
+    curve = lloyd(spots(df), per, 0)[1].collect()
+    assert cost([(c.cx, c.cy) for c in got]) < 0.9 * cost([(c.cx, c.cy) for c in curve])
+    labels, centers, _ = lloyd(spots(df), per, 3, 0.0, seeding.parallel_start)
+    at = {c.cid: (c.cx, c.cy) for c in centers.collect()}
+    rows = labels.collect()
+    best = min_distances(np.array([r.x for r in rows]), np.array([r.y for r in rows]), list(at.values()))
+    assert sum(r.w for r in rows) == 1500 and [(r.x - at[r.cid][0]) ** 2 + (r.y - at[r.cid][1]) ** 2 for r in rows] == list(best)
+
+
+def min_distances(x, y, centers):
+    cx, cy = np.array(centers).T
+    return ((x[:, None] - cx) ** 2 + (y[:, None] - cy) ** 2).min(axis=1)
+
+
+@pytest.mark.parametrize("lat,lon,seeds", [([], [], 0), ([30.] * 40, [-100.] * 40, 1), ([30.] * 39 + [31.], [-100.] * 40, 2)])
+def test_oversampled_seeds_of_few_positions(crashes, lat, lon, seeds):
+    df = crashes(lat, lon)
+    rows = kmeans(df, 10, start=seeding.parallel_start).collect()
+    assert len(rows) == len(lat) and len({r.kmeans_cluster for r in rows}) == seeds
+
+
+def test_reduction_takes_heavy_candidates_outright(spark):
+    weights = [500, 300, *[5] * 40, 90]
+    spots = spark.createDataFrame([(i, i, w, i) for i, w in enumerate(weights)], "x long, y long, w long, z long")
+    picked = sorted(r.z for r in seeding.reduced(spots, 8).collect())
+    assert len(picked) == 8 and {0, 1, 42} <= set(picked)
+    assert [b - a for a, b in zip(picked[2:-1], picked[3:-1])] == [8] * 4
+
+
 def mixture_by_hand(lat, lon, per, rounds, gain):
     x, y = (v.astype(float) for v in micro(lat, lon))
     start = np.array(lloyd_by_hand(lat, lon, per, 0))
