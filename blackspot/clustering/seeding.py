@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from blackspot.clustering.grid import square
-from blackspot.clustering.kmeans import assign, blocks_of, lay_out, nearest, rounds
+from blackspot.clustering.kmeans import assign, blocks_of, candidate_centers, lay_out, nearest, rounds
 from blackspot.functions.geo import morton
 from blackspot.operators.ranking import ROW_BITS, part_offsets, sorted_rows
 from blackspot.runtime import cut
@@ -59,7 +59,7 @@ def candidates(laid: DataFrame, blocks: DataFrame, clusters: int) -> DataFrame:
     chosen = cut(laid.orderBy(hash_of(0), "z").limit(1).select(*place))
     for turn in range(1, DRAWS + 1):
         centers, hinted = numbered(blocks, chosen)
-        apart = cut(nearest(laid, hinted, centers)
+        apart = cut(nearest(laid, candidate_centers(hinted, centers))
                     .select(*place, "w", (square(F.col("x") - F.col("cx")) + square(F.col("y") - F.col("cy"))).alias("d2")))
         wide = lambda c: F.col(c).cast("decimal(19,0)")
         cost = apart.agg(F.sum(wide("w") * wide("d2")).cast("double")).scalar()
