@@ -2,10 +2,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from blackspot.clustering import boxtree, hierarchical as hier, mixture, seeding
+from blackspot.clustering import boxtree, hierarchical as hier, mixture, seeding, tiles
 from blackspot.clustering.components import components
 from blackspot.clustering.dbscan import dbscan, neighbor_counts
-from blackspot.clustering.kmeans import kmeans, kmeans_with_status, lay_out, lloyd
+from blackspot.clustering.kmeans import assign, candidate_centers, kmeans, kmeans_with_status, lay_out, lloyd, summed
 from blackspot.clustering.points import X_SHIFT, Y_SHIFT, place, positions
 from partitions import same_partition
 
@@ -108,6 +108,22 @@ def test_reduction_takes_heavy_candidates_outright(spark):
     assert [b - a for a, b in zip(picked[2:-1], picked[3:-1])] == [8] * 4
 
 
+def test_rounds_move_a_row_per_tile_and_centre(spark, crashes, monkeypatch):
+    """Tiles hold every position once, and what goes from them to the centres has a row per tile and centre, not per position."""
+    monkeypatch.setattr(tiles, "TILE", 200)
+    spots = positions(place(crashes(*sample(1500, 5, hot=300)))).cache()
+    tiled = tiles.beside(tiles.tiles_of(lay_out(spots)), 30).cache()
+    got = [(t.x0 + x, t.y0 + y, w) for t in tiled.collect() for x, y, w in zip(t.xs, t.ys, t.ws)]
+    assert sorted(got) == sorted((r.x, r.y, r.w) for r in spots.collect())
+    assert tiled.count() >= 6 and all(len(t.xs) <= 200 and t.x1 - t.x0 == max(t.xs) and t.y1 - t.y0 == max(t.ys) for t in tiled.collect())
+    seeds = tiled.select(F.explode("hints").alias("cid")).distinct().select("cid", (F.col("cid") * 9000 + X_SHIFT - 100600000).alias("cx"), F.lit(Y_SHIFT + 30300000).cast("bigint").alias("cy"))
+    sent = tiles.meet(tiled, candidate_centers(tiled, seeds), summed, "cid bigint, w bigint, sx bigint, sy bigint").collect()
+    assert sum(r.w for r in sent) == 1500 and len({(r.tile, r.cid) for r in sent}) == len(sent) < spots.count() / 2
+    at = sorted((c.cid, c.cx, c.cy) for c in seeds.collect())
+    for r in assign(tiled, seeds).collect():
+        assert (r.d2, r.cid) == min(((r.x - a) ** 2 + (r.y - b) ** 2, c) for c, a, b in at)
+
+
 def mixture_by_hand(lat, lon, per, rounds, gain):
     x, y = (v.astype(float) for v in micro(lat, lon))
     start = np.array(lloyd_by_hand(lat, lon, per, 0))
