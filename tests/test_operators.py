@@ -67,6 +67,13 @@ def test_unreadable_coordinates_are_dropped(spark):
     assert [r.id for r in clean.clean_coordinates(df).collect()] == ["1"]
 
 
+def test_coordinates_are_parsed_once(spark):
+    rows = spark.range(3).select(F.regexp_replace(F.col("id").cast("string"), "twice", "").alias("Latitude"), F.lit("1.5").alias("Longitude"), "id")
+    got = clean.clean_coordinates(rows)
+    assert got.columns == ["Latitude", "Longitude", "id"] and sorted(got.collect()) == [(0.0, 1.5, 0), (1.0, 1.5, 1), (2.0, 1.5, 2)]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("twice") == 1
+
+
 def test_dates_with_and_without_zeros(spark):
     df = spark.createDataFrame([("1/2/2022",), ("01/02/2022",), ("2022-01-02",), ("13/45/2022",), (None,)], "Crash_Date string")
     assert clean.filter_year(df, 2022).count() == 2

@@ -1,9 +1,13 @@
+import math
+from datetime import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
 from blackspot.plans.hotspots import run_batch, run_evaluation
 from blackspot.runtime import shared_folder
 from blackspot.sources import readers, urls, writers
+from blackspot.sources.crash_view import crash_view
 from blackspot.sources.schema import CRASH_COLUMNS, centroid_schema
 
 
@@ -88,6 +92,26 @@ def test_shared_folder_is_the_configured_one(spark):
     assert spark.sparkContext.getConf().get("spark.checkpoint.dir") in shared_folder(spark)
 
 
+def test_crash_ids_of_all_keys(spark, tmp_path):
+    """The id in 64-bit integers equals the one in wide integers, and rows with keys beyond its room still have one."""
+    keys = [(1, 2, 3, 4), (7200000, 100, 50, 7), (800000000000, 10 ** 14, 10 ** 12, 7), (0, 0, 0, 0), (-5, 7, 3, 1), (5, -7, 3, 1),
+            (900000000000000, 3, 5, 2), (5, 10 ** 17, 9, 3), (5, 3, 10 ** 15, 3), (None, 3, 4, 5), (3, 4, None, 5), (599999, 19999, 999, 6)]
+    dates = [datetime(1995, 3, 17), datetime(1998, 12, 1), datetime(1985, 2, 3), None]
+    rows = [(*k, d) for k in keys for d in dates]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_shipdate timestamp").write.parquet(f"{tmp_path}/lineitem.parquet")
+
+    def by_hand(o, p, s, n, d):
+        if None in (o, p, s, d):
+            return None
+        whole = (((o * 10 + n) * 1000003 + p) * 1000003 + s) * 4000 + (d.year - 1990) * 372 + d.month * 31 + d.day
+        return int(math.copysign(1, whole)) * (abs(whole) % (2 ** 61 - 1))
+
+    got = [r[0] for r in crash_view(spark, str(tmp_path)).select("Crash_ID").collect()]
+    assert sorted(got, key=str) == sorted([by_hand(*r) for r in rows], key=str)
+    plan = crash_view(spark, str(tmp_path)).select("Crash_ID")._jdf.queryExecution().optimizedPlan().toString()
+    assert "shiftright" in plan
+
+
 def test_crash_csv_by_header(spark, tmp_path):
     head = ["Extra"] + CRASH_COLUMNS[::-1]
     (tmp_path / "c.csv").write_text(",".join(head) + "\nx,1,0,0,0,0,0,0,-98.5,29.5,1/2/2022,N,7\nx,zz,0,0,0,0,0,0,bad,29.5,1/2/2022,N,8\n")
