@@ -1,8 +1,9 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from blackspot.clustering import boxtree, hierarchical as hier, mixture, seeding, tiles
+from blackspot.clustering import boxtree, groups, hierarchical as hier, mixture, seeding, tiles
 from blackspot.clustering.components import components
 from blackspot.clustering.dbscan import dbscan, neighbor_counts
 from blackspot.clustering.kmeans import assign, candidate_centers, kmeans, kmeans_with_status, lay_out, lloyd, summed
@@ -291,6 +292,36 @@ def test_regions_are_clustered_on_their_own(spark, monkeypatch, linkage, small):
     assert all(min(r.hier_cluster for r in got if r.area == a) == 1 for a in {r.area for r in got})
 
 
+@pytest.mark.parametrize("linkage", hier.LINKAGES)
+def test_small_groups_are_merged_together(linkage):
+    """3,000 regions of one to twelve crashes take a few steps on arrays, not a call each; one region is merged by itself."""
+    alone = []
+    by_itself = lambda *group: (alone.append(group), hier.merges_of_group(*group, linkage))[1]
+    rng = np.random.default_rng(4)
+    sizes = np.r_[rng.integers(1, 13, 3000), 90]
+    starts = np.r_[0, np.cumsum(sizes)]
+    # Few different distances, so that equal heights occur.
+    x, y = rng.integers(0, 40, starts[-1]) * 50, rng.integers(0, 40, starts[-1]) * 50
+    keep = [len({*zip(x[a:b], y[a:b])}) == b - a for a, b in zip(starts[:-1], starts[1:])]
+    w, needed = rng.integers(1, 4, starts[-1]), sizes - np.maximum(sizes // 5, 1)
+    root = groups.cut_groups(starts, x, y, w, needed, linkage, by_itself)
+    assert len(alone) == 1
+    for i in np.flatnonzero(keep)[::40]:
+        a, b = starts[i], starts[i + 1]
+        if needed[i] > 0:
+            merges = [np.array(m)[:, None] for m in hier.merges_of_group(x[a:b], y[a:b], w[a:b], linkage)]
+            assert (groups.roots_of(b - a, *merges, needed[i:i + 1])[0] == root[a:b] - a).all()
+
+
+def test_groups_are_handed_on_whole(monkeypatch):
+    monkeypatch.setattr(groups, "ROWS", 10)
+    keys = np.repeat([f"g{i:03}" for i in range(40)], np.arange(40) % 7 + 1)
+    table = pa.table({"grp": keys, "i": np.arange(len(keys))})
+    got = [(t["i"].to_pylist(), list(s)) for t, s in groups.whole_groups(iter(table.to_batches(max_chunksize=3)), "grp")]
+    assert sum((rows for rows, _ in got), []) == list(range(len(keys)))
+    assert sum(len(s) - 1 for _, s in got) == 40
+
+
 def test_linkage_names_are_checked(crashes):
     with pytest.raises(ValueError):
         hier.hierarchical(crashes([30.], [-100.]), "median")
