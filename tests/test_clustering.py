@@ -3,7 +3,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from blackspot.clustering import boxtree, groups, hierarchical as hier, mixture, seeding, tiles
+from blackspot.clustering import blocks, boxtree, groups, hierarchical as hier, mixture, seeding, tiles
 from blackspot.clustering.components import components
 from blackspot.clustering.dbscan import dbscan, neighbor_counts
 from blackspot.clustering.kmeans import assign, candidate_centers, kmeans, kmeans_with_status, lay_out, lloyd, summed
@@ -202,6 +202,36 @@ def test_dbscan_matches_brute_force(crashes, monkeypatch, leaf):
     assert len(set(want)) > 3 and -1 in want
 
 
+@pytest.mark.parametrize("limit", [300, 60, 3])
+def test_squares_are_divided_and_crowded_ones_left_to_trees(crashes, monkeypatch, limit):
+    monkeypatch.setattr(blocks, "LIMIT", limit)
+    monkeypatch.setattr(blocks, "PAIRS", 100)
+    lat, lon = sample(700, 11, hot=100, spread=0.006)
+    df = crashes(lat, lon)
+    want, counts = dbscan_by_hand(lat, lon, 3000, 9)
+    assert labels_of(neighbor_counts(df, 0.003), "neighbors") == counts
+    assert labels_of(dbscan(df, 0.003, 9), "DBSCAN_cluster") == want
+    assert len(set(want)) > 3 and -1 in want
+
+
+def test_a_position_travels_to_few_squares(crashes):
+    """Not to the 24 cells around its own."""
+    rng = np.random.default_rng(8)
+    spots = positions(place(crashes(np.round(rng.uniform(30, 31, 3000), 6), np.round(rng.uniform(-100, -99, 3000), 6)))).drop("z")
+    dealt, crowded = blocks.deal(spots, 11, 3000)
+    assert crowded is None and dealt.filter("home").count() == 3000
+    assert dealt.count() < 1.4 * 3000
+    assert links_of_line(spots.sparkSession) == [(0, 1), (0, 2)]
+
+
+def links_of_line(spark):
+    """Three cells in a line whose positions are 2,048 apart: two rows tie them together."""
+    rows = [(2048 * i + 10, 10, 1, i, True) for i in range(3)]
+    spots = spark.createDataFrame(rows, "x long, y long, w long, cell long, core boolean")
+    found = blocks.links(blocks.deal(spots, 11, 3000)[0], 11, 3000)
+    return sorted((r.root, r.cell) for r in found.collect())
+
+
 def test_one_crowded_cell_is_opened_exactly(crashes):
     rng = np.random.default_rng(2)
     lat = np.round(np.r_[30 + rng.uniform(0, .002, 500), rng.uniform(29.98, 30.02, 1000)], 6)
