@@ -343,6 +343,12 @@ def test_small_groups_are_merged_together(linkage):
             assert (groups.roots_of(b - a, *merges, needed[i:i + 1])[0] == root[a:b] - a).all()
 
 
+def test_clusters_of_small_groups_are_numbered_by_their_first_id():
+    """Nulls are passed over, and clusters of nulls alone come first."""
+    root, ids = np.array([0, 0, 2, 3, 3, 5]), np.array([groups.NO_ID, 7, 4, groups.NO_ID, groups.NO_ID, 9])
+    assert groups.numbered(np.array([0, 5, 6]), root, ids).tolist() == [3, 3, 2, 1, 1, 1]
+
+
 def test_groups_are_handed_on_whole(monkeypatch):
     monkeypatch.setattr(groups, "ROWS", 10)
     keys = np.repeat([f"g{i:03}" for i in range(40)], np.arange(40) % 7 + 1)
