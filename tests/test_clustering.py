@@ -3,7 +3,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from blackspot.clustering import blocks, boxtree, groups, hierarchical as hier, mixture, seeding, tiles
+from blackspot.clustering import blocks, boxtree, groups, hierarchical as hier, mixture, seeding, squares, tiles
 from blackspot.clustering.components import components
 from blackspot.clustering.dbscan import dbscan, neighbor_counts
 from blackspot.clustering.kmeans import assign, candidate_centers, kmeans, kmeans_with_status, lay_out, lloyd, summed
@@ -363,3 +363,52 @@ def test_linkage_names_are_checked(crashes):
         hier.hierarchical(crashes([30.], [-100.]), "median")
     few = hier.hierarchical(crashes([30., 30., 31.], [-100., -100., -100.]), "ward", 1)
     assert sorted(labels_of(few, "hier_cluster")) == [1, 1, 2]
+
+
+@pytest.mark.parametrize("linkage", ["ward", "complete", "average"])
+def test_large_groups_are_merged_by_squares(spark, monkeypatch, linkage):
+    """Rounds of small squares in many tasks, and pairs of clusters measured only where they contend."""
+    for name, value in {"CLUSTERS": 16, "WIDEST": 32, "MEASURED": 24, "PAIRS": 8, "ROWS": 40, "PER_TASK": 20}.items():
+        monkeypatch.setattr(squares, name, value)
+        if hasattr(hier, name):
+            monkeypatch.setattr(hier, name, value)
+    monkeypatch.setattr(hier, "SMALL", 50)
+    rounds, once = [], hier.round_of
+    monkeypatch.setattr(hier, "round_of", lambda *given: (rounds.append(given[4]), once(*given))[1])
+    rows, want = [], []
+    for i, (n, hot) in enumerate([(300, 30), (30, 0), (150, 0)]):
+        lat, lon = sample(n, 40 + i, hot)
+        rows += [(1000 * i + j, a, b, 0, f"r{i}") for j, (a, b) in enumerate(zip(lat.tolist(), lon.tolist()))]
+        want += [(i, c) for c in tree_by_hand(lat, lon, n // 10, linkage)]
+    df = spark.createDataFrame(rows, "Crash_ID long, Latitude double, Longitude double, Death_Cnt int, area string")
+    got = sorted(hier.hierarchical(df, linkage, 10, by="area").select("Crash_ID", "area", "hier_cluster").collect())
+    assert same_partition([(r.area, r.hier_cluster) for r in got], want)
+    assert max(rounds) > 4 and len(rounds) < 40
+
+
+@pytest.mark.parametrize("linkage", ["ward", "complete", "average"])
+def test_a_square_merges_only_what_nothing_outside_can_undo(linkage):
+    """Every merge of a square is a merge of the whole map, and most of its inside is settled at once."""
+    rng = np.random.default_rng(9)
+    p = rng.integers(0, 4000, (300, 2)).astype(float)
+    w = rng.integers(1, 4, 300)
+    each = lambda rows: [np.array([i]) for i in range(len(rows))]
+    whole = squares.Merging(linkage, each(p), *p.T, w, None, np.inf, 1)
+    of_tree = set(zip(*(m.tolist() for m in whole.run()[:2])))
+    assert len(of_tree) == 299
+    here = np.flatnonzero((p < 2000).all(1))
+    own = squares.Merging(linkage, each(here), *p[here].T, w[here], (0, 2000, 0, 2000), np.inf, 1)
+    lo, hi, _ = own.run()
+    assert len(lo) > len(here) / 3
+    assert {(here[a], here[b]) for a, b in zip(lo, hi)} <= of_tree
+
+
+def test_positions_off_the_map_are_merged_too(spark, monkeypatch):
+    """Coordinates that no map has lie at the edge of the squares; those too great for a number stay alone."""
+    monkeypatch.setattr(hier, "SMALL", 3)
+    lat, lon = sample(40, 60)
+    lat, lon = lat.tolist() + [5000.0, 5000.1, -5000.0, -5000.1, 1e300], lon.tolist() + [9000.0, 9000.1, -9000.0, -9000.1, 0.0]
+    df = spark.createDataFrame([(i, a, b, 0) for i, (a, b) in enumerate(zip(lat, lon))], "Crash_ID long, Latitude double, Longitude double, Death_Cnt int")
+    for linkage in ("ward", "average"):
+        got = dict(hier.hierarchical(df, linkage, 11).select("Crash_ID", "hier_cluster").collect())
+        assert got[40] == got[41] != got[42] == got[43] and len(set(got.values())) >= 3
