@@ -3,7 +3,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from blackspot.clustering import blocks, boxtree, groups, hierarchical as hier, mixture, seeding, squares, tiles
+from blackspot.clustering import blocks, boxtree, groups, hierarchical as hier, mixture, seeding, spanning, squares, tiles
 from blackspot.clustering.components import components
 from blackspot.clustering.dbscan import dbscan, neighbor_counts
 from blackspot.clustering.kmeans import assign, candidate_centers, kmeans, kmeans_with_status, lay_out, lloyd, summed
@@ -322,6 +322,57 @@ def test_regions_are_clustered_on_their_own(spark, monkeypatch, linkage, small):
     assert all(min(r.hier_cluster for r in got if r.area == a) == 1 for a in {r.area for r in got})
 
 
+def test_single_linkage_over_all_crashes_goes_by_squares(spark, crashes, monkeypatch):
+    """Several tasks and rounds, equal heights and crowded positions, and no components of all crashes are sought."""
+    sought, rounds, one_round = [], [], hier.forest_round
+    monkeypatch.setattr(hier, "SMALL", 12)
+    monkeypatch.setattr(hier, "ROWS_ALONG", 24, raising=False)
+    monkeypatch.setattr(hier, "components", sought.append)
+    monkeypatch.setattr(hier, "forest_round", lambda *a: (rounds.append(a[1:]), one_round(*a))[1])
+    for lat, lon in (sample(240, 8, hot=20), np.random.default_rng(9).integers(0, 16, (2, 160)) * 1e-5 + [[30], [-100]]):
+        rounds.clear()
+        got = labels_of(hier.hierarchical(crashes(lat, lon), "single", 20), "hier_cluster")
+        assert same_partition(got, tree_by_hand(lat, lon, len(lat) // 20, "single"))
+        assert set(got) == set(range(1, max(got) + 1))
+        assert len(rounds) > 1 and rounds[0][1] > 1 and not sought
+
+
+def forest_by_hand(x, y):
+    key = lambda i: interleave(x[i], y[i])
+    order = sorted(range(len(x)), key=key)
+    ids, z = np.arange(1, len(x) + 1), np.array([key(i) for i in order])
+    first = {"id": ids, "x": x[order], "y": y[order], "z": z, "comp": ids, "q": z, "level": 0 * ids}
+    return pa.table(first | {s: np.full(len(x), spanning.FAR) for s in spanning.SECTORS})
+
+
+@pytest.mark.parametrize("kind", ["even", "ties", "clumps", "line", "ring"])
+def test_shortest_forest_by_squares(monkeypatch, kind):
+    """Stretches of a few rows give the same heights and components as the shortest tree of all positions, with a limit too."""
+    monkeypatch.setattr(spanning, "LEAF", 8)
+    rng, n = np.random.default_rng(6), 500
+    where, angle = rng.integers(0, 8, n), rng.uniform(0, 2 * np.pi, n)
+    x, y = {"even": rng.integers(0, 10 ** 6, (2, n)), "ties": rng.integers(0, 40, (2, n)),
+            "clumps": rng.integers(10 ** 8, 3 * 10 ** 8, (2, 8))[:, where] + (rng.normal(0, 1, (2, n)) * 10.0 ** where).astype(int),
+            "line": np.stack([np.arange(n) * 7, np.arange(n) * 3]), "ring": (10 ** 6 * (2 + np.stack([np.cos(angle), np.sin(angle)]))).astype(int)}[kind]
+    x, y = np.unique(np.stack([x, y]), axis=1)
+    start = forest_by_hand(x, y)
+    a, b, want = spanning.shortest_tree(*(start[c].to_numpy() for c in "xy"), np.arange(len(x)))
+    for limit in (None, int(np.sort(want)[-20])):
+        state, parts, made = start, 9, []
+        while state.num_rows:
+            cuts = np.unique(np.searchsorted(state["q"].to_numpy(), state["q"].to_numpy()[::-(-state.num_rows // parts)])).tolist()
+            tables = [spanning.Stretch(state.slice(i, j - i), limit, parts == 1).result() for i, j in zip(cuts, cuts[1:] + [state.num_rows])]
+            found = pa.concat_tables(tables, promote_options="default").to_pandas()
+            if "sure" in found:
+                made.append(found[found["sure"].eq(True)][["a", "b", "height"]].astype(int))
+                found = found[found["square"].isna()]
+            state, parts = pa.Table.from_pandas(found[spanning.STATE].astype(int), preserve_index=False).sort_by("z"), parts // 3
+        made = np.concatenate(made)
+        low = want <= (limit or want.max())
+        assert sorted(made[:, 2]) == sorted(want[low])
+        assert (spanning.joined(len(x), made[:, 0] - 1, made[:, 1] - 1) == spanning.joined(len(x), a[low], b[low])).all()
+
+
 @pytest.mark.parametrize("linkage", hier.LINKAGES)
 def test_small_groups_are_merged_together(linkage):
     """3,000 regions of one to twelve crashes take a few steps on arrays, not a call each; one region is merged by itself."""
