@@ -3,7 +3,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from blackspot.clustering import blocks, boxtree, groups, hierarchical as hier, mixture, seeding, spanning, squares, tiles
+from blackspot import runtime
+from blackspot.clustering import blocks, boxtree, groups, hierarchical as hier, mixture, points, seeding, spanning, squares, tiles
 from blackspot.clustering.components import components
 from blackspot.clustering.dbscan import dbscan, neighbor_counts
 from blackspot.clustering.kmeans import assign, candidate_centers, kmeans, kmeans_with_status, lay_out, lloyd, summed
@@ -168,6 +169,26 @@ def test_shares_of_components_match_brute_force(crashes, n, per, hot):
     assert max(map(len, got)) > 1
 
 
+def test_lists_of_shares_are_made_where_the_rows_are(crashes, monkeypatch):
+    """No list passes a shuffle or a written table; the rows of a crowded tile are dealt out, some groups get none."""
+    monkeypatch.setattr(tiles, "LABELLED", 7)
+    lat, lon = sample(300, 11, 120)
+    df = crashes(lat, lon).withColumn("Crash_ID", F.col("Crash_ID") % 250)
+    written = []
+    monkeypatch.setattr(points, "cut", lambda table, **kept: written.append(table.columns) or runtime.cut(table, **kept))
+    got = mixture.shares(df, 30)
+    assert not any("gmm_shares" in c for c in written)
+    plan = got._jdf.queryExecution().explainString(got._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert not any(line.strip().startswith(("Input", "Arguments")) and "gmm_shares" in line for part in plan.split("\n\n") if ") Exchange" in part for line in part.splitlines())
+    rows = got.select("Crash_ID", "Death_Cnt", "Latitude", "Longitude", "gmm_shares").collect()
+    assert sorted(r[:4] for r in rows) == sorted(tuple(r) for r in df.select("Crash_ID", "Death_Cnt", "Latitude", "Longitude").collect())
+    _, want = mixture_by_hand(lat, lon, 30, 100, mixture.GAIN)
+    at = {(a, b): i for i, (a, b) in enumerate(zip(lat, lon))}
+    for r in rows:
+        found = {s.component: s.share for s in r.gmm_shares}
+        assert all(abs(found.get(c, 0.0) - v[at[r.Latitude, r.Longitude]]) < 1e-9 for c, v in want.items())
+
+
 def test_mixture_of_nothing(crashes):
     assert mixture.gmm(crashes([], [])).collect() == [] and mixture.shares(crashes([], [])).collect() == []
 
