@@ -1,5 +1,6 @@
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -484,3 +485,60 @@ def test_positions_off_the_map_are_merged_too(spark, monkeypatch):
     for linkage in ("ward", "average"):
         got = dict(hier.hierarchical(df, linkage, 11).select("Crash_ID", "hier_cluster").collect())
         assert got[40] == got[41] != got[42] == got[43] and len(set(got.values())) >= 3
+
+
+@pytest.mark.parametrize("linkage", ["ward", "complete", "average"])
+def test_a_stretch_is_cut_again_as_long_as_that_settles_much(linkage):
+    """One task merges what lies between its first squares too, and keeps only outer positions where no others matter."""
+    rng = np.random.default_rng(3)
+    p = np.unique(rng.integers(0, 1 << 14, (4000, 2)), axis=0)
+    codes = squares.interleaved(*p.T)
+    assert codes[:50].tolist() == [interleave(*q) for q in p[:50]]
+    p, codes = p[np.argsort(codes)], np.sort(codes)
+    n, ones = len(p), np.ones(len(p), np.int64)
+    table = pa.table({"grp": [""] * n, "id": np.arange(n), "code": codes, "x": p[:, 0].astype(float), "y": p[:, 1].astype(float), "w": ones,
+                      "cx": p[:, 0], "cy": p[:, 1], "limit": pa.nulls(n, pa.float64())})
+    out = squares.merge_stretch(table, linkage, 256, False, (0, 0), 1)
+    merged, left = out.filter(pc.is_valid(out["square"])), out.filter(pc.is_null(out["square"]))
+    whole = squares.Merging(linkage, [np.array([i]) for i in range(n)], *p.T.astype(float), ones, None, np.inf, 1)
+    of_tree = set(zip(*(m.tolist() for m in whole.run()[:2])))
+    found = list(zip(merged["id"].to_pylist(), merged["hi"].to_pylist()))
+    assert set(found) <= of_tree and len(set(found)) == len(found) > 0.55 * n
+    assert len(set(merged["square"].to_pylist())) == 1
+    assert pc.sum(left["w"]).as_py() == n and pc.sum(left["head"]).as_py() == n - len(found) == len(set(left["id"].to_pylist()))
+    assert left.num_rows == n if linkage == "average" else left.num_rows < (n if linkage == "complete" else n - len(found) + 1)
+
+
+def test_outlines_keep_the_greatest_distances():
+    rng = np.random.default_rng(4)
+    clouds = [rng.integers(0, 300, (40, 2)), rng.integers(0, 9, (60, 2)), np.c_[np.arange(30), 2 * np.arange(30)], np.c_[rng.integers(0, 99, 25), np.full(25, 7)], rng.integers(0, 5000, (200, 2))]
+    clouds = [np.unique(c, axis=0) + 10 ** 8 for c in clouds]
+    x, y = np.concatenate(clouds).T.astype(float)
+    w = rng.integers(1, 5, len(x))
+    parts = np.split(np.arange(len(x)), np.cumsum([len(c) for c in clouds])[:-1])
+    nx, ny, nw, fewer = squares.outlines(x, y, w, parts)
+    assert sum(map(len, fewer)) < len(x) / 2
+    mean = lambda x, w, rows: (x[rows] * w[rows]).sum() / w[rows].sum()
+    for a, b in zip(parts, fewer):
+        assert w[a].sum() == nw[b].sum() and abs(mean(x, w, a) - mean(nx, nw, b)) < 1e-6 and abs(mean(y, w, a) - mean(ny, nw, b)) < 1e-6
+        for c, d in zip(parts, fewer):
+            far = lambda x, y, i, j: ((x[i][:, None] - x[j]) ** 2 + (y[i][:, None] - y[j]) ** 2).max()
+            assert far(x, y, a, c) == far(nx, ny, b, d)
+
+
+@pytest.mark.parametrize("linkage", ["ward", "complete"])
+def test_merges_of_all_rounds_are_sorted_once(crashes, monkeypatch, linkage):
+    """The cut is bounded by numbers of merges in bands; its height is sought once, and merges of a group do not go to one task."""
+    monkeypatch.setattr(hier, "SMALL", 50)
+    calls, once = [], hier.lowest
+    monkeypatch.setattr(hier, "lowest", lambda *given: (calls.append(given), once(*given))[1])
+    plans, cut = [], hier.cut
+    monkeypatch.setattr(hier, "cut", lambda df, **kept: (plans.append(df._jdf.queryExecution().executedPlan().toString()), cut(df, **kept))[1])
+    for name, value in {"CLUSTERS": 16, "ROWS": 40, "PER_TASK": 20}.items():
+        monkeypatch.setattr(squares, name, value)
+        monkeypatch.setattr(hier, name, value)
+    lat, lon = sample(400, 21)
+    got = labels_of(hier.hierarchical(crashes(lat, lon), linkage, 10), "hier_cluster")
+    assert same_partition(got, tree_by_hand(lat, lon, 40, linkage)) and len(calls) == 1
+    counted = [p for p in plans if "band" in p]
+    assert counted and not any("SortMergeJoin" in p for p in counted)
